@@ -68,8 +68,8 @@ VIEWS: dict[str, str] = {
         FROM (SELECT word, count(*) AS cnt FROM v_words GROUP BY word)""",
     "v_logits": f"""
         SELECT vec_id, label,
-               list_transform(range({N_CLASSES}), c -> list_sum(list_transform(range({DIM}),
-                   i -> CAST(embedding[i + 1] AS DOUBLE) * w[c + 1][i + 1]))) AS logits
+               list_transform(range({N_CLASSES}), lambda c: list_sum(list_transform(range({DIM}),
+                   lambda i: CAST(embedding[i + 1] AS DOUBLE) * w[c + 1][i + 1]))) AS logits
         FROM embeddings, (SELECT {_weights_sql()} AS w)""",
     "v_metric": """
         SELECT user_id, event_id, ts, value, event_type FROM events""",
