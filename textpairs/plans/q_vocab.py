@@ -21,9 +21,11 @@ NLI_TOK_CTES = dict(NLI_EXAMPLES_CTE, **{
     "tok_ids": """
         SELECT w.id, w.c, w.p, coalesce(v.id, 0) AS tid FROM tok_words w LEFT JOIN v_vocab v ON w.word = v.word""",
     "nli_tok": """
-        SELECT id, list(tid ORDER BY p) FILTER (WHERE c = 0) || [2] AS premise_ids,
-                   list(tid ORDER BY p) FILTER (WHERE c = 1) || [2] AS hypothesis_ids
-        FROM tok_ids GROUP BY id""",
+        SELECT e.id, e.label, t.premise_ids, t.hypothesis_ids
+        FROM nli_examples e JOIN (
+            SELECT id, list(tid ORDER BY p) FILTER (WHERE c = 0) || [2] AS premise_ids,
+                       list(tid ORDER BY p) FILTER (WHERE c = 1) || [2] AS hypothesis_ids
+            FROM tok_ids GROUP BY id) t ON e.id = t.id""",
     "seen": """
         SELECT DISTINCT t AS token_id FROM (SELECT unnest(premise_ids) AS t FROM nli_tok
                                            UNION ALL SELECT unnest(hypothesis_ids) AS t FROM nli_tok)""",
