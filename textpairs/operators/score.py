@@ -13,7 +13,6 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from textpairs.functions.arrays import argmax
 
@@ -74,7 +73,8 @@ def score_batches(df: DataFrame, predictor_factory: Callable[[], Callable[[pd.Da
     """
     keep = list(keep) if keep is not None else df.columns
     base = df.select(*keep) if keep != df.columns else df
-    schema = StructType.fromJson(base.schema.jsonValue()).add(out, out_type)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
+                       + [f"`{out}` {out_type}"])
     token = id(predictor_factory)
 
     def run(batches):

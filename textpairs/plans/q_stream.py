@@ -1 +1,114 @@
-"""Registered queries."""
+"""Registered queries: streaming forms (X1-X3) and the Python-worker jobs
+(Q1, Q3, Q4, P1).  Streaming builders run their stream to completion
+(availableNow) and return the sink as a batch DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textpairs.operators import score as S
+from textpairs.operators import tokens as TK
+from textpairs.plans import bridge as B
+from textpairs.plans.registry import register
+from textpairs.streaming import stream as ST
+
+EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+class PromptLengthModel:
+    """A stand-in predictor for the stream demo: class = prompt length mod 3."""
+
+    def __call__(self, pdf):
+        return pdf["prompt"].str.len() % 3
+
+
+def prompt_length_model():
+    return PromptLengthModel()
+
+
+class LinearHeadModel:
+    """P1 predictor: the bridge linear head in numpy, built once per worker."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.w = np.asarray(B.head_weights(), dtype="float64")
+
+    def __call__(self, pdf):
+        import numpy as np
+
+        x = np.stack([np.asarray(v, dtype="float64") for v in pdf["embedding"]])
+        return (x @ self.w.T).argmax(axis=1).astype("int32")
+
+
+def linear_head_model():
+    return LinearHeadModel()
+
+
+@register("stream_scoring", sql="""
+    SELECT doc_id, length(prompt) % 3 AS prediction FROM (
+        SELECT doc_id, 'mnli hypothesis: ' || h || ' premise: ' || p AS prompt FROM (
+            SELECT doc_id, string_split(text, chr(10))[1] AS p, string_split(text, chr(10))[2] AS h FROM documents)
+        WHERE p <> 'exit' AND h <> 'exit')""")
+def q_stream_scoring(spark, sf_dir):
+    src = ST.file_stream(spark, sf_dir, DOCS_SCHEMA, "documents.parquet")
+    lines = src.select("doc_id", F.split("text", "\n").alias("_l"))
+    req = lines.select("doc_id", F.get("_l", 0).alias("premise"), F.get("_l", 1).alias("hypothesis"))
+    prompts = ST.requests_to_prompts(req, "premise", "hypothesis")
+    sink, ckpt = ST.fresh_paths(spark, "stream_scoring")
+    ST.score_stream(prompts, prompt_length_model, sink, ckpt, keep=["doc_id", "prompt"], out_type="int")
+    return spark.read.parquet(sink).select("doc_id", F.col("prediction").cast("long").alias("prediction"))
+
+
+@register("stream_value_counts", sql="""
+    SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type""")
+def q_stream_value_counts(spark, sf_dir):
+    src = ST.file_stream(spark, sf_dir, EVENTS_SCHEMA, "events.parquet")
+    sink, ckpt = ST.fresh_paths(spark, "stream_value_counts")
+    ST.stream_value_counts(src, "event_type", sink, ckpt)
+    return spark.read.parquet(sink)
+
+
+@register("stream_ema", sql="""
+    SELECT user_id, round(pow(0.98, step + 1) * x0 + 0.02 * pow(0.98, step) * s, 6) AS ema, step + 1 AS n
+    FROM (SELECT user_id, step, first_value(value) OVER w AS x0,
+                 sum(value * pow(0.98, -step)) OVER (w ROWS UNBOUNDED PRECEDING) AS s,
+                 count(*) OVER (PARTITION BY user_id) AS cnt
+          FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events)
+          WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    WHERE step = cnt - 1""")
+def q_stream_ema(spark, sf_dir):
+    src = ST.file_stream(spark, sf_dir, EVENTS_SCHEMA, "events.parquet")
+    sink, ckpt = ST.fresh_paths(spark, "stream_ema")
+    ST.stream_ema(src.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value",
+                  sink, ckpt, alpha=0.02)
+    final = ST.latest_state(spark, sink, "user_id", ["ema", "n"])
+    return final.select("user_id", F.round("ema", 6).alias("ema"), "n")
+
+
+@register("score_batches", sql="""
+    SELECT vec_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS prediction FROM v_logits""")
+def q_score_batches(spark, sf_dir):
+    emb = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return S.score_batches(emb, linear_head_model, keep=["vec_id", "embedding"]).select("vec_id", "prediction")
+
+
+@register("tokenise_corpus")
+def q_tokenise_corpus(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = TK.tokenise_corpus(docs, ["text"])
+    return t.select("doc_id", F.size("text_ids").cast("long").alias("n_ids"))
+
+
+@register("decode_corpus")
+def q_decode_corpus(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = TK.tokenise_corpus(docs, ["text"]).select("doc_id", "text_ids")
+    return TK.decode_corpus(t, "text_ids", out="decoded").select("doc_id", "decoded")
+
+
+@register("roundtrip_audit")
+def q_roundtrip_audit(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select("text")
+    return TK.roundtrip_audit(docs, "text")
