@@ -80,8 +80,8 @@ def check_labels(df: DataFrame, label: str = "label") -> DataFrame:
 def assert_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """F6 as a guard: fails the job (not the driver) when labels are not contiguous."""
     rep = check_labels(df, label)
-    return rep.select("*", F.when(~F.col("ok"), F.raise_error(F.lit("labels are not 0..k-1")))
-                      .otherwise(F.lit(None)).alias("_guard")).drop("_guard")
+    return rep.withColumn("ok", F.when(~F.col("ok"), F.raise_error(F.lit("labels are not 0..k-1")))
+                          .otherwise(F.col("ok")))
 
 
 def filter_report(df: DataFrame, predicate: Column, by: Sequence[str] = ()) -> DataFrame:
