@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 
 from textpairs.functions import arrays as A
 from textpairs.operators.rank import hash_rank, ordered_rank, seeded_hash
+from textpairs.session import materialise
 
 CHUNK = 50  # batches per sortish chunk
 
 
-def length_order(df: DataFrame, length: str, key: str, name: str = "rank") -> DataFrame:
+def _sort_key(length: str, sort_key) -> Column:
+    """An optional ``f(Column) -> Column`` applied to the length column."""
+    c = F.col(length)
+    return sort_key(c) if sort_key is not None else c
+
+
+def length_order(df: DataFrame, length: str, key: str, name: str = "rank", sort_key=None) -> DataFrame:
     """Position by (length desc, key) -- the reference's longest-first order."""
-    return ordered_rank(df, [F.col(length).desc(), F.col(key).asc()], name=name)
+    return ordered_rank(df, [_sort_key(length, sort_key).desc(), F.col(key).asc()], name=name)
 
 
 def fixed_batches(df: DataFrame, order, batch_size: int, drop_last: bool = False,
@@ -36,7 +43,7 @@ def fixed_batches(df: DataFrame, order, batch_size: int, drop_last: bool = False
 
 
 def sortish_batches(df: DataFrame, key: str, length: str, batch_size: int, seed=738,
-                    chunk: int = CHUNK) -> DataFrame:
+                    chunk: int = CHUNK, sort_key=None) -> DataFrame:
     """Length-bucketed shuffle into batches.
 
     rank (seeded) -> chunk of chunk*bs rows -> position in chunk by (length
@@ -46,11 +53,18 @@ def sortish_batches(df: DataFrame, key: str, length: str, batch_size: int, seed=
     ``batch_order`` (position of the batch) and ``slot`` (position inside it).
     """
     bs = batch_size
+    if sort_key is not None:
+        df = df.withColumn("_tp_len", _sort_key(length, sort_key))
+        out = sortish_batches(df, key, "_tp_len", batch_size, seed, chunk)
+        return out.drop("_tp_len")
     r = hash_rank(df, key, seed, name="_tp_rank")
     r = r.withColumn("_tp_chunk", F.floor(F.col("_tp_rank") / (chunk * bs)).cast("long"))
     in_chunk = Window.partitionBy("_tp_chunk").orderBy(F.col(length).desc(), F.col(key).asc())
     r = r.withColumn("_tp_pos", (F.row_number().over(in_chunk) - 1).cast("long"))
     r = r.withColumn("batch", (F.col("_tp_chunk") * chunk + F.floor(F.col("_tp_pos") / bs)).cast("long"))
+    # the positioned rows feed two scalar subqueries, the batch table and the
+    # final join: write them once instead of re-ranking for every consumer
+    r = materialise(r)
     bt = r.groupBy("batch").agg(F.count(F.lit(1)).alias("_tp_size"), F.max(length).alias("_tp_head"))
     top = bt.select(F.max_by("batch", F.struct(F.col("_tp_size") == bs, F.col("_tp_head"), -F.col("batch")))).scalar()
     last_b = bt.select(F.max("batch")).scalar()

@@ -59,6 +59,13 @@ def token_accuracy(df: DataFrame, pred: str, target: str, mask: str) -> DataFram
                   (F.sum(masked) / F.sum(mask_sum)).alias("acc_masked"))
 
 
+def row_loss(df: DataFrame, logits: str, target: str, loss_fn=None, out: str = "loss") -> DataFrame:
+    """Per-row loss with a pluggable ``f(logits Column, target Column) -> Column``
+    (cross-entropy by default)."""
+    fn = loss_fn or cross_entropy
+    return df.withColumn(out, fn(F.col(logits), F.col(target)))
+
+
 def mean_cross_entropy(df: DataFrame, logits: str, target: str) -> DataFrame:
     """Mean cross-entropy of one label per row."""
     return df.agg(F.avg(cross_entropy(logits, target)).alias("loss"), F.count(F.lit(1)).alias("n"))

@@ -10,14 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpairs.session import spread
+
 # Fixed values of the bridge (not of the reference): vocabulary ids below
 # RESERVED are kept for control and byte pieces, as in the 32k piece model.
 RESERVED = 259
 NEWLINE = "\n"
 
 
+# tables whose rows carry long texts: per-row work on them is spread over the
+# cluster when the scan itself is narrow (see ``session.spread``)
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = spread(df, TEXT_TABLES[name])
+    return df
 
 
 def _lines_of(text: Column) -> Column:
@@ -142,7 +152,11 @@ def v_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word vocabulary: id = RESERVED + rank by (count desc, word asc)."""
     from textpairs.operators.rank import ordered_rank
 
-    counts = v_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    # splitting on newline-or-space gives exactly the words of v_words (lines
+    # split on '\n', then on ' '), without materialising the lines
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.split(F.col("text"), "[ \n]")).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = ordered_rank(counts, [F.col("cnt").desc(), F.col("word").asc()], name="_r")
     return ranked.select("word", (F.col("_r") + RESERVED).cast("int").alias("id"), "cnt")
 

@@ -11,6 +11,7 @@ from textpairs.operators import vocab as V
 from textpairs.plans import bridge as B
 from textpairs.plans.q_clean import NLI_EXAMPLES_CTE, nli_examples
 from textpairs.plans.registry import register
+from textpairs.session import materialise
 
 NLI_TOK_CTES = dict(NLI_EXAMPLES_CTE, **{
     "tok_words": """
@@ -45,11 +46,16 @@ NLI_TOK_CTES = dict(NLI_EXAMPLES_CTE, **{
 })
 
 
-def nli_tok(spark, sf_dir):
-    """NLI examples with vocabulary-table ids (the shared input of Q5-Q12, U4, V*)."""
+def nli_tok(spark, sf_dir, cache: bool = False):
+    """NLI examples with vocabulary-table ids (the shared input of Q5-Q12, U4, V*).
+
+    ``cache=True`` writes the tokenised corpus once (the reference's cache point
+    after tokenisation) for queries that read it from several branches.
+    """
     ex = nli_examples(spark, sf_dir)
     ids = TK.tokenise_vocab(ex, ["id"], ["premise", "hypothesis"], B.v_vocab(spark, sf_dir))
-    return ex.join(ids, "id")
+    tok = ex.join(ids, "id")
+    return materialise(tok) if cache else tok
 
 
 def _seen(spark, sf_dir):
@@ -108,7 +114,7 @@ _REMAP_SQL = """
 
 @register("remap_ids", sql=_REMAP_SQL, ctes=NLI_TOK_CTES)
 def q_remap_ids(spark, sf_dir):
-    tok = nli_tok(spark, sf_dir)
+    tok = nli_tok(spark, sf_dir, cache=True)
     m = V.id_map(V.kept_ids(V.seen_ids(tok, ["premise_ids", "hypothesis_ids"])))
     r = V.remap_ids(tok, ["id"], "premise_ids", m, out="premise_new")
     return r.select("id", F.array_join("premise_new", ",").alias("premise_new"))
@@ -122,7 +128,7 @@ def q_remap_ids(spark, sf_dir):
     LEFT JOIN kept k ON k.token_id = t.old GROUP BY t.id, t.side""", ctes=NLI_TOK_CTES)
 def q_prune_end_to_end(spark, sf_dir):
     """V4: corpus -> seen -> kept ids -> both id columns remapped to the pruned vocabulary."""
-    tok = nli_tok(spark, sf_dir)
+    tok = nli_tok(spark, sf_dir, cache=True)
     m = V.id_map(V.kept_ids(V.seen_ids(tok, ["premise_ids", "hypothesis_ids"])))
     sides = tok.select("id", F.lit(0).alias("side"), F.col("premise_ids").alias("ids")).unionByName(
         tok.select("id", F.lit(1).alias("side"), F.col("hypothesis_ids").alias("ids")))

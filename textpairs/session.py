@@ -103,6 +103,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_counter)}")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a narrow scan over the cluster before per-row heavy work.
+
+    Only when the input has fewer partitions than the default parallelism (a
+    single large file or row group); a wide input is returned untouched, so at
+    scale this adds no shuffle.  Partitioning by ``keys`` lets later joins and
+    aggregations on them reuse it.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
