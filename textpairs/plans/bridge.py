@@ -34,6 +34,17 @@ def _lines_of(text: Column) -> Column:
     return F.split(text, NEWLINE)
 
 
+def head_lines(lines: Column) -> Column:
+    """Every line but the last, joined by a space (the whole text when it has one line)."""
+    n = F.size(lines)
+    return F.when(n >= 2, F.array_join(F.slice(lines, 1, n - 1), " ")).otherwise(F.get(lines, 0))
+
+
+def last_line(lines: Column) -> Column:
+    """The last line; null when the text has a single line."""
+    return F.when(F.size(lines) >= 2, F.element_at(lines, -1))
+
+
 def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> (doc_id, line_no, line), one row per line (S4 over a text column)."""
     docs = table(spark, sf_dir, "documents")
@@ -45,7 +56,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw NLI rows: pairID, sentence1 = line 0, sentence2 = line 1, gold_label from labels."""
+    """Raw NLI rows over whole texts: pairID, sentence1 = all lines but the last,
+    sentence2 = the last line (null for a one-line text), gold_label from labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", _lines_of(F.col("text")).alias("_l"))
     j = docs.join(_labels(spark, sf_dir), "doc_id", "left")
     gold = (F.when(F.col("_has_label").isNull(), F.lit("-"))
@@ -53,22 +65,22 @@ def v_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("quality") == 1, F.lit("entailment"))
              .otherwise(F.lit("neutral")))
     return j.select(F.col("doc_id").cast("string").alias("pairID"),
-                    F.get(F.col("_l"), 0).alias("sentence1"),
-                    F.get(F.col("_l"), 1).alias("sentence2"),
+                    head_lines(F.col("_l")).alias("sentence1"),
+                    last_line(F.col("_l")).alias("sentence2"),
                     gold.alias("gold_label"),
                     "source")
 
 
 def v_qqp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw question pairs: documents joined to labels."""
+    """Raw question pairs over whole texts (split as in ``v_nli``): documents joined to labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", _lines_of(F.col("text")).alias("_l"))
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(lab, "doc_id").select(
         F.col("doc_id").alias("id"),
         (F.col("doc_id") * 2).alias("qid1"),
         (F.col("doc_id") * 2 + 1).alias("qid2"),
-        F.get(F.col("_l"), 0).alias("question1"),
-        F.get(F.col("_l"), 1).alias("question2"),
+        head_lines(F.col("_l")).alias("question1"),
+        last_line(F.col("_l")).alias("question2"),
         F.col("quality").alias("is_duplicate"))
 
 
@@ -97,10 +109,10 @@ def v_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrase list: phrase_index = doc_id, phrase = first line."""
+    """Phrase list: phrase_index = doc_id, phrase = the whole text on one line."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("phrase_index"),
-                       F.get(_lines_of(F.col("text")), 0).alias("phrase"))
+                       F.replace(F.col("text"), F.lit(NEWLINE), F.lit(" ")).alias("phrase"))
 
 
 def v_index(spark: SparkSession, sf_dir: str) -> DataFrame:

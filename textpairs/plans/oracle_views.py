@@ -14,24 +14,28 @@ def _weights_sql() -> str:
     return "[" + ", ".join(rows) + "]"
 
 
+# all lines but the last joined by a space / the last line (null for one line)
+_HEAD = "CASE WHEN len({l}) >= 2 THEN array_to_string({l}[1:len({l}) - 1], ' ') ELSE {l}[1] END"
+_LAST = "CASE WHEN len({l}) >= 2 THEN {l}[len({l})] END"
+
 VIEWS: dict[str, str] = {
     "v_lines": """
         SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS line_no, unnest(l) AS line
         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
-    "v_nli": """
+    "v_nli": f"""
         SELECT CAST(d.doc_id AS VARCHAR) AS pairID,
-               string_split(d.text, chr(10))[1] AS sentence1,
-               string_split(d.text, chr(10))[2] AS sentence2,
+               {_HEAD.format(l="string_split(d.text, chr(10))")} AS sentence1,
+               {_LAST.format(l="string_split(d.text, chr(10))")} AS sentence2,
                CASE WHEN l.doc_id IS NULL THEN '-'
                     WHEN l.toxic = 1 THEN 'contradiction'
                     WHEN l.quality = 1 THEN 'entailment'
                     ELSE 'neutral' END AS gold_label,
                d.source AS source
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "v_qqp": """
+    "v_qqp": f"""
         SELECT d.doc_id AS id, d.doc_id * 2 AS qid1, d.doc_id * 2 + 1 AS qid2,
-               string_split(d.text, chr(10))[1] AS question1,
-               string_split(d.text, chr(10))[2] AS question2,
+               {_HEAD.format(l="string_split(d.text, chr(10))")} AS question1,
+               {_LAST.format(l="string_split(d.text, chr(10))")} AS question2,
                l.quality AS is_duplicate
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "v_turn_pairs": """
@@ -42,7 +46,7 @@ VIEWS: dict[str, str] = {
     "v_groups": """
         SELECT source AS paraphrase_group_index, doc_id AS phrase_index FROM documents""",
     "v_phrases": """
-        SELECT doc_id AS phrase_index, string_split(text, chr(10))[1] AS phrase FROM documents""",
+        SELECT doc_id AS phrase_index, replace(text, chr(10), ' ') AS phrase FROM documents""",
     "v_index": """
         SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS qid1,
                '5/4/3/2/1/'

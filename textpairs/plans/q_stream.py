@@ -47,14 +47,14 @@ def linear_head_model():
 
 
 @register("stream_scoring", sql="""
-    SELECT doc_id, length(prompt) % 3 AS prediction FROM (
-        SELECT doc_id, 'mnli hypothesis: ' || h || ' premise: ' || p AS prompt FROM (
-            SELECT doc_id, string_split(text, chr(10))[1] AS p, string_split(text, chr(10))[2] AS h FROM documents)
-        WHERE p <> 'exit' AND h <> 'exit')""")
+    SELECT pairID AS doc_id, length(prompt) % 3 AS prediction FROM (
+        SELECT pairID, 'mnli hypothesis: ' || sentence2 || ' premise: ' || sentence1 AS prompt FROM v_nli
+        WHERE sentence1 <> 'exit' AND sentence2 <> 'exit')""")
 def q_stream_scoring(spark, sf_dir):
     src = ST.file_stream(spark, sf_dir, DOCS_SCHEMA, "documents.parquet")
     lines = src.select("doc_id", F.split("text", "\n").alias("_l"))
-    req = lines.select("doc_id", F.get("_l", 0).alias("premise"), F.get("_l", 1).alias("hypothesis"))
+    req = lines.select(F.col("doc_id").cast("string").alias("doc_id"),
+                       B.head_lines(F.col("_l")).alias("premise"), B.last_line(F.col("_l")).alias("hypothesis"))
     prompts = ST.requests_to_prompts(req, "premise", "hypothesis")
     sink, ckpt = ST.fresh_paths(spark, "stream_scoring")
     ST.score_stream(prompts, prompt_length_model, sink, ckpt, keep=["doc_id", "prompt"], out_type="int")

@@ -111,9 +111,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     scale this adds no shuffle.  Partitioning by ``keys`` lets later joins and
     aggregations on them reuse it.
     """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:  # planning only, no job
+            return df
+    except Exception:  # noqa: BLE001 - no RDD API on this session: leave the plan alone
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
