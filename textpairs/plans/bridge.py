@@ -23,10 +23,19 @@ NEWLINE = "\n"
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        df = spread(df, TEXT_TABLES[name])
+    """A test table (one plan per session and path: the schema is read once)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        if name in TEXT_TABLES:
+            df = spread(df, TEXT_TABLES[name])
+        _TABLES[key] = df
     return df
 
 

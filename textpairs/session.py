@@ -24,6 +24,10 @@ DEFAULT_CONF = {
     # the reference tokenises in batches of 1,024 rows; Arrow batches match it
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # collect_list regroups (tokenisation, id remapping) keep up to this many
+    # groups per task in the object hash map, then fall back to the spillable
+    # sort-based path (the default, 128, falls back almost at once)
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
 }
 
 
