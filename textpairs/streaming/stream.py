@@ -49,8 +49,18 @@ def run_available_now(writer, checkpoint: str):
 
 
 def requests_to_prompts(stream: DataFrame, premise: str | None, hypothesis: str | None = None,
-                        task: str = "mnli") -> DataFrame:
-    """X1 front half: drop stop-word requests, build the prompt (NLI or paraphrase)."""
+                        task: str = "mnli", dedupe_on: Sequence[str] = (),
+                        event_time: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """X1 front half: drop stop-word requests, build the prompt (NLI or paraphrase).
+
+    With ``dedupe_on`` and ``event_time``, repeated requests inside the
+    watermark delay are dropped (``dropDuplicatesWithinWatermark``); state is
+    bounded by the delay.
+    """
+    if dedupe_on:
+        if event_time is None:
+            raise ValueError("de-duplication needs an event-time column for the watermark")
+        stream = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(dedupe_on))
     if hypothesis is not None:
         keep = (F.col(premise) != STOP_WORD) & (F.col(hypothesis) != STOP_WORD)
         return stream.filter(keep).withColumn("prompt", nli_prompt(premise, hypothesis, task))
