@@ -4,7 +4,7 @@
 import pytest
 
 from tests.conftest import SF_SMALL
-from tools.check_oracle import digest
+from tools.check_oracle import _same_type, digest
 
 import __spark_entry__ as E
 
@@ -33,5 +33,8 @@ def test_matches_oracle(spark, duck, key):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    for f in df.schema.fields:
+        assert _same_type(f.dataType.simpleString(), dtypes[f.name]), (f.name, f.dataType, dtypes[f.name])
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]

@@ -57,7 +57,7 @@ def top_candidates(df: DataFrame, key: str, candidate: str, score: str, n: int,
     WindowGroupLimit so only n rows per input survive the sort.
     """
     w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(candidate).asc())
-    return df.withColumn(name, F.row_number().over(w) - 1).filter(F.col(name) < n)
+    return df.withColumn(name, (F.row_number().over(w) - 1).cast("long")).filter(F.col(name) < n)
 
 
 _PREDICTORS: dict[int, object] = {}

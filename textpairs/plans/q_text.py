@@ -56,7 +56,7 @@ def q_treebank_tokenise(spark, sf_dir):
     lines = B.v_lines(spark, sf_dir)
     toks = TB.treebank_tokenise(F.col("line"))
     return lines.select("doc_id", "line_no", F.array_join(toks, " ").alias("tokens"),
-                        F.size(toks).alias("n_tokens"))
+                        F.size(toks).cast("long").alias("n_tokens"))
 
 
 @register("treebank_detokenise", sql=f"""
@@ -75,7 +75,8 @@ def q_treebank_detokenise(spark, sf_dir):
 def q_space_split(spark, sf_dir):
     lines = B.v_lines(spark, sf_dir)
     s = T.space_split("line")
-    return lines.select("doc_id", "line_no", F.size(s).alias("n_tokens"), F.array_join(s, "|").alias("joined"))
+    return lines.select("doc_id", "line_no", F.size(s).cast("long").alias("n_tokens"),
+                        F.array_join(s, "|").alias("joined"))
 
 
 @register("equal_ignoring_space", sql=f"""

@@ -144,7 +144,7 @@ def q_gather_rows(spark, sf_dir):
     emb = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     g = V.gather_rows(emb, V.id_map(_kept(spark, sf_dir)), "id")
     total = F.aggregate(F.col("embedding"), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
-    return g.select("new_id", F.col("id").alias("old_id"), F.size("embedding").alias("dim"),
+    return g.select("new_id", F.col("id").alias("old_id"), F.size("embedding").cast("long").alias("dim"),
                     M.round_double(total).alias("checksum"))
 
 
