@@ -78,10 +78,11 @@ def ordered_rank(df: DataFrame, order: Sequence[ColumnLike], name: str = "rank",
     ``min`` joined back; AQE splits a hot group on that join).
     """
     part = list(partition_by)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc() for c in part] + [_col(o) for o in order]
-    s = (df.repartitionByRange(n, *keys)
+    # without a fixed count AQE may coalesce neighbouring ranges (order is kept);
+    # partition ids are read after that, and written with the rows
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    s = (ranged
            .sortWithinPartitions(*keys)
            .withColumn(_PID, F.spark_partition_id())
            .withColumn(_MID, F.monotonically_increasing_id()))
