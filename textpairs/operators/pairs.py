@@ -45,6 +45,17 @@ def parse_index_string(df: DataFrame, col: str, qid: str, keep: Sequence[str] =
     return out
 
 
+def both_sides(index_df: DataFrame, id_cols: Sequence[str], s1: str = "sentence1", q1: str = "qid1",
+               s2: str = "sentence2", q2: str = "qid2") -> DataFrame:
+    """T7 over both sentences of a pair row, from one pass: the two
+    (side, index string, qid) entries are stacked by an inline, then parsed."""
+    ids = list(id_cols)
+    stacked = index_df.select(*ids, F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), F.col(s1).alias("_tp_s"), F.col(q1).cast("bigint").alias("_tp_q")),
+        F.struct(F.lit(1).alias("side"), F.col(s2).alias("_tp_s"), F.col(q2).cast("bigint").alias("_tp_q")))))
+    return parse_index_string(stacked, "_tp_s", "_tp_q", keep=[*ids, "side"])
+
+
 def lookup_tokens(refs: DataFrame, tokens: DataFrame, qid: str = "qid", idx: str = "idx",
                   token_col: str = "tokens") -> DataFrame:
     """Resolve ``(qid, idx)`` against ``tokens(qid, tokens)``.
@@ -82,9 +93,7 @@ def rebuild_pairs(index_df: DataFrame, tokens: DataFrame, id_cols: Sequence[str]
                   s1: str = "sentence1", q1: str = "qid1", s2: str = "sentence2", q2: str = "qid2") -> DataFrame:
     """Rebuild both sentences of each row with one shuffle; ``ok`` when both succeed."""
     ids = list(id_cols)
-    refs = parse_index_string(index_df, s1, q1, keep=ids, side=0).unionByName(
-        parse_index_string(index_df, s2, q2, keep=ids, side=1))
-    res = lookup_tokens(refs, tokens)
+    res = lookup_tokens(both_sides(index_df, ids, s1, q1, s2, q2), tokens)
     g = res.groupBy(*ids).agg(
         F.sort_array(F.collect_list(F.struct("side", "part", "sub", "token"))).alias("_tp_e"),
         F.bool_and(F.col("reason").isNull()).alias("ok"))
@@ -100,9 +109,7 @@ def missing_refs(index_df: DataFrame, tokens: DataFrame, id_cols: Sequence[str]
                  s1: str = "sentence1", q1: str = "qid1", s2: str = "sentence2", q2: str = "qid2") -> DataFrame:
     """The references that cannot be resolved, with the reason."""
     ids = list(id_cols)
-    refs = parse_index_string(index_df, s1, q1, keep=ids, side=0).unionByName(
-        parse_index_string(index_df, s2, q2, keep=ids, side=1))
-    return lookup_tokens(refs, tokens).filter(F.col("reason").isNotNull()) \
+    return lookup_tokens(both_sides(index_df, ids, s1, q1, s2, q2), tokens).filter(F.col("reason").isNotNull()) \
         .select(*ids, "side", "part", "sub", "qid", "idx", "reason")
 
 
@@ -120,11 +127,11 @@ def first_seen(df: DataFrame, sides: Sequence[tuple[str, str]], order: Sequence[
     ``sides`` lists (key column, value column) per side, in side order.
     ``min_by`` is a partial aggregate: a hot key is combined map-side.
     """
-    stacked = None
-    for s, (k, v) in enumerate(sides):
-        part = df.select(F.col(k).alias(key), F.col(v).alias(value),
-                         F.struct(*[F.col(o) for o in order], F.lit(s).alias("_side")).alias("_tp_o"))
-        stacked = part if stacked is None else stacked.unionByName(part)
+    # both sides from one pass (inline of an array of structs, not a union)
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.col(k).alias(key), F.col(v).alias(value),
+                 F.struct(*[F.col(o) for o in order], F.lit(s).alias("_side")).alias("_tp_o"))
+        for s, (k, v) in enumerate(sides)])))
     return stacked.groupBy(key).agg(F.min_by(value, "_tp_o").alias(value))
 
 

@@ -128,7 +128,7 @@ def decode_corpus(df: DataFrame, col: str, model_path: str | None = None, out: s
 
 def tokenise_vocab(df: DataFrame, keys: Sequence[str], cols: Sequence[str], vocab: DataFrame,
                    add_eos: bool = True, unk: int = UNK_ID, eos: int = EOS_ID,
-                   suffix: str = "_ids") -> DataFrame:
+                   suffix: str = "_ids", carry: Sequence[str] = ()) -> DataFrame:
     """Q2: split on single spaces, look each word up in ``vocab(word, id)``
     (unknown -> unk), append the end token; one array per text column.
 
@@ -136,19 +136,22 @@ def tokenise_vocab(df: DataFrame, keys: Sequence[str], cols: Sequence[str], voca
     broadcasts it when its runtime size allows, else a skew-split sort-merge
     join), and re-collected per key: one shuffle for the join, one for the
     regroup.  A null text gives a null array; every input key is kept.
+    ``carry`` columns (small, functionally dependent on the keys, e.g. a label)
+    ride through the regroup, so no join back to the input is needed.
     """
-    keys, cols = list(keys), list(cols)
-    stacked = None
-    for i, c in enumerate(cols):
-        part = df.select(*keys, F.lit(i).alias("_tp_c"), F.col(c).alias("_tp_t"))
-        stacked = part if stacked is None else stacked.unionByName(part)
+    keys, cols, carry = list(keys), list(cols), list(carry)
+    # one pass over the input: the text columns are stacked by an explode of an
+    # array of (column number, text) structs, not by a union of re-reads
+    stacked = df.select(*keys, *carry, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_tp_c"), F.col(c).alias("_tp_t")) for i, c in enumerate(cols)])))
     # a null text explodes to one (null, null) marker row, so every key survives
     words = stacked.select(
-        *keys, "_tp_c", F.posexplode_outer(F.split(F.col("_tp_t"), " ")).alias("_tp_p", "word"))
+        *keys, *carry, "_tp_c", F.posexplode_outer(F.split(F.col("_tp_t"), " ")).alias("_tp_p", "word"))
     v = vocab.select("word", F.col("id").alias("_tp_id"))
     j = words.join(v, "word", "left").withColumn(
         "_tp_id", F.when(F.col("_tp_p").isNotNull(), F.coalesce(F.col("_tp_id"), F.lit(unk))))
-    g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_tp_c", "_tp_p", "_tp_id"))).alias("_tp_e"))
+    g = j.groupBy(*keys, *carry).agg(
+        F.sort_array(F.collect_list(F.struct("_tp_c", "_tp_p", "_tp_id"))).alias("_tp_e"))
     tail = F.array(F.lit(eos)) if add_eos else F.array().cast("array<int>")
     sel = []
     def of_column(i: int):
@@ -160,7 +163,7 @@ def tokenise_vocab(df: DataFrame, keys: Sequence[str], cols: Sequence[str], voca
         ids = F.concat(F.transform(mine, lambda e: e["_tp_id"]), tail).cast("array<int>")
         is_null = F.exists(mine, lambda e: e["_tp_p"].isNull())
         sel.append(F.when(~is_null, ids).alias(c + suffix))
-    return g.select(*keys, *sel)
+    return g.select(*keys, *carry, *sel)
 
 
 def roundtrip_audit(df: DataFrame, text: str, model_path: str | None = None) -> DataFrame:

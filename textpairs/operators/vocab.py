@@ -22,11 +22,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 def seen_ids(df: DataFrame, cols: Sequence[str], name: str = "token_id") -> DataFrame:
     """U4: distinct ids over every id-array column (partial distinct before the shuffle)."""
-    out = None
-    for c in cols:
-        part = df.select(F.explode(F.col(c)).alias(name)).distinct()
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    every = F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<int>")) for c in cols]))
+    return df.select(F.explode(every).alias(name)).distinct()
 
 
 def add_meta_ids(seen: DataFrame, reserved: int = RESERVED, name: str = "token_id") -> DataFrame:

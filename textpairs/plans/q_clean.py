@@ -113,13 +113,11 @@ def q_filter_report(spark, sf_dir):
     FROM v_nli""")
 def q_optional_label(spark, sf_dir):
     raw = B.v_nli(spark, sf_dir)
-    usable = clean.nli_usable()
-    # unusable rows are "unlabelled": the label column is null for them
-    lab = clean.encode_label(raw.filter(usable), on_unknown="null").select("pairID", "label")
-    rows = raw.select("pairID").join(lab, "pairID", "left")
-    opt = clean.with_optional_label(rows, "label")
-    filled = clean.with_optional_label(opt.withColumnRenamed("label", "label_filled"), "label_filled", default=0)
-    return filled.join(opt, "pairID").select(F.col("pairID").alias("id"), "label", "label_filled")
+    # unusable rows are "unlabelled": their label column is null (one projection, no join)
+    masked = raw.select(F.col("pairID").alias("id"),
+                        F.when(clean.nli_usable(), F.col("gold_label")).alias("gold_label"))
+    enc = clean.with_optional_label(clean.encode_label(masked, on_unknown="null"), "label")
+    return enc.select("id", "label", F.coalesce(F.col("label"), F.lit(0)).alias("label_filled"))
 
 
 @register("every_nth", sql="""

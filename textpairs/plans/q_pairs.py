@@ -51,9 +51,7 @@ REF_CTES = {
 
 
 def _refs(spark, sf_dir):
-    idx = B.v_index(spark, sf_dir)
-    return P.parse_index_string(idx, "sentence1", "qid1", keep=["id", "label"], side=0).unionByName(
-        P.parse_index_string(idx, "sentence2", "qid2", keep=["id", "label"], side=1))
+    return P.both_sides(B.v_index(spark, sf_dir), ["id", "label"])
 
 
 def _looked(spark, sf_dir):

@@ -53,8 +53,7 @@ def nli_tok(spark, sf_dir, cache: bool = False):
     after tokenisation) for queries that read it from several branches.
     """
     ex = nli_examples(spark, sf_dir)
-    ids = TK.tokenise_vocab(ex, ["id"], ["premise", "hypothesis"], B.v_vocab(spark, sf_dir))
-    tok = ex.join(ids, "id")
+    tok = TK.tokenise_vocab(ex, ["id"], ["premise", "hypothesis"], B.v_vocab(spark, sf_dir), carry=["label"])
     return materialise(tok) if cache else tok
 
 
