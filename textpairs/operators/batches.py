@@ -31,9 +31,19 @@ def length_order(df: DataFrame, length: str, key: str, name: str = "rank", sort_
 
 def fixed_batches(df: DataFrame, order, batch_size: int, drop_last: bool = False,
                   name: str = "batch") -> DataFrame:
-    """batch = position // bs; ``drop_last`` removes a final partial batch."""
+    """batch = position // bs; ``drop_last`` removes a final partial batch.
+
+    When the order is a list of column names -- which must form a unique key,
+    as a row index does -- only the key is range-sorted and checkpointed; wide
+    rows (token arrays) join their position back on the key (an equi-join on a
+    unique key: no skew) and are never written to the checkpoint.
+    """
     cols = [order] if isinstance(order, (str, Column)) else list(order)
-    r = ordered_rank(df, cols, name="_tp_pos")
+    if all(isinstance(c, str) for c in cols):
+        pos = ordered_rank(df.select(*cols), cols, name="_tp_pos")
+        r = df.join(pos, cols)
+    else:
+        r = ordered_rank(df, cols, name="_tp_pos")
     r = r.withColumn(name, F.floor(F.col("_tp_pos") / batch_size).cast("long")) \
          .withColumn("slot", (F.col("_tp_pos") % batch_size).cast("int")).drop("_tp_pos")
     if drop_last:

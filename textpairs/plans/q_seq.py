@@ -142,7 +142,7 @@ def q_pad_batch(spark, sf_dir):
 
 
 def _collated(spark, sf_dir):
-    b = BT.fixed_batches(seq2seq(spark, sf_dir), [F.col("id"), F.col("swapped")], BATCH)
+    b = BT.fixed_batches(seq2seq(spark, sf_dir), ["id", "swapped"], BATCH)
     return BT.collate(b, "batch", "src", "tgt", S2S_MAX_LEN, pad=TK.PAD_ID, start=0, mode="seq2seq")
 
 
