@@ -17,9 +17,15 @@ QUESTION_PAIRS = {"question1": "sentence1", "question2": "sentence2", "is_duplic
 NLI_COLUMNS = {"pairID": "id", "sentence1": "premise", "sentence2": "hypothesis"}
 
 
-def canonical_pairs(df: DataFrame, mapping: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """keep ``keep`` + the mapped columns, renamed to canonical names."""
-    return df.select(*keep, *[F.col(src).alias(dst) for src, dst in mapping.items()])
+def canonical_pairs(df: DataFrame, mapping: Mapping[str, str], keep: Sequence[str] = (),
+                    drop_null: bool = False) -> DataFrame:
+    """keep ``keep`` + the mapped columns, renamed to canonical names.
+
+    Null texts are kept, as the reference keeps null questions; ``drop_null``
+    removes rows with a null in any mapped column.
+    """
+    out = df.select(*keep, *[F.col(src).alias(dst) for src, dst in mapping.items()])
+    return out.dropna(subset=list(mapping.values())) if drop_null else out
 
 
 def positive_pairs(df: DataFrame, label: str = "is_duplicate") -> DataFrame:

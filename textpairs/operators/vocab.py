@@ -102,6 +102,15 @@ def vocab_coverage(corpus_ids: DataFrame, col: str, kept: DataFrame, by: Sequenc
                               (F.count("_tp_k") / F.count(F.lit(1))).alias("coverage"))
 
 
+def prune_report(pieces: DataFrame, kept: DataFrame) -> DataFrame:
+    """V1 vs V2: kept pieces, kept ids and their difference (seen ids beyond
+    the piece table make the embedding matrix and the vocabulary differ)."""
+    p = pieces.agg(F.count(F.lit(1)).alias("kept_pieces"))
+    k = kept.agg(F.count(F.lit(1)).alias("kept_ids"))
+    return p.select("kept_pieces", k.select("kept_ids").scalar().alias("kept_ids")) \
+            .withColumn("ids_without_piece", F.col("kept_ids") - F.col("kept_pieces"))
+
+
 def kept_ids_json(kept: DataFrame, name: str = "token_id") -> DataFrame:
     """S8 (write side): one row holding the sorted JSON list of kept ids.
 

@@ -105,6 +105,17 @@ def q_prune_vocab(spark, sf_dir):
     return V.prune_vocab(vocab, _seen(spark, sf_dir))
 
 
+@register("prune_report", sql="""
+    SELECT p.kept_pieces, k.kept_ids, k.kept_ids - p.kept_pieces AS ids_without_piece
+    FROM (SELECT count(*) AS kept_pieces FROM full_vocab
+          WHERE id < 259 OR id IN (SELECT token_id FROM seen)) p,
+         (SELECT count(*) AS kept_ids FROM kept) k""", ctes=NLI_TOK_CTES)
+def q_prune_report(spark, sf_dir):
+    seen = _seen(spark, sf_dir)
+    pieces = V.prune_vocab(V.vocab_table(B.v_vocab(spark, sf_dir)), seen)
+    return V.prune_report(pieces, V.kept_ids(seen))
+
+
 _REMAP_SQL = """
     SELECT t.id, array_to_string(list(coalesce(k.new_id, 0) ORDER BY t.p), ',') AS premise_new
     FROM (SELECT id, unnest(premise_ids) AS old, unnest(range(len(premise_ids))) AS p FROM nli_tok) t
