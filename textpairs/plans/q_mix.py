@@ -10,7 +10,7 @@ from textpairs.operators import mix as X
 from textpairs.operators.split import split_three
 from textpairs.plans import bridge as B
 from textpairs.plans.q_clean import NLI_EXAMPLES_CTE, nli_examples
-from textpairs.plans.registry import register
+from textpairs.plans.registry import register, rounded
 
 _RECIPE_VALUES = ", ".join(f"('{r}', '{c}', {m})" for r, parts in X.RECIPES.items() for c, m in parts.items())
 
@@ -76,8 +76,9 @@ SPLIT3_SQL = """
 
 
 @register("corpus_stats", sql=f"""
-    SELECT corpus, split, count(*) AS rows, count(label) AS labelled, avg(CAST(label AS DOUBLE)) AS positive_rate
+    SELECT corpus, split, count(*) AS rows, count(label) AS labelled,
+           round(avg(CAST(label AS DOUBLE)), 6) AS positive_rate
     FROM ({SPLIT3_SQL.format(key='doc_id', src='v_corpora')}) GROUP BY corpus, split""")
 def q_corpus_stats(spark, sf_dir):
     c = split_three(B.v_corpora(spark, sf_dir), "doc_id", seed=738)
-    return M.corpus_stats(c, ["corpus", "split"], "label")
+    return rounded(M.corpus_stats(c, ["corpus", "split"], "label"), ["positive_rate"])

@@ -10,7 +10,7 @@ from textpairs.operators import batches as BT
 from textpairs.operators import metrics as M
 from textpairs.operators import score as S
 from textpairs.plans import bridge as B
-from textpairs.plans.registry import register
+from textpairs.plans.registry import register, rounded
 
 SEQ_POS = 8  # positions per sequence row in the sequence-logit bridge
 
@@ -76,11 +76,11 @@ def q_predictions_table(spark, sf_dir):
 
 
 @register("evaluate", sql="""
-    SELECT label, prediction, n, sum(CASE WHEN label = prediction THEN n ELSE 0 END) OVER () * 100.0
-                                 / sum(n) OVER () AS accuracy
+    SELECT label, prediction, n, round(sum(CASE WHEN label = prediction THEN n ELSE 0 END) OVER () * 100.0
+                                       / sum(n) OVER (), 6) AS accuracy
     FROM (SELECT label, prediction, count(*) AS n FROM scored GROUP BY label, prediction)""", ctes=LOGIT_CTES)
 def q_evaluate(spark, sf_dir):
-    return S.evaluate(scored(spark, sf_dir))
+    return rounded(S.evaluate(scored(spark, sf_dir)), ["accuracy"])
 
 
 @register("value_counts", sql="""
@@ -92,10 +92,10 @@ def q_value_counts(spark, sf_dir):
 
 
 @register("accuracy", sql="""
-    SELECT avg(CAST(label IS NOT DISTINCT FROM prediction AS DOUBLE)) * 100 AS accuracy FROM scored""",
+    SELECT round(avg(CAST(label IS NOT DISTINCT FROM prediction AS DOUBLE)) * 100, 6) AS accuracy FROM scored""",
     ctes=LOGIT_CTES)
 def q_accuracy(spark, sf_dir):
-    return M.accuracy(scored(spark, sf_dir), "label", "prediction")
+    return rounded(M.accuracy(scored(spark, sf_dir), "label", "prediction"), ["accuracy"])
 
 
 @register("top_candidates", sql="""
@@ -110,43 +110,44 @@ def q_top_candidates(spark, sf_dir):
     return top.select("vec_id", "candidate", "cand_rank", M.round_double("logit").alias("logit"))
 
 
-@register("cross_entropy", sql="SELECT avg(loss) AS loss, count(*) AS n FROM ce", ctes=LOGIT_CTES)
+@register("cross_entropy", sql="SELECT round(avg(loss), 6) AS loss, count(*) AS n FROM ce", ctes=LOGIT_CTES)
 def q_cross_entropy(spark, sf_dir):
-    return M.mean_cross_entropy(B.v_logits(spark, sf_dir), "logits", "label")
+    return rounded(M.mean_cross_entropy(B.v_logits(spark, sf_dir), "logits", "label"), ["loss"])
 
 
 @register("batch_loss", sql="""
-    SELECT avg(m) AS mean_of_batches, sum(s) / sum(n) AS pooled, count(*) AS n_batches FROM (
+    SELECT round(avg(m), 6) AS mean_of_batches, round(sum(s) / sum(n), 6) AS pooled, count(*) AS n_batches FROM (
         SELECT batch, avg(loss) AS m, sum(loss) AS s, count(*) AS n FROM (
             SELECT loss, (row_number() OVER (ORDER BY vec_id) - 1) // 32 AS batch FROM ce) GROUP BY batch)""",
     ctes=LOGIT_CTES)
 def q_batch_loss(spark, sf_dir):
     lg = B.v_logits(spark, sf_dir).withColumn("loss", A.cross_entropy("logits", "label"))
     b = BT.fixed_batches(lg.select("vec_id", "loss"), "vec_id", 32)
-    return M.batch_loss(b, "batch", "loss")
+    return rounded(M.batch_loss(b, "batch", "loss"), ["mean_of_batches", "pooled"])
 
 
 @register("token_accuracy", sql=f"""
-    SELECT sum(list_sum(list_transform(range({SEQ_POS}), lambda i: CASE WHEN pred[i + 1] = target_padded[i + 1]
+    SELECT round(sum(list_sum(list_transform(range({SEQ_POS}), lambda i: CASE WHEN pred[i + 1] = target_padded[i + 1]
                                                                THEN 1 ELSE 0 END)))
-             / sum(len(target_padded)) AS acc_with_pad,
-           sum(list_sum(list_transform(range({SEQ_POS}), lambda i: CASE WHEN pred[i + 1] = target_padded[i + 1]
+             / sum(len(target_padded)), 6) AS acc_with_pad,
+           round(sum(list_sum(list_transform(range({SEQ_POS}), lambda i: CASE WHEN pred[i + 1] = target_padded[i + 1]
                                                                THEN mask[i + 1] ELSE 0 END)))
-             / sum(list_sum(mask)) AS acc_masked
+             / sum(list_sum(mask)), 6) AS acc_masked
     FROM v_seq2""", ctes=LOGIT_CTES)
 def q_token_accuracy(spark, sf_dir):
-    return M.token_accuracy(v_seq(spark, sf_dir), "pred", "target_padded", "mask")
+    return rounded(M.token_accuracy(v_seq(spark, sf_dir), "pred", "target_padded", "mask"),
+                   ["acc_with_pad", "acc_masked"])
 
 
 @register("masked_cross_entropy", sql=f"""
-    SELECT sum(list_sum(list_transform(range({SEQ_POS}), lambda i: mask[i + 1] * (
+    SELECT round(sum(list_sum(list_transform(range({SEQ_POS}), lambda i: mask[i + 1] * (
                ln(list_sum(list_transform(logits[i + 1], lambda x: exp(x - list_max(logits[i + 1])))))
                + list_max(logits[i + 1]) - logits[i + 1][target_padded[i + 1] + 1]))))
-             / sum(list_sum(mask)) AS loss,
+             / sum(list_sum(mask)), 6) AS loss,
            CAST(sum(list_sum(mask)) AS BIGINT) AS n_tokens
     FROM v_seq2""", ctes=LOGIT_CTES)
 def q_masked_cross_entropy(spark, sf_dir):
-    return M.masked_cross_entropy(v_seq(spark, sf_dir), "logits", "target_padded", "mask")
+    return rounded(M.masked_cross_entropy(v_seq(spark, sf_dir), "logits", "target_padded", "mask"), ["loss"])
 
 
 @register("clip_width", sql="""

@@ -10,7 +10,7 @@ from textpairs.operators import batches as BT
 from textpairs.operators import mix as X
 from textpairs.operators import tokens as TK
 from textpairs.plans.q_vocab import NLI_TOK_CTES, nli_tok
-from textpairs.plans.registry import register
+from textpairs.plans.registry import register, rounded
 
 
 def _prompt(text: str, eos: bool, fallback: list[int]) -> list[int]:
@@ -181,8 +181,8 @@ def q_collate_classifier(spark, sf_dir):
 @register("padding_report", sql="""
     SELECT batch, CAST(sum(list_sum(attention_mask)) AS BIGINT) AS real_tokens,
            CAST(sum(len(attention_mask)) AS BIGINT) AS slots, count(*) AS rows,
-           sum(list_sum(attention_mask)) / sum(len(attention_mask)) AS fill
+           round(sum(list_sum(attention_mask)) / sum(len(attention_mask)), 6) AS fill
     FROM c5 GROUP BY batch""", ctes=SEQ_CTES)
 def q_padding_report(spark, sf_dir):
     c = _collated(spark, sf_dir).select("batch", F.col("inputs.attention_mask").alias("attention_mask"))
-    return BT.padding_report(c, "batch", "attention_mask")
+    return rounded(BT.padding_report(c, "batch", "attention_mask"), ["fill"])

@@ -10,7 +10,7 @@ from textpairs.functions import treebank as TB
 from textpairs.operators.metrics import length_profile
 from textpairs.plans import bridge as B
 from textpairs.plans.q_clean import NLI_EXAMPLES_CTE, nli_examples
-from textpairs.plans.registry import register
+from textpairs.plans.registry import register, rounded
 
 _WS = "[ \\t\\n\\r\\f\\x0B]"
 
@@ -115,11 +115,11 @@ def q_name_parts(spark, sf_dir):
 
 
 @register("length_profile", sql="""
-    SELECT lang, count(*) AS n, avg(length(text)) AS mean, stddev_samp(length(text)) AS std,
-           CAST(min(length(text)) AS INTEGER) AS min, quantile_cont(length(text), 0.25) AS p25,
-           quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.75) AS p75,
+    SELECT lang, count(*) AS n, round(avg(length(text)), 6) AS mean, round(stddev_samp(length(text)), 6) AS std,
+           CAST(min(length(text)) AS INTEGER) AS min, round(quantile_cont(length(text), 0.25), 6) AS p25,
+           round(quantile_cont(length(text), 0.5), 6) AS p50, round(quantile_cont(length(text), 0.75), 6) AS p75,
            CAST(max(length(text)) AS INTEGER) AS max
     FROM documents GROUP BY lang""")
 def q_length_profile(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents")
-    return length_profile(docs, "text", by=["lang"])
+    return rounded(length_profile(docs, "text", by=["lang"]), ["mean", "std", "p25", "p50", "p75"])

@@ -10,7 +10,7 @@ from textpairs.operators import tokens as TK
 from textpairs.operators import vocab as V
 from textpairs.plans import bridge as B
 from textpairs.plans.q_clean import NLI_EXAMPLES_CTE, nli_examples
-from textpairs.plans.registry import register
+from textpairs.plans.registry import register, rounded
 from textpairs.session import materialise
 
 NLI_TOK_CTES = dict(NLI_EXAMPLES_CTE, **{
@@ -159,7 +159,7 @@ def q_gather_rows(spark, sf_dir):
 
 
 @register("vocab_coverage", sql="""
-    SELECT d.lang, count(*) AS tokens, count(k.token_id) AS kept, count(k.token_id) / count(*) AS coverage
+    SELECT d.lang, count(*) AS tokens, count(k.token_id) AS kept, round(count(k.token_id) / count(*), 6) AS coverage
     FROM (SELECT w.doc_id, coalesce(v.id, 0) AS tid FROM v_words w LEFT JOIN v_vocab v ON w.word = v.word
           UNION ALL SELECT doc_id, 2 AS tid FROM v_lines) t
     JOIN documents d ON d.doc_id = t.doc_id
@@ -169,7 +169,8 @@ def q_vocab_coverage(spark, sf_dir):
     lines = B.v_lines(spark, sf_dir)
     ids = TK.tokenise_vocab(lines, ["doc_id", "line_no"], ["line"], B.v_vocab(spark, sf_dir))
     langs = B.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return V.vocab_coverage(ids.join(langs, "doc_id"), "line_ids", _kept(spark, sf_dir), by=["lang"])
+    cov = V.vocab_coverage(ids.join(langs, "doc_id"), "line_ids", _kept(spark, sf_dir), by=["lang"])
+    return rounded(cov, ["coverage"])
 
 
 @register("vocab_size", sql="""

@@ -30,6 +30,14 @@ def register(key: str, sql: str | None = None, ctes: dict[str, str] | None = Non
     return deco
 
 
+def rounded(df: DataFrame, cols, places: int = 6) -> DataFrame:
+    """Round double result columns (sums of doubles depend on evaluation order;
+    the SQL twin rounds the same columns the same way)."""
+    from pyspark.sql import functions as F
+
+    return df.select(*[F.round(F.col(c), places).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def load_all() -> None:
     """Import every query module (they register on import)."""
     from textpairs.plans import (  # noqa: F401
