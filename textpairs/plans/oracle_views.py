@@ -80,11 +80,6 @@ VIEWS: dict[str, str] = {
 }
 
 
-def _deps(name: str) -> list[str]:
-    body = VIEWS[name]
-    return [v for v in VIEWS if v != name and re.search(rf"\b{v}\b", body)]
-
-
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the CTEs it (transitively) references, in dependency order.
 
