@@ -52,9 +52,12 @@ def treebank_text(c) -> Column:
 
 
 def treebank_tokenise(c) -> Column:
-    """Array of Treebank tokens (empty text gives an empty array)."""
-    t = treebank_text(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    """Array of Treebank tokens (empty text gives an empty array).
+
+    The rule chain is referenced once: the only empty token a split can yield
+    here is the one of an empty text, which the filter removes.
+    """
+    return F.filter(F.split(treebank_text(c), " "), lambda tok: tok != "")
 
 
 def treebank_detokenise(c) -> Column:

@@ -45,18 +45,18 @@ _PREPARED_SQL = "chr(9) || ' ' || replace(text, ' ', '  ') || ' ' || chr(10)"
 def q_normalise_space(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents")
     prepared = F.concat(F.lit("\t "), F.replace(F.col("text"), F.lit(" "), F.lit("  ")), F.lit(" \n"))
-    n = T.normalise_space(prepared)
-    return docs.select("doc_id", n.alias("normalised"), (n == F.col("text")).alias("same_as_text"))
+    n = docs.select("doc_id", "text", T.normalise_space(prepared).alias("normalised"))
+    return n.select("doc_id", "normalised", (F.col("normalised") == F.col("text")).alias("same_as_text"))
 
 
 @register("treebank_tokenise", sql=f"""
     SELECT doc_id, line_no, t AS tokens, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n_tokens
     FROM (SELECT doc_id, line_no, {tb_text_sql('line')} AS t FROM v_lines)""")
 def q_treebank_tokenise(spark, sf_dir):
-    lines = B.v_lines(spark, sf_dir)
-    toks = TB.treebank_tokenise(F.col("line"))
-    return lines.select("doc_id", "line_no", F.array_join(toks, " ").alias("tokens"),
-                        F.size(toks).cast("long").alias("n_tokens"))
+    # the rule chain is evaluated once per line, in its own projection
+    lines = B.v_lines(spark, sf_dir).select("doc_id", "line_no", TB.treebank_tokenise(F.col("line")).alias("_t"))
+    return lines.select("doc_id", "line_no", F.array_join("_t", " ").alias("tokens"),
+                        F.size("_t").cast("long").alias("n_tokens"))
 
 
 @register("treebank_detokenise", sql=f"""
@@ -64,8 +64,9 @@ def q_treebank_tokenise(spark, sf_dir):
     FROM (SELECT doc_id, line_no, line, {tb_detok_sql(tb_text_sql('line'))} AS d FROM v_lines)""")
 def q_treebank_detokenise(spark, sf_dir):
     lines = B.v_lines(spark, sf_dir)
-    d = TB.treebank_detokenise(TB.treebank_text(F.col("line")))
-    return lines.select("doc_id", "line_no", d.alias("detokenised"), (d == F.col("line")).alias("same_as_line"))
+    d = lines.select("doc_id", "line_no", "line",
+                     TB.treebank_detokenise(TB.treebank_text(F.col("line"))).alias("detokenised"))
+    return d.select("doc_id", "line_no", "detokenised", (F.col("detokenised") == F.col("line")).alias("same_as_line"))
 
 
 @register("space_split", sql="""

@@ -27,7 +27,7 @@ DEFAULT_CONF = {
     # collect_list regroups (tokenisation, id remapping) keep up to this many
     # groups per task in the object hash map, then fall back to the spillable
     # sort-based path (the default, 128, falls back almost at once)
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # checkpoints cut lineage for one job chain; drop them once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
