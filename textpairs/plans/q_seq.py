@@ -74,15 +74,15 @@ def _j(c: str):
     return F.array_join(F.col(c), ",").alias(c)
 
 
-def seq2seq(spark, sf_dir):
-    tok = nli_tok(spark, sf_dir)
+def seq2seq(spark, sf_dir, cache: bool = False):
+    tok = nli_tok(spark, sf_dir, cache=cache)
     both = X.bidirectional(tok, "premise_ids", "hypothesis_ids", keep=["id"])
     return both.select("id", "swapped", A.seq2seq_input(PARA_IDS, "source").alias("src"),
                        F.col("target").alias("tgt"))
 
 
-def nli_inputs(spark, sf_dir):
-    tok = nli_tok(spark, sf_dir)
+def nli_inputs(spark, sf_dir, cache: bool = False):
+    tok = nli_tok(spark, sf_dir, cache=cache)
     return tok.select("id", "label", A.nli_input("hypothesis_ids", "premise_ids", HYP_IDS, PREM_IDS,
                                                  NLI_MAX_LEN).alias("input"))
 
@@ -127,7 +127,7 @@ def q_shift_right(spark, sf_dir):
                 ELSE CAST(max(len(input)) AS INTEGER) END AS width
     FROM b6 GROUP BY batch""", ctes=SEQ_CTES)
 def q_pad_width(spark, sf_dir):
-    b = BT.fixed_batches(nli_inputs(spark, sf_dir), "id", BATCH)
+    b = BT.fixed_batches(nli_inputs(spark, sf_dir, cache=True), "id", BATCH)
     return BT.pad_widths(b, "batch", "input", NLI_MAX_LEN)
 
 
@@ -136,13 +136,13 @@ def q_pad_width(spark, sf_dir):
            array_to_string(list_resize(list_transform(input[1:{NLI_MAX_LEN}], lambda x: 1), width, 0), ',') AS mask
     FROM w6""", ctes=SEQ_CTES)
 def q_pad_batch(spark, sf_dir):
-    b = BT.fixed_batches(nli_inputs(spark, sf_dir), "id", BATCH)
+    b = BT.fixed_batches(nli_inputs(spark, sf_dir, cache=True), "id", BATCH)
     p = BT.pad_batch(b, "batch", "input", NLI_MAX_LEN, pad=TK.PAD_ID, out="input_padded", mask="mask")
     return p.select("id", "batch", _j("input_padded"), _j("mask"))
 
 
 def _collated(spark, sf_dir):
-    b = BT.fixed_batches(seq2seq(spark, sf_dir), ["id", "swapped"], BATCH)
+    b = BT.fixed_batches(seq2seq(spark, sf_dir, cache=True), ["id", "swapped"], BATCH)
     return BT.collate(b, "batch", "src", "tgt", S2S_MAX_LEN, pad=TK.PAD_ID, start=0, mode="seq2seq")
 
 
@@ -169,7 +169,7 @@ def q_collate(spark, sf_dir):
            '0' AS decoder_input_ids, CAST(label AS VARCHAR) AS target_ids
     FROM w6""", ctes=SEQ_CTES)
 def q_collate_classifier(spark, sf_dir):
-    ex = nli_inputs(spark, sf_dir).withColumn("target", F.array(F.col("label")))
+    ex = nli_inputs(spark, sf_dir, cache=True).withColumn("target", F.array(F.col("label")))
     b = BT.fixed_batches(ex, "id", BATCH)
     c = BT.collate(b, "batch", "input", "target", NLI_MAX_LEN, pad=TK.PAD_ID, start=0, mode="classifier")
     return c.select("id", "batch", F.array_join("inputs.input_ids", ",").alias("input_ids"),
