@@ -48,6 +48,8 @@ def hash_rank(df: DataFrame, key: ColumnLike, seed, name: str = "rank",
               tag: str | None = None) -> DataFrame:
     """0-based position of each row in the order ``(md5(seed:key), key)``.
 
+    ``key`` must be unique (a row id); rows sharing a key would share a bucket.
+
     With ``partition_by`` the position restarts inside every group; the hot
     group is still spread over 16**digits buckets.
     """

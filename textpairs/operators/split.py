@@ -1,7 +1,8 @@
 """Exact, reproducible splits.
 
 Sizes are exact (scikit-learn's ceil rule) and membership depends only on the
-seed and the key -- never on partitioning.  Totals are scalar subqueries
+seed and the key -- never on partitioning.  The key must identify a row (a
+pair id, a document id): rows that share a key share a hash bucket.  Totals are scalar subqueries
 (one partial-aggregated number), quotas come from a per-class count table.
 """
 
