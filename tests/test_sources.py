@@ -136,3 +136,25 @@ def test_corpus_from_path(spark):
     assert (rows[0].folder, rows[0].stem, rows[0].corpus) == ("paws_final", "train", "paws")
     assert (rows[1].folder, rows[1].file_name) == ("", "x")
     assert F is not None
+
+
+def test_indexed_lines_number_each_file_on_its_own(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "phr")
+    os.makedirs(d)
+    want = {}
+    for f in range(3):
+        lines = [f"file {f} line {i:04d}" for i in range(700 + 300 * f)]
+        _write(os.path.join(d, f"phrases_{f}.txt"), "\n".join(lines) + "\n")
+        want[f] = lines
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = io.read_indexed_lines(spark, d).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {}
+    for r in rows:
+        f = int(r.file.rsplit("_", 1)[1].split(".")[0])
+        got.setdefault(f, {})[r.phrase_index] = r.phrase
+    for f, lines in want.items():
+        assert [got[f][i] for i in range(len(lines))] == lines
