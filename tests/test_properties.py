@@ -178,3 +178,11 @@ def test_argmax_first_maximum_and_shift(spark):
     assert got == [1, None]
     ids = spark.createDataFrame([([5, 6, 7],)], "a array<int>")
     assert ids.select(A.shift_right("a", 9).alias("s")).collect()[0].s == [9, 5, 6]
+
+
+@SETTINGS
+@given(ids=st.sets(st.integers(-(2**31), 2**31 - 1), min_size=1, max_size=300))
+def test_int_dense_ids_match_sorted_order(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids], "token_id int")
+    got = {r.token_id: r.new_id for r in dense_ids(df, "token_id").collect()}
+    assert [got[i] for i in sorted(ids)] == list(range(len(ids)))
