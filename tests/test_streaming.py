@@ -18,8 +18,10 @@ def _split_events(tmp_dir, parts=3):
     src = os.path.join(tmp_dir, "events_in")
     os.makedirs(src)
     for i in range(parts):
-        pq.write_table(t.slice(i * n // parts, (i + 1) * n // parts - i * n // parts),
-                       os.path.join(src, f"part{i}.parquet"))
+        path = os.path.join(src, f"part{i}.parquet")
+        pq.write_table(t.slice(i * n // parts, (i + 1) * n // parts - i * n // parts), path)
+        # the file source takes the oldest files first: make the arrival order explicit
+        os.utime(path, (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))
     return src
 
 
