@@ -102,7 +102,7 @@ class _Chunk:
     """The words of a chunk's documents, end to end, and the windows inside documents."""
 
     def __init__(self, texts: pa.ChunkedArray, window: int, gram: int):
-        self.texts = [t.as_py() or b"" for t in texts]
+        self.texts = [t.as_py() or b"" for t in texts.cast(pa.binary())]
         split = [t.split() for t in self.texts]
         self.words = split
         sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -226,14 +226,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(LEAST_CHUNKS, -(-n_bytes // chunk_bytes))
     blocks = 1 << (chunks - 1).bit_length()
-    base = docs.withColumn("__text", F.col(text_col).cast("binary")).withColumn(
-        "__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)))
+    # all three passes read the same shuffled rows, so Spark reuses one exchange of the text
+    base = docs.withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)))
 
     def anchors(key: tuple, rows: pa.Table) -> pa.Table:
-        return _send(1, key[0].as_py(), _Chunk(rows["__text"], window, gram).anchors, blocks)
+        return _send(1, key[0].as_py(), _Chunk(rows[text_col], window, gram).anchors, blocks)
 
     def windows(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(rows["__text"], window, gram)
+        c = _Chunk(rows[text_col], window, gram)
         return _send(2, key[0].as_py(), c.hashes[asked(c, answers)], blocks)
 
     def asked(c: _Chunk, answers: pa.Table) -> np.ndarray:
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return c.inside & _isin(c.anchor, _told(c.anchors, answers, 1, blocks))
 
     def parse(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(rows["__text"], window, gram)
+        c = _Chunk(rows[text_col], window, gram)
         found = np.zeros(c.n + 1, bool)
         ask = asked(c, answers)
         found[:len(ask)] = ask
@@ -265,10 +265,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 .append_column("__n_removed", pa.array(removed, pa.int64()))
                 .append_column("__spans", pa.array(spans, span)))
 
-    light = base.select("__chunk", "__text")
     # the answers are small: a bit for each value asked for
-    told = light.groupBy("__chunk").applyInArrow(anchors, _SENT).groupBy("block").applyInArrow(_answer, _ANSWER)
-    more = (light.groupBy("__chunk").cogroup(told.groupBy("chunk")).applyInArrow(windows, _SENT)
+    told = base.groupBy("__chunk").applyInArrow(anchors, _SENT).groupBy("block").applyInArrow(_answer, _ANSWER)
+    more = (base.groupBy("__chunk").cogroup(told.groupBy("chunk")).applyInArrow(windows, _SENT)
             .groupBy("block").applyInArrow(_answer, _ANSWER))
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()),
                            T.StructField("__n_removed", T.LongType()),
