@@ -155,3 +155,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.array_join(words_of(text_or_empty("text")), " ")
     return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"),
                       F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textpairs.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_lang_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textpairs.llm.lang_id import language_ids
+
+    return language_ids(table(spark, sf_dir, "documents"))
