@@ -28,6 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
+
+from textpairs.llm.words import word_hashes
 
 #: Parameters.
 BITS = 18
@@ -48,8 +51,6 @@ def held_out(id_col: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column
 
 def indicators(data: bytes, bits: int = BITS, scratch: np.ndarray | None = None) -> np.ndarray:
     """Distinct hashed n-gram numbers of UTF-8 text."""
-    from xxhash import xxh3_64_intdigest
-
     shift = np.uint32(32 - bits)
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
     parts, gram = [], np.zeros(len(b), np.uint32)
@@ -59,7 +60,7 @@ def indicators(data: bytes, bits: int = BITS, scratch: np.ndarray | None = None)
         gram = (gram[:len(b) - n] if n else gram) * np.uint32(256) + b[n:]
         parts.append(((gram + np.uint32(n)) * np.uint32(_ODD[n]) ^ (gram >> np.uint32(15))) >> shift)
     words = data.split()
-    w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    w = word_hashes(words)
     if len(w):
         parts.append((w >> np.uint64(64 - bits)).astype(np.uint32))
         pair = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ w[1:]) * np.uint64(0xBF58476D1CE4E5B9)

@@ -169,3 +169,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textpairs.llm.lang_id import language_ids
 
     return language_ids(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontaminate")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textpairs.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,13 +4,19 @@ does, so Python workers receive the text as binary and split it there."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: The six ASCII white-space characters that part words.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word."""
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
 
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
