@@ -43,6 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textpairs.llm.words import word_hashes
+
 #: Parameters.
 WINDOW = 35
 GRAM = 8
@@ -50,22 +52,6 @@ CHUNK_BYTES = 8 << 20
 LEAST_CHUNKS = 64
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_MEMO_LIMIT = 400_000
-
-
-class _WordHash(dict):
-    """word -> 64-bit hash, remembered up to a limit."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= _MEMO_LIMIT:
-            self.clear()
-        h = self[word] = xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHash()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -110,7 +96,7 @@ class _Chunk:
         n = int(self.starts[-1])
         hashes = np.empty(n, np.uint64)
         for words, at in zip(split, self.starts):
-            hashes[at:at + len(words)] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+            hashes[at:at + len(words)] = word_hashes(words)
         self.window, self.n = window, n
         if n < window:
             self.inside = np.zeros(0, bool)
@@ -130,7 +116,8 @@ class _Chunk:
         best = np.where(whole, self.anchor, np.uint64(0))
         pad = np.zeros(span - 1, np.uint64)
         top = _sliding(np.concatenate((pad, best, pad)), span, np.maximum)
-        self.anchors = grams[top == grams]
+        # least hashes crowd at the low end of the range: mixed again, they spread over the index blocks
+        self.anchors, self.anchor = _mixed(grams[top == grams]), _mixed(self.anchor)
         self.hashes = _rolling(hashes, window, 0xAF251AF3B0F025B5)
 
 
