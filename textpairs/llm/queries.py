@@ -176,3 +176,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textpairs.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_html_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textpairs.llm.html_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op3_url_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textpairs.llm.url_rules import judge_urls
+
+    # the label of a page is that of its id: low quality or toxic is blocked
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"),
+                                                   F.when(bad, "block").otherwise("allow").alias("label"))
+    out = judge_urls(table(spark, sf_dir, "pages"), labels)
+    return out.select("page_id", "host", "path", "rule", "mined", "verdict")
