@@ -112,7 +112,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
     pairs = pairs.select("a", "b")
 
     # whoever lies in a crowded key, or probes one, takes part with its points
-    warm = probes.join(crowded, ["seg", "key"], "left_semi").select("fp").distinct()
+    beside = crowded.select("seg", F.explode(_flip(F.col("key"), 32, 1)).alias("key"))
+    warm = segs.join(beside, ["seg", "key"], "left_semi").select("fp").distinct()
     reach = F.explode(F.concat(
         F.transform(_flip(F.col("fp"), 64, 1), lambda c: F.struct(c.alias("c"), F.lit(True).alias("close"))),
         F.transform(F.slice(_flip(F.col("fp"), 64, 2), 66, 2016),
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of the smallest id of each component, all columns kept."""
+    """The document of the smallest id of each component, all columns kept; rows without an id stay."""
     out = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    keep = out.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep.distinct(), docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    drop = out.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct()
+    return docs.join(drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")
