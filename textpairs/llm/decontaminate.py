@@ -249,33 +249,50 @@ def _fit(words: np.ndarray, n: int) -> np.ndarray:
     return words if len(words) == n else np.concatenate((words, np.zeros(n - len(words), np.uint64)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 repeats: int = REPEATS, samples: int = SAMPLES, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """Every match: doc_id, item_id, start_word, end_word (exclusive), item_words, edits."""
-    spark = docs.sparkSession
+def item_blocks(benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> list[list[tuple[int, bytes]]]:
+    """``(item_id, text)`` of the items, in blocks of about ``item_block``, one after the other."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("t"))
     items = items.filter("t is not null")
     blocks = max(1, -(-items.count() // item_block))
+    own = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    return [[(r["item_id"], bytes(r["t"])) for r in items.filter(own == k).collect()] for k in range(blocks)]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 repeats: int = REPEATS, samples: int = SAMPLES, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """Every match: doc_id, item_id, start_word, end_word (exclusive), item_words, edits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    names = [f.split()[0] for f in _MATCH.split(", ")]
     found = None
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast([(r["item_id"], bytes(r["t"])) for r in part.collect()])
+    for block in item_blocks(benchmark, item_block):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(shared.value, repeats, samples)
             for b in batches:
                 out = list(index.matches([(i, x.as_py() or b"") for i, x in zip(b.column(0).to_pylist(), b.column(1))]))
-                names = [f.split()[0] for f in _MATCH.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
-                                                 [pa.array([], pa.int64())] * len(names), names=names)
+                columns = zip(*out) if out else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         one = rows.mapInArrow(run, _MATCH)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", repeats: int = REPEATS,
+                      samples: int = SAMPLES, item_block: int = ITEM_BLOCK) -> DataFrame:
     """The documents without a match, all columns kept."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("__bad"), "left_anti")
+    at, schema = docs.columns.index(text_col), docs.schema
+    for block in item_blocks(benchmark, item_block):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(shared.value, repeats, samples)
+            for b in batches:
+                texts = b.column(at).cast(pa.binary())
+                keep = np.ones(b.num_rows, bool)
+                keep[[m[0] for m in index.matches([(i, x.as_py() or b"") for i, x in enumerate(texts)])]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -194,31 +194,49 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits:
             model["bias"], model["a"], model["b"])
 
 
+def _scores(texts: pa.Array, model, bits: int, scratch: np.ndarray) -> np.ndarray:
+    if model is None:
+        return np.full(len(texts), 0.5)
+    ratio, w, bias, a, b = model
+    m = np.array([margin(indicators(x.as_py() or b"", bits, scratch), ratio, w, bias) for x in texts], np.float64)
+    return 1 / (1 + np.exp(-np.clip(a * m + b, -50, 50)))
+
+
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``(doc_id, score)`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2**bits numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.empty(1 << bits, np.int64)
-        fitted = shared.value
         for b in batches:
-            if fitted is None:
-                p = np.full(b.num_rows, 0.5)
-            else:
-                m = np.array([margin(indicators(x.as_py() or b"", bits, scratch), *fitted[:3]) for x in b.column(1)],
-                             np.float64)
-                p = 1 / (1 + np.exp(-np.clip(fitted[3] * m + fitted[4], -50, 50)))
+            p = _scores(b.column(1), shared.value, bits, scratch)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int):
+    return train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
+                 labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label")), per_class)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = train(texts, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label")),
-                  per_class)
-    out = score(texts, model)
+    out = score(docs, _labelled(docs, labels, label_col, per_class))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                       F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
+    """The documents that the classifier predicts as 1, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(_labelled(docs, labels, label_col, per_class))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch = np.empty(1 << BITS, np.int64)
+        for b in batches:
+            p = _scores(b.column(at).cast(pa.binary()), shared.value, BITS, scratch)
+            yield b.filter(pa.array(p >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
