@@ -129,7 +129,8 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, bytes]], repeats: int = REPEATS, samples: int = SAMPLES):
         self.repeats, self.samples = repeats, samples
         self.items = [(i, w) for i, w in ((i, hashed_words(t)) for i, t in items) if len(w)]
-        self.lengths = sorted({len(w) for _, w in self.items})
+        self.lengths = sorted({len(w) for _, w in self.items if len(w) > 1})
+        self.singles = np.unique([w[0] for _, w in self.items if len(w) == 1]).astype(np.uint64)
         self.needed = [max(0, n - 1 - 2 * allowed_edits(n)) for n in self.lengths]
         every = [_pairs(w) for _, w in self.items]
         self.pairs = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
@@ -137,7 +138,8 @@ class ItemIndex:
         self.most = max((int(np.unique(p, return_counts=True)[1].max()) for p in every if len(p)), default=1)
         self.of_length = np.zeros((len(self.lengths), len(self.pairs)), bool)
         for (_, w), p in zip(self.items, every):
-            self.of_length[row[len(w)], np.searchsorted(self.pairs, p)] = True
+            if len(w) > 1:
+                self.of_length[row[len(w)], np.searchsorted(self.pairs, p)] = True
         self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
         self.slots[self._slot(self.pairs)] = np.arange(len(self.pairs))
         self.buckets: dict[tuple[int, int], list[int]] = defaultdict(list)
@@ -145,10 +147,9 @@ class ItemIndex:
             for k, keys in enumerate(sampled_walks([w for _, w in self.items], repeats, samples).tolist()):
                 for r, key in enumerate(keys):
                     self.buckets[r, key].append(k)
-        self.short = any(c == 0 for c in self.needed)
         # a window with enough pairs has this many in some run of as many pairs as the shortest item has
         self.step = max(1, min(self.lengths, default=2) - 1)
-        self.least = min((-(-c // -(-(n - 1) // self.step)) for n, c in zip(self.lengths, self.needed) if n > 1), default=0)
+        self.least = min((-(-c // -(-(n - 1) // self.step)) for n, c in zip(self.lengths, self.needed)), default=0)
 
     @staticmethod
     def _slot(pairs: np.ndarray) -> np.ndarray:
@@ -172,12 +173,13 @@ class ItemIndex:
         more: its place counts for the windows that begin behind its ``most``-th
         last appearance.
         """
-        if not self.lengths or not len(words):
-            return []
+        out = []
+        if len(self.singles):  # items of one word have no pairs
+            out += [(int(s), 1) for s in np.flatnonzero(np.isin(words, self.singles))]
         at = self._known(_pairs(words))
         hits = np.flatnonzero(at >= 0)
-        if len(hits) < self.least:
-            return []
+        if not len(hits) or len(hits) < self.least:
+            return out
         pair = at[hits]
         order = np.argsort(pair, kind="stable")
         behind = np.full(len(hits), -1)
@@ -190,12 +192,11 @@ class ItemIndex:
             change = change - np.bincount(places + 1, minlength=starts + 1)[:starts + 1]
             return np.cumsum(change[:starts])
 
-        if not self.short and counts(hits, behind, min(self.step + 1, len(words)), len(words)).max() < self.least:
-            return []
-        out = []
+        if counts(hits, behind, min(self.step + 1, len(words)), len(words)).max() < self.least:
+            return out
         for row, n, need in zip(self.of_length, self.lengths, self.needed):
             own = row[pair]
-            if need and own.sum() < need:
+            if own.sum() < need:
                 continue
             size = min(n, len(words))  # a window cut short by the end of the document still counts
             found = counts(hits[own], behind[own], size, len(words) - size + 1)
