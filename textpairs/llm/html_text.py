@@ -9,8 +9,9 @@ forms and reader comments, are the text.
 Weights come from labelled pages: pages that mark their content themselves
 (``article``, ``main`` or ``role=main``) tell content words and tags from the
 others.  A word's weight is the log-ratio of how often words of its element
-lie inside and outside, a tag's the log-ratio the other way round, each held
-in a fixed range so that words stay positive and tags negative.  At most about
+lie inside and outside, a tag's the log-ratio the other way round (apart for
+tags of page furniture), each held in a fixed range so that words stay positive
+and tags negative; what no labelled page shows has a small weight.  At most about
 ``label_pages`` labelled pages are counted, picked by a hash of their id.  On a
 page that marks its content, words outside the mark score nothing.
 
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 LABEL_PAGES = 2000
 WORD_RANGE = (0.2, 2.0)
 TAG_RANGE = (0.05, 6.0)
+UNSEEN_WORD, UNSEEN_TAG = 1.0, -0.2
 
 #: Element names of HTML, and words that name page furniture in class, id and role.
 RAW = "script style noscript template svg math iframe object canvas select button textarea title head"
@@ -137,8 +139,8 @@ def count_page(html: str, counts: Counter) -> None:
     for kind, name, wanted, marked, text in seen:
         inside = wanted and marked
         if kind == "tag":
-            counts["tag", _element(name), inside] += 1
-        else:
+            counts["tag" if wanted else "furniture", _element(name), inside] += 1
+        elif wanted:
             counts["word", _element(name), inside] += len(text.split())
 
 
@@ -163,9 +165,9 @@ def extract(html: str | None, score: dict[tuple[str, str], float]) -> str:
     start = first = last = 0
     for i, (kind, name, wanted, marked, text) in enumerate(seen):
         if kind == "tag":
-            total += score.get(("tag", _element(name)), -0.5)
+            total += score.get(("tag" if wanted else "furniture", _element(name)), UNSEEN_TAG)
         elif wanted and (marked or not page_marked):
-            total += len(text.split()) * score.get(("word", _element(name)), 1.0)
+            total += len(text.split()) * score.get(("word", _element(name)), UNSEEN_WORD)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
