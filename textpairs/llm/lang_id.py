@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.llm.quality import held_out
+from textpairs.llm.stored import stored
 
 #: Parameters.
 ORDERS = 4
@@ -174,7 +175,8 @@ class Model:
 
 def learn(docs: DataFrame, nodes: int = NODES) -> Model | None:
     """Trees from every row of ``docs(lang, text)`` with both given."""
-    trees = grow(count_runs(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())), nodes)
+    runs = stored(count_runs(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())), "byte-runs")
+    trees = grow(runs, nodes)
     return Model(trees) if trees.num_rows else None
 
 
