@@ -165,11 +165,12 @@ def test_blockwise_ema_equals_sequential_fold(spark, n, alpha):
             assert abs(got[t] - w) <= 1e-9 * max(1.0, abs(w))
 
 
-def test_ema_uses_several_blocks():
-    block, look = M._ema_block(0.999)
-    assert block < 200 and look >= 1
-    block, look = M._ema_block(0.02)
-    assert block * look * -math.log(0.98) >= 745
+def test_ema_levels_stay_in_range():
+    for rate in (-math.log(0.001), -math.log(0.98), 1e-6, 1e-9):
+        block = M._ema_scale(rate)
+        supers = M._ema_scale(rate * block)
+        assert rate * block <= 600 or block == 1
+        assert rate * block * supers <= 600 or supers == 1
 
 
 def test_argmax_first_maximum_and_shift(spark):

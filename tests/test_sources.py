@@ -1,12 +1,10 @@
 """Fixture tests for the file dialects and sinks (S1-S12); each test writes its
 own tiny files into a fresh temp folder."""
 
-import json
 import os
 
 import pytest
 
-from textpairs.operators import vocab as V
 from textpairs.sources import io
 
 
@@ -21,7 +19,7 @@ def test_pairs_tsv_standard_quotes(spark, tmp_dir):
                'id\tsentence1\tsentence2\tlabel\n'
                '1\tA cat .\t"A ""quoted"" cat ."\t1\n'
                '2\t"two\nlines"\tplain\t0\n')
-    rows = {r.id: r for r in io.read_pairs_tsv(spark, p).collect()}
+    rows = {r.id: r for r in io.read_pairs_tsv(spark, p, multi_line=True).collect()}
     assert rows[1].sentence2 == 'A "quoted" cat .'
     assert rows[2].sentence1 == "two\nlines"
     assert rows[2].label == 0
@@ -99,14 +97,49 @@ def test_tokens_cache_round_trip_with_partition_pruning(spark, tmp_dir):
     assert pruned and "quora" in pruned[0].split("]")[0] and "valid" in pruned[0].split("]")[0], plan
 
 
-def test_kept_ids_json_round_trip(spark, tmp_dir):
-    kept = spark.createDataFrame([(5,), (1,), (300,)], "token_id int")
+def test_quoted_line_break_fails_unless_asked_for(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "b.tsv"), 'id\tsentence1\tsentence2\tlabel\n1\ta\tb\t1\n2\t"two\nlines"\tplain\t0\n')
+    with pytest.raises(Exception, match="multi_line"):
+        io.read_pairs_tsv(spark, p).collect()
+    ok = _write(os.path.join(tmp_dir, "ok.tsv"), 'id\tsentence1\tsentence2\tlabel\n1\t"a ""b"" c"\tn/a\t1\n')
+    assert [tuple(r) for r in io.read_pairs_tsv(spark, ok).collect()] == [(1, 'a "b" c', None, 1)]
+
+
+def test_nli_tsv_missing_words_are_null_and_drop(spark, tmp_dir):
+    from textpairs.operators.clean import clean_nli
+
+    head = "gold_label\tsentence1\tsentence2\tpairID"
+    body = ["neutral\ta\tb\t1", "neutral\ta\t\t2", "neutral\tn/a\tb\t3", "neutral\ta\tNaN\t4", "neutral\ta\tnan b\t5"]
+    p = _write(os.path.join(tmp_dir, "m.txt"), "\n".join([head, *body]) + "\n")
+    rows = {r.pairID: r for r in io.read_nli_tsv(spark, p).collect()}
+    assert len(rows) == 5 and rows["2"].sentence2 is None and rows["3"].sentence1 is None and rows["4"].sentence2 is None
+    assert sorted(r.pairID for r in clean_nli(io.read_nli_tsv(spark, p)).collect()) == ["1", "5"]
+    assert io.read_nli_tsv(spark, p, null_values=()).filter("pairID = '2'").collect()[0].sentence2 == ""
+
+
+def test_nli_tsv_header_is_the_first_line(spark, tmp_dir):
+    """A repeated column name, and a data row that equals the header."""
+    head = "gold_label\tsentence1\tsentence1\tsentence2\tpairID"
+    p = _write(os.path.join(tmp_dir, "h.txt"), f"{head}\nneutral\tx\ty\tz\t1\n{head}\n")
+    rows = sorted(tuple(r) for r in io.read_nli_tsv(spark, p).collect())
+    assert rows == [("gold_label", "sentence1", "sentence2", "pairID"), ("neutral", "x", "z", "1")]
+
+
+def test_kept_ids_round_trip(spark, tmp_dir):
+    kept = spark.createDataFrame([(5, 1), (1, 0), (300, 2)], "token_id int, new_id int")
     out = os.path.join(tmp_dir, "kept")
-    io.write_kept_ids(V.kept_ids_json(kept), out)
-    text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.startswith("part"))
-    assert json.loads(text) == [1, 5, 300]
-    back = V.read_kept_ids(spark, out)
-    assert sorted(r.token_id for r in back.collect()) == [1, 5, 300]
+    io.write_kept_ids(kept, out)
+    assert sorted(map(tuple, io.read_kept_ids(spark, out).collect())) == [(1, 0), (5, 1), (300, 2)]
+
+
+def test_existing_inputs_takes_names_as_they_are(spark, tmp_dir):
+    for name in ("a b,c.csv", "x{1}*.csv", "plain.csv"):
+        _write(os.path.join(tmp_dir, name), "id\n1\n")
+    found = io.existing_inputs(spark, tmp_dir, ["x{1}*.csv", "none.csv", "a b,c.csv"])
+    assert [f.rsplit("/", 1)[-1] for f in found] == ["x{1}*.csv", "a b,c.csv"]
+    assert io.existing_inputs(spark, os.path.join(tmp_dir, "missing"), ["a.csv"]) == []
+    with pytest.raises(Exception):
+        io.existing_inputs(spark, "nosuchfs://x/y", ["a.csv"])
 
 
 def test_existing_inputs_and_scan_with_deny_list(spark, tmp_dir):

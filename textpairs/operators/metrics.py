@@ -91,66 +91,92 @@ def batch_loss(df: DataFrame, batch: str, loss: str) -> DataFrame:
                    F.count(F.lit(1)).alias("n_batches"))
 
 
-def _ema_block(alpha: float) -> tuple[int, int]:
-    """Block size B and look-back K (in blocks) for an exact block-wise EMA.
+#: rows of a block and blocks of a superblock, at most
+_EMA_ROWS = 65536
 
-    Inside a block the scale factor (1-a)^-j stays below e^600; beyond K
-    blocks the decay (1-a)^(B*K) underflows double precision, so older blocks
-    add exactly nothing.
+
+def _ema_scale(rate: float) -> int:
+    """Steps over which a decay of ``rate`` per step stays above e^-600 (its inverse fits a double)."""
+    return max(1, min(_EMA_ROWS, int(600 / rate)))
+
+
+def _local_fold(df: DataFrame, group: Sequence[str], pos: str, x: Column, beta: float, out: str) -> DataFrame:
+    """``out`` = sum over earlier rows of the group of beta^(pos - pos') * x', the row's own x included.
+
+    A scaled prefix sum; positions run from 0 inside the group.
     """
-    beta = 1.0 - alpha
-    if beta <= 0.0:
-        return 1, 1
-    rate = -math.log(beta)
-    block = max(1, min(65536, int(600 / rate)))
-    look = int(math.ceil(745.0 / (block * rate))) + 1
-    return block, look
+    inside = Window.partitionBy(*group).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scaled = F.sum(x * F.pow(F.lit(beta), -F.col(pos))).over(inside)
+    return df.withColumn(out, F.pow(F.lit(beta), F.col(pos)) * scaled)
 
 
 def ema(df: DataFrame, key: str, order: Sequence, value: str, alpha: float = 0.02,
         out: str = "ema", step: str = "step") -> DataFrame:
     """v0 = x0, v = a*x + (1-a)*v along ``order`` per ``key``, for every row.
 
-    1. position per key (skew-safe rank), block = pos // B (B bounded);
-    2. inside a block, a windowed prefix sum gives the local part;
-    3. per block, the incoming value is a fold over at most K earlier blocks
-       (each block's summary is copied to its K successors -- K·n/B rows);
+    Two levels of blocks keep every window bounded and the summaries linear in
+    the existing blocks, for any alpha:
+
+    1. position per key (skew-safe rank), block = pos // B; a windowed prefix
+       sum inside (key, block) gives each row its local part;
+    2. the last local part of a block is its summary; summaries are folded the
+       same way inside superblocks of S blocks;
+    3. a superblock takes in the superblocks before it, up to those whose decay
+       underflows (three at most unless blocks reach their size limit) and
+       only as far as the key has superblocks;
     4. rows join their block's incoming value on (key, block).
     """
     if not 0.0 < alpha <= 1.0:
         raise ValueError("alpha must be in (0, 1]")
     beta = 1.0 - alpha
-    block, look = _ema_block(alpha)
+    rate = -math.log1p(-alpha) if alpha < 1.0 else 1000.0
+    block = 1 if alpha == 1.0 else _ema_scale(rate)
     d_block = beta ** block
+    supers = 1 if alpha == 1.0 else _ema_scale(rate * block)
+    d_super = d_block ** supers
+    look = 1 if alpha == 1.0 else int(math.ceil(745.0 / (rate * block * supers))) + 1
+
     r = ordered_rank(df, order, name=step, partition_by=[key])
     r = r.withColumn("_tp_blk", F.floor(F.col(step) / block).cast("long")) \
          .withColumn("_tp_j", (F.col(step) % block).cast("int"))
-    inside = Window.partitionBy(key, "_tp_blk").orderBy("_tp_j") \
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = F.col(value).cast("double")
-    r = r.withColumn("_tp_l", F.sum(x * F.pow(F.lit(beta), -F.col("_tp_j"))).over(inside))
-    local = F.lit(alpha) * F.pow(F.lit(beta), F.col("_tp_j")) * F.col("_tp_l")
-    r = r.withColumn("_tp_c", local)
-    # per-block summary: C = local part at the block's last row; x0 of the key
-    blocks = r.groupBy(key, "_tp_blk").agg(
-        F.max_by("_tp_c", "_tp_j").alias("_tp_cb"),
-        F.min_by(x, "_tp_j").alias("_tp_first"))
-    first = blocks.filter(F.col("_tp_blk") == 0).select(key, F.col("_tp_first").alias("_tp_x0"))
-    # x0 rides on block 0's summary, so no per-key join (a hot key stays spread)
-    fan = blocks.select(
-        key, F.col("_tp_blk").alias("_tp_src"), "_tp_cb",
-        F.when(F.col("_tp_blk") == 0, F.col("_tp_first")).alias("_tp_x0"),
-        F.explode(F.sequence(F.col("_tp_blk") + 1, F.col("_tp_blk") + look)).alias("_tp_blk"))
-    vin = fan.groupBy(key, "_tp_blk").agg(
-        F.sort_array(F.collect_list(F.struct("_tp_src", "_tp_cb"))).alias("_tp_p"),
-        F.min("_tp_src").alias("_tp_min_src"), F.max("_tp_x0").alias("_tp_x0"))
-    start = F.when(F.col("_tp_min_src") == 0, F.col("_tp_x0")).otherwise(F.lit(0.0))
-    vin = vin.select(key, "_tp_blk", F.aggregate(
-        "_tp_p", start.cast("double"), lambda acc, p: acc * F.lit(d_block) + p["_tp_cb"]).alias("_tp_vin"))
-    vin = vin.unionByName(first.select(key, F.lit(0).cast("long").alias("_tp_blk"), F.col("_tp_x0").alias("_tp_vin")))
-    res = r.join(vin, [key, "_tp_blk"])
+    r = _local_fold(r, [key, "_tp_blk"], "_tp_j", F.lit(alpha) * x, beta, "_tp_c")
+
+    # one row per block; the key's first value rides on its first block
+    blocks = r.groupBy(key, "_tp_blk").agg(F.max_by("_tp_c", "_tp_j").alias("_tp_cb"),
+                                           F.min_by(x, "_tp_j").alias("_tp_x0"))
+    blocks = blocks.withColumn("_tp_sb", F.floor(F.col("_tp_blk") / supers).cast("long")) \
+                   .withColumn("_tp_jj", (F.col("_tp_blk") % supers).cast("int"))
+    blocks = _local_fold(blocks, [key, "_tp_sb"], "_tp_jj", F.col("_tp_cb"), d_block, "_tp_c2")
+
+    tops = blocks.groupBy(key, "_tp_sb").agg(F.max_by("_tp_c2", "_tp_jj").alias("_tp_cs"),
+                                             F.min_by("_tp_x0", "_tp_jj").alias("_tp_x0"))
+    last = tops.groupBy(key).agg(F.max("_tp_sb").alias("_tp_last")).withColumnRenamed(key, "_tp_key")
+    tops = tops.join(last, F.col(key).eqNullSafe(F.col("_tp_key"))).drop("_tp_key")
+    until = F.least(F.col("_tp_sb") + look, F.col("_tp_last"))
+    fan = tops.filter(F.col("_tp_sb") < F.col("_tp_last")).select(
+        key, F.col("_tp_sb").alias("_tp_src"), "_tp_cs",
+        F.when(F.col("_tp_sb") == 0, F.col("_tp_x0")).alias("_tp_x0"),
+        F.explode(F.sequence(F.col("_tp_sb") + 1, until)).alias("_tp_sb"))
+    # at most ``look`` earlier superblocks each
+    vin = fan.groupBy(key, "_tp_sb").agg(
+        F.sort_array(F.collect_list(F.struct("_tp_src", "_tp_cs"))).alias("_tp_p"),
+        F.min("_tp_src").alias("_tp_from"), F.max("_tp_x0").alias("_tp_x0"))
+    start = F.when(F.col("_tp_from") == 0, F.col("_tp_x0")).otherwise(F.lit(0.0))
+    vin = vin.select(F.col(key).alias("_tp_key"), F.col("_tp_sb").alias("_tp_sb2"), F.aggregate(
+        "_tp_p", start.cast("double"), lambda acc, p: acc * F.lit(d_super) + p["_tp_cs"]).alias("_tp_vs"))
+    vin = vin.unionByName(tops.filter(F.col("_tp_sb") == 0).select(
+        F.col(key).alias("_tp_key"), F.col("_tp_sb").alias("_tp_sb2"), F.col("_tp_x0").cast("double").alias("_tp_vs")))
+
+    # incoming value of a block: its superblock's, decayed, plus the blocks before it there
+    earlier = Window.partitionBy(key, "_tp_sb").orderBy("_tp_jj")
+    blocks = blocks.withColumn("_tp_before", F.lag("_tp_c2", 1, 0.0).over(earlier))
+    into = (blocks.join(vin, F.col(key).eqNullSafe(F.col("_tp_key")) & (F.col("_tp_sb") == F.col("_tp_sb2")))
+            .select("_tp_key", F.col("_tp_blk").alias("_tp_blk2"),
+                    (F.pow(F.lit(d_block), F.col("_tp_jj")) * F.col("_tp_vs") + F.col("_tp_before")).alias("_tp_vin")))
+    res = r.join(into, F.col(key).eqNullSafe(F.col("_tp_key")) & (F.col("_tp_blk") == F.col("_tp_blk2")))
     v = F.pow(F.lit(beta), F.col("_tp_j") + 1) * F.col("_tp_vin") + F.col("_tp_c")
-    return res.withColumn(out, v).drop("_tp_blk", "_tp_j", "_tp_l", "_tp_c", "_tp_vin")
+    return res.withColumn(out, v).drop("_tp_blk", "_tp_blk2", "_tp_key", "_tp_j", "_tp_c", "_tp_vin")
 
 
 def best_by(df: DataFrame, key: str, metric: str, tie: str, cols: Sequence[str], mode: str = "min") -> DataFrame:

@@ -62,17 +62,26 @@ def lookup_tokens(refs: DataFrame, tokens: DataFrame, qid: str = "qid", idx: str
 
     Adds ``token`` (null when unresolved) and ``reason`` (null when resolved):
     malformed, missing_qid, index_out_of_range (negative included), empty_token.
+
+    Tokens are exploded to ``(qid, idx, token)`` and joined on both columns, so
+    no reference row carries a token array and a hot question spreads over its
+    positions.  References without a token ask a narrow ``(qid)`` table why;
+    malformed ones, which have no key, take part in no join.
     """
-    t = tokens.select(F.col(qid).alias("_tp_tq"), F.col(token_col).alias("_tp_toks"))
-    j = refs.join(t, refs[qid] == t["_tp_tq"], "left")
-    toks, ix = F.col("_tp_toks"), F.col(idx)
-    in_range = (ix >= 0) & (ix < F.size(toks))
-    token = F.when(toks.isNotNull() & in_range, F.get(toks, ix.cast("int")))
-    reason = (F.when(F.col("malformed"), F.lit("malformed"))
-               .when(toks.isNull(), F.lit("missing_qid"))
-               .when(~in_range, F.lit("index_out_of_range"))
-               .when(token == "", F.lit("empty_token")))
-    return j.withColumn("token", token).withColumn("reason", reason).drop("_tp_tq", "_tp_toks")
+    long = tokens.select(F.col(qid).alias("_tp_tq"), F.posexplode(F.col(token_col)).alias("_tp_ti", "_tp_tok"))
+    sound = refs.filter(~F.col("malformed"))
+    at = (F.col(qid) == F.col("_tp_tq")) & (F.col(idx) == F.col("_tp_ti"))
+    none = F.lit(None).cast("string")
+    hits = sound.join(long, at).select(
+        *refs.columns, F.col("_tp_tok").alias("token"),
+        F.when(F.col("_tp_tok") == "", F.lit("empty_token")).alias("reason"))
+    known = tokens.filter(F.col(token_col).isNotNull()).select(F.col(qid).alias("_tp_tq"))
+    lost = sound.join(long, at, "left_anti").join(known, F.col(qid) == F.col("_tp_tq"), "left")
+    lost = lost.select(*refs.columns, none.alias("token"),
+                       F.when(F.col("_tp_tq").isNull(), F.lit("missing_qid"))
+                       .otherwise(F.lit("index_out_of_range")).alias("reason"))
+    broken = refs.filter("malformed").select(*refs.columns, none.alias("token"), F.lit("malformed").alias("reason"))
+    return hits.unionByName(lost).unionByName(broken)
 
 
 def _glue(entries: Column) -> Column:
@@ -152,7 +161,9 @@ def group_size_histogram(df: DataFrame, group: str) -> DataFrame:
 def group_pair_counts(df: DataFrame, group: str) -> DataFrame:
     """J2 re-aimed: members and n(n-1)/2 unordered pairs per group, without emitting pairs."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_members"))
-    return sizes.withColumn("n_pairs", (F.col("n_members") * (F.col("n_members") - 1) / 2).cast("long"))
+    n = F.col("n_members")
+    return sizes.withColumn("n_pairs", F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1))
+                            .otherwise(n * F.shiftright(n - 1, 1)))
 
 
 def chain_pairs(df: DataFrame, group: str, item: str, order: Sequence) -> DataFrame:

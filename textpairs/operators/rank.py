@@ -11,7 +11,7 @@ Two patterns, both shuffle-once and skew-safe:
   (sampled bounds over the *whole* sort key, so ties on a leading column are
   still split) sorts the data; per-partition counts (one row per partition,
   broadcast) give offsets, and ``monotonically_increasing_id`` numbers rows
-  inside a partition.  The numbered rows are checkpointed once (shared
+  inside a partition.  The numbered rows are written once as Parquet (shared
   checkpoint folder), so the count and the numbering read the same data and
   an executor loss afterwards re-reads, never re-samples.
 """
@@ -75,9 +75,10 @@ def ordered_rank(df: DataFrame, order: Sequence[ColumnLike], name: str = "rank",
                  partition_by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """0-based position by ``order`` (must be a total order, i.e. end in a key).
 
-    With ``partition_by`` the position restarts per group: global position over
-    ``(group, order)`` minus the group's first position (a partial-aggregated
-    ``min`` joined back; AQE splits a hot group on that join).
+    With ``partition_by`` the position restarts per group: position inside the
+    (range, group) run plus the group's rows in earlier ranges, joined on
+    (range, group).  A run is never longer than a range, so a hot group stays
+    spread over its ranges whatever the join strategy.  A null group counts.
     """
     part = list(partition_by)
     keys = [F.col(c).asc() for c in part] + [_col(o) for o in order]
@@ -93,21 +94,29 @@ def ordered_rank(df: DataFrame, order: Sequence[ColumnLike], name: str = "rank",
     # different exchanges (re-sampled bounds), so the numbered rows are
     # written once to the shared checkpoint folder.
     s = materialise(s)
-    counts = s.groupBy(_PID).agg(F.count(F.lit(1)).alias("_tp_n"))
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: a proven size bound
-    offsets = F.broadcast(counts.select(
-        _PID, F.coalesce(F.sum("_tp_n").over(before), F.lit(0)).alias(_OFF)))
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    ranked = (s.join(offsets, _PID)
-               .withColumn(name, (F.col(_OFF) + local).cast("long"))
-               .drop(_PID, _MID, _OFF))
     if not part:
-        return ranked
-    start = ranked.groupBy(*part).agg(F.min(name).alias("_tp_start"))
-    return (ranked.join(start, part)
-                  .withColumn(name, F.col(name) - F.col("_tp_start"))
-                  .drop("_tp_start"))
+        counts = s.groupBy(_PID).agg(F.count(F.lit(1)).alias("_tp_n"))
+        before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+        # one row per partition: a proven size bound
+        offsets = F.broadcast(counts.select(
+            _PID, F.coalesce(F.sum("_tp_n").over(before), F.lit(0)).alias(_OFF)))
+        local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
+        return (s.join(offsets, _PID)
+                 .withColumn(name, (F.col(_OFF) + local).cast("long"))
+                 .drop(_PID, _MID, _OFF))
+    # a group lies in consecutive ranges: its rows in earlier ranges are carried
+    # into each (range, group), and no join or window is on the group alone
+    runs = s.groupBy(_PID, *part).agg(F.count(F.lit(1)).alias("_tp_n"), F.min(_MID).alias("_tp_m0"))
+    before = Window.partitionBy(*part).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select(
+        F.col(_PID).alias("_tp_rp"), *[F.col(c).alias(f"_tp_rg{i}") for i, c in enumerate(part)],
+        (F.coalesce(F.sum("_tp_n").over(before), F.lit(0)) - F.col("_tp_m0")).alias(_OFF))
+    same = F.col(_PID) == F.col("_tp_rp")
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_tp_rg{i}"))
+    return (s.join(carried, same)
+             .withColumn(name, (F.col(_OFF) + F.col(_MID)).cast("long"))
+             .drop(_PID, _MID, _OFF, "_tp_rp", *[f"_tp_rg{i}" for i in range(len(part))]))
 
 
 def int_rank(df: DataFrame, col: str, name: str = "rank", shift: int = 16) -> DataFrame:
@@ -134,12 +143,12 @@ def dense_ids(df: DataFrame, order: ColumnLike | Sequence[ColumnLike], name: str
     """New id = position among the rows, by ``order`` (old id).
 
     A single distinct 32-bit integer id uses the bounded integer-bucket rank;
-    any other order the range-sampled ``ordered_rank``.
+    any other order the range-sampled ``ordered_rank`` (a long).
     """
     cols = [order] if isinstance(order, (str, Column)) else list(order)
     if len(cols) == 1 and isinstance(cols[0], str) and dict(df.dtypes).get(cols[0]) == "int":
         return int_rank(df, cols[0], name=name).withColumn(name, F.col(name).cast("int"))
-    return ordered_rank(df, cols, name=name).withColumn(name, F.col(name).cast("int"))
+    return ordered_rank(df, cols, name=name)
 
 
 def shuffle_rank(df: DataFrame, key: ColumnLike, seed=738, name: str = "rank") -> DataFrame:

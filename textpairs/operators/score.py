@@ -60,28 +60,45 @@ def top_candidates(df: DataFrame, key: str, candidate: str, score: str, n: int,
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long")).filter(F.col(name) < n)
 
 
-_PREDICTORS: dict[int, object] = {}
+_PREDICTORS: dict[str, object] = {}
+
+
+def worker_predictor(ref: str, factory: Callable) -> object:
+    """The predictor of ``ref`` in this Python worker, built on first use.
+
+    A module-level function: workers import it by name, so they share one
+    cache over all tasks (a nested function travels by value, with a cache of
+    its own each time).
+    """
+    if ref not in _PREDICTORS:
+        _PREDICTORS[ref] = factory()
+    return _PREDICTORS[ref]
 
 
 def score_batches(df: DataFrame, predictor_factory: Callable[[], Callable[[pd.DataFrame], pd.Series]],
-                  out: str = "prediction", out_type: str = "int", keep: Sequence[str] | None = None) -> DataFrame:
+                  out: str = "prediction", out_type: str = "int", keep: Sequence[str] | None = None,
+                  model_ref: str | None = None) -> DataFrame:
     """Apply ``predictor_factory()(batch) -> Series`` to Arrow batches.
 
     The factory (and so the model) is built once per Python worker and reused
-    for every batch; keep the model *path* in the factory's closure, not the
-    loaded object.
+    for every batch of every task; keep the model *path* in the factory's
+    closure, not the loaded object.  ``model_ref`` names the model; by default
+    it is a digest of the pickled factory, so another factory is another model.
     """
+    from hashlib import sha256
+
+    from pyspark import cloudpickle
+
     keep = list(keep) if keep is not None else df.columns
     base = df.select(*keep) if keep != df.columns else df
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
                        + [f"`{out}` {out_type}"])
-    token = id(predictor_factory)
+    ref = model_ref or sha256(cloudpickle.dumps(predictor_factory)).hexdigest()
 
     def run(batches):
-        predictor = _PREDICTORS.get(token)
-        if predictor is None:
-            predictor = predictor_factory()
-            _PREDICTORS[token] = predictor
+        from textpairs.operators.score import worker_predictor
+
+        predictor = worker_predictor(ref, predictor_factory)
         for pdf in batches:
             pdf[out] = pd.Series(predictor(pdf), index=pdf.index)
             yield pdf
@@ -89,22 +106,22 @@ def score_batches(df: DataFrame, predictor_factory: Callable[[], Callable[[pd.Da
     return base.mapInPandas(run, schema)
 
 
-def with_text_fn(df: DataFrame, col: str, fn, out: str | None = None, return_type: str = "string") -> DataFrame:
+def with_text_fn(df: DataFrame, col: str, *, column_fn: Callable[[Column], Column] | None = None,
+                 python_fn: Callable | None = None, out: str | None = None, return_type: str = "string") -> DataFrame:
     """Apply a user function to a column.
 
-    A function of Columns stays in Catalyst; any other callable is treated as
-    a per-value Python function and vectorised as a pandas UDF.
+    ``column_fn`` maps a Column to a Column and stays in Catalyst;
+    ``python_fn`` maps one value to one value (nulls pass through) and runs as
+    a pandas UDF.  Exactly one of them is given.
     """
     out = out or col
-    try:
-        expr = fn(F.col(col))
-        if isinstance(expr, Column):
-            return df.withColumn(out, expr)
-    except Exception:  # noqa: BLE001 - not a Column function
-        pass
+    if (column_fn is None) == (python_fn is None):
+        raise ValueError("give either column_fn or python_fn")
+    if column_fn is not None:
+        return df.withColumn(out, column_fn(F.col(col)))
 
     @F.pandas_udf(return_type)
     def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else fn(v))
+        return s.map(lambda v: None if v is None else python_fn(v))
 
     return df.withColumn(out, apply(F.col(col)))

@@ -20,10 +20,16 @@ DEFAULT_SEED = 738
 STRATIFIED_SEED = 42
 
 
+def _div(a: Column, b: Column) -> Column:
+    """a div b for whole decimals: the remainder goes first, so the quotient is exact."""
+    return ((a - a % b) / b).cast("long")
+
+
 def _ceil_frac(n: Column, f) -> Column:
-    """ceil(n * f) in integer arithmetic (f as an exact fraction)."""
+    """ceil(n * f) in whole-number arithmetic (f as an exact fraction)."""
     fr = Fraction(str(f)).limit_denominator(10**6)
-    return F.floor((n * fr.numerator + fr.denominator - 1) / F.lit(fr.denominator)).cast("long")
+    return _div(n.cast("decimal(19,0)") * F.lit(fr.numerator).cast("decimal(9,0)")
+                + F.lit(fr.denominator - 1).cast("decimal(9,0)"), F.lit(fr.denominator).cast("decimal(9,0)"))
 
 
 def _total(df: DataFrame) -> Column:
@@ -54,14 +60,18 @@ def stratified_quotas(df: DataFrame, label: str, fraction: float = 0.1) -> DataF
 
     Computed over the per-class count table only (one row per class).
     """
-    fr = Fraction(str(fraction)).limit_denominator(10**6)
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
+    return quotas_of_counts(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_label")), label, fraction)
+
+
+def quotas_of_counts(c: DataFrame, label: str, fraction: float = 0.1) -> DataFrame:
+    """The quotas from per-class counts ``c(label, n_label)``."""
     everything = Window.partitionBy()
     tot = F.sum("n_label").over(everything)
-    want = F.floor((tot * fr.numerator + fr.denominator - 1) / F.lit(fr.denominator)).cast("long")
-    q = (c.withColumn("total", tot).withColumn("want", want)
-          .withColumn("base", F.floor(F.col("want") * F.col("n_label") / F.col("total")).cast("long"))
-          .withColumn("rem", (F.col("want") * F.col("n_label")) % F.col("total")))
+    q = c.withColumn("total", tot).withColumn("want", _ceil_frac(F.col("total"), fraction))
+    # products of two counts: decimal(38,0), as a bigint would overflow from 1e10 x 1e9 rows
+    product, total = F.col("want").cast("decimal(19,0)") * F.col("n_label").cast("decimal(19,0)"), \
+        F.col("total").cast("decimal(19,0)")
+    q = q.withColumn("base", _div(product, total)).withColumn("rem", product % total)
     q = q.withColumn("extra", F.col("want") - F.sum("base").over(everything))
     by_rem = Window.orderBy(F.col("rem").desc(), F.col(label).asc())
     q = q.withColumn("_tp_rn", F.row_number().over(by_rem))

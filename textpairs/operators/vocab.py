@@ -109,17 +109,3 @@ def prune_report(pieces: DataFrame, kept: DataFrame) -> DataFrame:
     k = kept.agg(F.count(F.lit(1)).alias("kept_ids"))
     return p.select("kept_pieces", k.select("kept_ids").scalar().alias("kept_ids")) \
             .withColumn("ids_without_piece", F.col("kept_ids") - F.col("kept_pieces"))
-
-
-def kept_ids_json(kept: DataFrame, name: str = "token_id") -> DataFrame:
-    """S8 (write side): one row holding the sorted JSON list of kept ids.
-
-    Bounded by the vocabulary size (the model's piece count), not by the corpus.
-    """
-    return kept.agg(F.to_json(F.sort_array(F.collect_list(F.col(name).cast("int")))).alias("kept_ids"))
-
-
-def read_kept_ids(spark: SparkSession, path: str, name: str = "token_id") -> DataFrame:
-    """S8 (read side): a JSON array file back to one id per row."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json(F.col("value"), "array<int>")).alias(name))

@@ -10,19 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.session import spread
-
 # Fixed values of the bridge (not of the reference): vocabulary ids below
 # RESERVED are kept for control and byte pieces, as in the 32k piece model.
 RESERVED = 259
 NEWLINE = "\n"
 
 
-# tables whose rows carry long texts: per-row work on them is spread over the
-# cluster when the scan itself is narrow (see ``session.spread``)
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 _TABLES: dict[tuple, DataFrame] = {}
 
 
@@ -32,10 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), spark.sparkContext.applicationId, path)
     df = _TABLES.get(key)
     if df is None:
-        df = spark.read.parquet(path)
-        if name in TEXT_TABLES:
-            df = spread(df, TEXT_TABLES[name])
-        _TABLES[key] = df
+        df = _TABLES[key] = spark.read.parquet(path)
     return df
 
 
@@ -81,10 +71,11 @@ def v_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_qqp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw question pairs over whole texts (split as in ``v_nli``): documents joined to labels."""
+    """Raw question pairs over whole texts (split as in ``v_nli``); every document is a row,
+    ``is_duplicate`` null where it has no label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", _lines_of(F.col("text")).alias("_l"))
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(lab, "doc_id").select(
+    return docs.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         (F.col("doc_id") * 2).alias("qid1"),
         (F.col("doc_id") * 2 + 1).alias("qid2"),
@@ -125,24 +116,27 @@ def v_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index-coded pairs (token references instead of text).
+    """Index-coded pairs (token references instead of text), over every token of a document.
 
-    sentence1 = ``5/4/3/2/1/0`` over the document's own tokens; where
+    sentence1 = ``n-1/.../2/1/0`` over the document's own n tokens; where
     doc_id % 5 = 0 the last part is the glued ``(d,0):(d,1)``; where
     doc_id % 7 = 0 an extra part ``100000`` (index out of range); where
     doc_id % 11 = 0 an extra glued part referring to the missing qid -1.
-    sentence2 = ``0/1/2``.  Every document is one row.
+    sentence2 = ``0/1/.../n-1``.  Every document is one row.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n"))
     d = F.col("doc_id").cast("string")
     glued = F.concat(F.lit("("), d, F.lit(",0):("), d, F.lit(",1)"))
-    s1 = F.concat(F.lit("5/4/3/2/1/"),
+    down = F.when(F.col("n") > 1, F.concat(F.array_join(F.transform(
+        F.sequence(F.col("n") - 1, F.lit(1)), lambda i: i.cast("string")), "/"), F.lit("/"))).otherwise(F.lit(""))
+    s1 = F.concat(down,
                   F.when(F.col("doc_id") % 5 == 0, glued).otherwise(F.lit("0")),
                   F.when(F.col("doc_id") % 7 == 0, F.lit("/100000")).otherwise(F.lit("")),
                   F.when(F.col("doc_id") % 11 == 0,
                          F.concat(F.lit("/("), d, F.lit(",2):(-1,0)"))).otherwise(F.lit("")))
+    s2 = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i.cast("string")), "/")
     return docs.select(d.alias("id"), F.col("doc_id").alias("qid1"), s1.alias("sentence1"),
-                       F.col("doc_id").alias("qid2"), F.lit("0/1/2").alias("sentence2"),
+                       F.col("doc_id").alias("qid2"), s2.alias("sentence2"),
                        (F.col("doc_id") % 2).cast("string").alias("label"))
 
 

@@ -37,7 +37,7 @@ VIEWS: dict[str, str] = {
                {_HEAD.format(l="string_split(d.text, chr(10))")} AS question1,
                {_LAST.format(l="string_split(d.text, chr(10))")} AS question2,
                l.quality AS is_duplicate
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "v_turn_pairs": """
         SELECT a.conv_id, a.turn, a.conv_id AS qid1, a.conv_id + 1 AS qid2,
                a.text AS question1, b.text AS question2
@@ -49,15 +49,15 @@ VIEWS: dict[str, str] = {
         SELECT doc_id AS phrase_index, replace(text, chr(10), ' ') AS phrase FROM documents""",
     "v_index": """
         SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS qid1,
-               '5/4/3/2/1/'
+               CASE WHEN n > 1 THEN array_to_string(list_reverse(range(1, n)), '/') || '/' ELSE '' END
                || CASE WHEN doc_id % 5 = 0
                        THEN '(' || CAST(doc_id AS VARCHAR) || ',0):(' || CAST(doc_id AS VARCHAR) || ',1)'
                        ELSE '0' END
                || CASE WHEN doc_id % 7 = 0 THEN '/100000' ELSE '' END
                || CASE WHEN doc_id % 11 = 0 THEN '/(' || CAST(doc_id AS VARCHAR) || ',2):(-1,0)' ELSE '' END
                  AS sentence1,
-               doc_id AS qid2, '0/1/2' AS sentence2, CAST(doc_id % 2 AS VARCHAR) AS label
-        FROM documents""",
+               doc_id AS qid2, array_to_string(range(n), '/') AS sentence2, CAST(doc_id % 2 AS VARCHAR) AS label
+        FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)""",
     "v_qtokens": """
         SELECT doc_id AS qid, string_split(text, ' ') AS tokens FROM documents""",
     "v_corpora": f"""

@@ -44,7 +44,7 @@ def q_shuffle_rank(spark, sf_dir):
 
 
 @register("dense_ids", sql="""
-    SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS new_id FROM labels""")
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS new_id FROM labels""")
 def q_dense_ids(spark, sf_dir):
     return dense_ids(B.table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 

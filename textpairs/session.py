@@ -8,7 +8,9 @@ local (tests, bench) do we create a private checkpoint folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,7 +98,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if sc.master.startswith("local"):
+    if re.match(r"local(\[|$)", sc.master):
         path = tempfile.mkdtemp(prefix="textpairs-ckpt-")
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir() or path
@@ -106,37 +108,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the (shared) checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a narrow scan over the cluster before per-row heavy work.
-
-    Only when the input has fewer partitions than the default parallelism (a
-    single large file or row group); a wide input is returned untouched, so at
-    scale this adds no shuffle.  Partitioning by ``keys`` lets later joins and
-    aggregations on them reuse it.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:  # planning only, no job
-            return df
-    except Exception:  # noqa: BLE001 - no RDD API on this session: leave the plan alone
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    """Cut lineage with a Parquet table in the shared checkpoint folder (columns prune, filters push)."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,31 +24,64 @@ NLI_EXAMPLE_SCHEMA = "id string, premise string, hypothesis string, label int"
 NLI_UNLABELLED_SCHEMA = "id string, premise string, hypothesis string"
 PAIRS_SCHEMA = "sentence1 string, sentence2 string"
 NLI_COLUMNS = ("gold_label", "sentence1", "sentence2", "pairID")
+#: The words that the pandas reader takes for a missing value.
+NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+            "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 DENY_FILES = ("train.csv", "sample_submission.csv")
 
 
-def read_pairs_tsv(spark: SparkSession, path, schema: str = PAWS_SCHEMA, multi_line: bool = True) -> DataFrame:
+def missing_to_null(df: DataFrame, null_values: Sequence[str] = NA_WORDS) -> DataFrame:
+    """String fields that hold a word for "missing" become null."""
+    return df.select(*[F.when(~F.col(f"`{f.name}`").isin(*null_values), F.col(f"`{f.name}`")).alias(f.name)
+                       if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+_BROKEN = "_tp_broken"
+
+
+def _csv(spark: SparkSession, path, sep: str, multi_line: bool, null_values: Sequence[str], schema: str | None) -> DataFrame:
+    """Quoted, delimited files with a header.
+
+    Without ``multi_line`` files split over tasks, and a line that ends inside
+    a quoted field (it does not fit the schema, and its quotes do not pair up)
+    fails the job instead of making two wrong rows.  The check needs a schema.
+    """
+    r = (spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"')
+         .option("multiLine", multi_line))
+    if not schema or multi_line:
+        return missing_to_null((r.schema(schema) if schema else r).csv(path), null_values)
+    df = r.schema(f"{schema}, {_BROKEN} string").option("columnNameOfCorruptRecord", _BROKEN).csv(path)
+    quotes = F.length(_BROKEN) - F.length(F.replace(F.col(_BROKEN), F.lit('"'), F.lit("")))
+    fine = F.when(quotes % 2 == 1, F.raise_error(F.lit("a quoted field holds a line break: set multi_line=True"))
+                  .cast("boolean")).otherwise(F.lit(True))
+    return missing_to_null(df.filter(fine).drop(_BROKEN), null_values)
+
+
+def read_pairs_tsv(spark: SparkSession, path, schema: str = PAWS_SCHEMA, multi_line: bool = False,
+                   null_values: Sequence[str] = NA_WORDS) -> DataFrame:
     """Tab-separated, header, standard double-quote quoting."""
-    return (spark.read.schema(schema).option("sep", "\t").option("header", True)
-            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-            .option("mode", "PERMISSIVE").csv(path))
+    return _csv(spark, path, "\t", multi_line, null_values, schema)
 
 
 def read_nli_tsv(spark: SparkSession, path, on_bad: str = "drop",
-                 columns: Sequence[str] = NLI_COLUMNS) -> DataFrame:
+                 columns: Sequence[str] = NLI_COLUMNS, null_values: Sequence[str] = NA_WORDS) -> DataFrame:
     """Tab-separated with quoting off.
 
     A line is a record; fields are split on tabs.  Rows with more fields than
     the header are dropped (``on_bad='drop'``) or fail the job (``'fail'``);
-    shorter rows are kept and null-padded -- the pandas behaviour.  Only
-    ``columns`` are returned (all strings).
+    shorter rows are kept and null-padded, and fields that hold one of
+    ``null_values`` are null -- the pandas behaviour.  Only ``columns`` are
+    returned (all strings); of repeated names in the header the first counts.
+    The header is the first line of each file, whatever it says.
     """
-    header = (spark.read.option("header", True).option("sep", "\t").option("quote", "")
-              .option("inferSchema", False).csv(path).columns)
-    lines = spark.read.text(path)
-    head_line = "\t".join(header)
-    fields = F.split(F.col("value"), "\t", -1)
-    rows = lines.filter(F.col("value") != head_line).select(fields.alias("_f"))
+    first = spark.read.text(path).first()
+    if first is None:
+        raise ValueError(f"no header in {path}")
+    header = first["value"].split("\t")
+    # one column of whole lines; the reader skips each file's first line by its place
+    lines = (spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "")
+             .option("nullValue", "\x01").csv(path))
+    rows = lines.select(F.split(F.col("value"), "\t", -1).alias("_f"))
     too_long = F.size("_f") > len(header)
     if on_bad == "drop":
         rows = rows.filter(~too_long)
@@ -56,17 +89,15 @@ def read_nli_tsv(spark: SparkSession, path, on_bad: str = "drop",
         rows = rows.withColumn("_f", F.when(too_long, F.raise_error(F.lit("over-long row"))).otherwise(F.col("_f")))
     else:
         raise ValueError(on_bad)
-    pos = {name: i for i, name in enumerate(header)}
-    return rows.select(*[F.get("_f", pos[c]).alias(c) if c in pos else F.lit(None).cast("string").alias(c)
-                         for c in columns])
+    out = rows.select(*[F.get("_f", header.index(c)).alias(c) if c in header else F.lit(None).cast("string").alias(c)
+                        for c in columns])
+    return missing_to_null(out, null_values)
 
 
-def read_examples_csv(spark: SparkSession, path, schema: str | None = NLI_EXAMPLE_SCHEMA) -> DataFrame:
-    """S3: comma CSV with header (pandas dialect: double quotes, quoted newlines)."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    if schema:
-        r = r.schema(schema)
-    return r.csv(path)
+def read_examples_csv(spark: SparkSession, path, schema: str | None = NLI_EXAMPLE_SCHEMA, multi_line: bool = False,
+                      null_values: Sequence[str] = NA_WORDS) -> DataFrame:
+    """S3: comma CSV with header (pandas dialect: double quotes, missing words null)."""
+    return _csv(spark, path, ",", multi_line, null_values, schema)
 
 
 def read_indexed_lines(spark: SparkSession, path, index: str = "phrase_index", text: str = "phrase") -> DataFrame:
@@ -80,16 +111,14 @@ def read_indexed_lines(spark: SparkSession, path, index: str = "phrase_index", t
     """
     raw = spark.read.text(path).select(
         F.col("value").alias(text), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_tp_blk"),
-        F.spark_partition_id().alias("_tp_pid"), F.monotonically_increasing_id().alias("_tp_mid"))
+        F.col("_metadata.file_block_start").alias("_tp_blk"), F.monotonically_increasing_id().alias("_tp_mid"))
     raw = materialise(raw)
-    per_block = raw.groupBy("file", "_tp_blk", "_tp_pid").agg(F.count(F.lit(1)).alias("_tp_n"),
-                                                              F.min("_tp_mid").alias("_tp_m0"))
+    per_block = raw.groupBy("file", "_tp_blk").agg(F.count(F.lit(1)).alias("_tp_n"), F.min("_tp_mid").alias("_tp_m0"))
     before = Window.partitionBy("file").orderBy("_tp_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select("file", "_tp_blk", "_tp_pid", "_tp_m0",
-                               F.coalesce(F.sum("_tp_n").over(before), F.lit(0)).alias("_tp_off"))
-    j = raw.join(F.broadcast(offsets), ["file", "_tp_blk", "_tp_pid"])  # one row per file block
-    return j.select("file", (F.col("_tp_off") + F.col("_tp_mid") - F.col("_tp_m0")).alias(index), text)
+    offsets = per_block.select(F.col("file").alias("_tp_file"), F.col("_tp_blk").alias("_tp_oblk"),
+                               (F.coalesce(F.sum("_tp_n").over(before), F.lit(0)) - F.col("_tp_m0")).alias("_tp_off"))
+    j = raw.join(offsets, (F.col("file") == F.col("_tp_file")) & (F.col("_tp_blk") == F.col("_tp_oblk")))
+    return j.select("file", (F.col("_tp_off") + F.col("_tp_mid")).alias(index), text)
 
 
 def lines_of_column(df: DataFrame, text: str, keep: Sequence[str] = (), index: str = "line_no",
@@ -145,31 +174,37 @@ def load_tokens(spark: SparkSession, directory: str, corpus: str | None = None,
     return df
 
 
-def write_kept_ids(kept_json: DataFrame, path: str) -> None:
-    """S8 (write): the one-row JSON list from ``vocab.kept_ids_json``."""
-    kept_json.coalesce(1).write.mode("overwrite").text(path)
+def write_kept_ids(kept: DataFrame, path: str) -> None:
+    """S8 (write): kept ids as rows, one per id, over as many files as there are tasks."""
+    kept.write.mode("overwrite").parquet(path)
+
+
+def read_kept_ids(spark: SparkSession, path: str) -> DataFrame:
+    """S8 (read)."""
+    return spark.read.parquet(path)
 
 
 def existing_inputs(spark: SparkSession, directory: str, names: Sequence[str]) -> list[str]:
     """The files of ``names`` that exist in ``directory``, in list order.
 
-    Lists file *names* only (the binary source reads no content when only
-    ``path`` is selected).
+    Each name is looked up in the directory's own file system, so any
+    character is taken as it is; errors of the store rise.
     """
-    glob = "{" + ",".join(names) + "}"
-    try:
-        found = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
-                 .select("path").collect())
-    except Exception:  # noqa: BLE001 - empty or missing directory
-        return []
-    present = {r.path.rsplit("/", 1)[-1]: r.path for r in found}
-    return [present[n] for n in names if n in present]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    found = []
+    for name in names:
+        at = path(path(directory), name)
+        fs = at.getFileSystem(conf)
+        if fs.exists(at):
+            found.append(fs.makeQualified(at).toString())
+    return found
 
 
 def scan_corpus(spark: SparkSession, directory: str, deny: Sequence[str] = DENY_FILES,
-                schema: str | None = NLI_EXAMPLE_SCHEMA) -> DataFrame:
+                schema: str | None = NLI_EXAMPLE_SCHEMA, multi_line: bool = False) -> DataFrame:
     """Every ``*.csv`` in a directory except a deny-list, with the file name."""
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
          .option("pathGlobFilter", "*.csv"))
     if schema:
         r = r.schema(schema)
