@@ -18,10 +18,21 @@ TOKENISE_RULES: list[tuple[str, str]] = [
     (r"\.\.\.", " ... "),
     (r"([:,])([^0-9])", " $1 $2"),
     (r"([;@#$%&?!\]\[(){}<>])", " $1 "),
-    (r"([^.])(\.)(\s|$)", "$1 $2$3"),
+    # only the period that ends the text, before closing quotes and brackets, is a token of its own
+    (r"([^.])(\.)([\])}>\"']*)\s*$", "$1 $2$3 "),
     (r"--", " -- "),
     (r'"', " '' "),
-    (r"([^' ])('s|'S|'m|'M|'d|'D|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    # clitics, twice over: "I'd've" holds two
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]) ", "$1 $2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]) ", "$1 $2 "),
+    # contractions that are split although they hold no apostrophe
+    (r"\b([cC]an)(not)\b", "$1 $2"),
+    (r"\b([dD])('ye)\b", "$1 $2"),
+    (r"\b([gG]im|[lL]em)(me)\b", "$1 $2"),
+    (r"\b([gG]on|[wW]an)(na)\b", "$1 $2"),
+    (r"\b([gG]ot)(ta)\b", "$1 $2"),
+    (r"\b([mM]ore)('n)\b", "$1 $2"),
+    (r" ('[tT])(is|was)\b", " $1 $2"),
     (r"\s+", " "),
 ]
 
@@ -29,7 +40,15 @@ TOKENISE_RULES: list[tuple[str, str]] = [
 DETOKENISE_RULES: list[tuple[str, str]] = [
     (r" `` ", ' "'),
     (r" ''", '"'),
-    (r" ('s|'S|'m|'M|'d|'D|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 "),
+    (r"\b([cC]an) (not)\b", "$1$2"),
+    (r"\b([dD]) ('ye)\b", "$1$2"),
+    (r"\b([gG]im|[lL]em) (me)\b", "$1$2"),
+    (r"\b([gG]on|[wW]an) (na)\b", "$1$2"),
+    (r"\b([gG]ot) (ta)\b", "$1$2"),
+    (r"\b([mM]ore) ('n)\b", "$1$2"),
+    (r" ('[tT]) (is|was)\b", " $1$2"),
+    (r" ('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]) ", "$1 "),
+    (r" ('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]) ", "$1 "),
     (r" ([,.;:?!%)\]}])", "$1"),
     (r"([(\[{$]) ", "$1"),
 ]
