@@ -5,11 +5,15 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from pyspark.sql import functions as F
+
 from tests.conftest import SF_SMALL
+from textpairs.operators import split as S
+from textpairs.plans.registry import QUERIES, load_all
+from textpairs.session import ensure_checkpoint_dir
 from tools.check_oracle import digest
 
-QUERIES = E.queries()
+load_all()
 PYTHON_WORKER_KEYS = {"tokenise_corpus", "decode_corpus", "roundtrip_audit", "score_batches"}
 STREAM_KEYS = {"stream_scoring", "stream_value_counts", "stream_ema"}
 
@@ -28,6 +32,19 @@ def test_no_row_at_a_time_python(spark, key):
         assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_splits_decide_rows_where_they_are_scanned(spark):
+    """No exchange carries the text columns: thresholds come from keys alone."""
+    ensure_checkpoint_dir(spark)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    for df in (S.split_two(docs, "doc_id"), S.split_three(docs, "doc_id"), S.split_stratified(docs, "doc_id", "lang"),
+               S.split_two(docs, "source", by_group=True)):
+        plan = df._jdf.queryExecution().explainString(mode)
+        moved = re.findall(r"\) (?:Exchange|BroadcastExchange)\nInput \[\d+\]: \[([^\]]*)\]", plan)
+        assert moved and not any("text" in cols for cols in moved)
+        assert df.filter(F.col("text").isNull()).count() == 0
+
+
 def test_positive_pairs_filter_reaches_the_scan(spark):
     plan = plan_of(QUERIES["positive_pairs"](spark, SF_SMALL))
     pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", plan)

@@ -187,3 +187,22 @@ def test_int_dense_ids_match_sorted_order(spark, ids):
     df = spark.createDataFrame([(i,) for i in ids], "token_id int")
     got = {r.token_id: r.new_id for r in dense_ids(df, "token_id").collect()}
     assert [got[i] for i in sorted(ids)] == list(range(len(ids)))
+
+
+def test_split_by_group_keeps_groups_whole_and_sizes_exact(spark):
+    df = spark.range(3_000).select((F.col("id") % 101).alias("g"), F.col("id").alias("k"))
+    out = S.split_two(df, "g", 0.2, by_group=True)
+    sides = {}
+    for r in out.select("g", "split").distinct().collect():
+        assert r.g not in sides
+        sides[r.g] = r.split
+    assert sum(v == "valid" for v in sides.values()) == 21  # ceil(0.2 * 101)
+    three = S.split_three(df, "g", by_group=True).select("g", "split").distinct()
+    assert {r.split: r["count"] for r in three.groupBy("split").count().collect()} == {"test": 11, "valid": 10, "train": 80}
+
+
+def test_splits_of_nothing_and_of_everything(spark):
+    df = spark.range(10).select(F.col("id").alias("k"), F.lit("a").alias("label"))
+    assert {r.split for r in S.split_two(df, "k", 1.0).collect()} == {"valid"}
+    assert {r.split for r in S.split_stratified(df, "k", "label", 1.0).collect()} == {"valid"}
+    assert S.split_two(df.limit(0), "k").count() == 0 and S.split_stratified(df.limit(0), "k", "label").count() == 0

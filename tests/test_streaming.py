@@ -48,7 +48,7 @@ def test_stream_value_counts_final_state(spark, tmp_dir):
     stream = ST.file_stream(spark, src, EVENTS, "*.parquet", files_per_trigger=1)
     sink, ckpt = os.path.join(tmp_dir, "sink"), os.path.join(tmp_dir, "ckpt")
     ST.stream_value_counts(stream, "event_type", sink, ckpt)
-    got = {r.value: r.n for r in spark.read.parquet(sink).collect()}
+    got = {r.value: r.n for r in ST.latest_state(spark, sink, "value", ["n"]).collect()}
     ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
     want = {r.event_type: r["count"] for r in ev.groupBy("event_type").count().collect()}
     assert got == want
@@ -70,3 +70,32 @@ def test_requests_dedupe_within_watermark(spark, tmp_dir):
     ST.run_available_now(prompts.select("prompt").writeStream.format("parquet").option("path", sink), ckpt)
     got = sorted(r.prompt for r in spark.read.parquet(sink).collect())
     assert got == ["mnli hypothesis: b premise: a", "mnli hypothesis: d premise: c"]
+
+
+def test_a_replayed_micro_batch_does_not_double_rows(spark, tmp_dir):
+    write = ST.batch_writer(os.path.join(tmp_dir, "sink"))
+    first, second = spark.range(5).withColumn("n", F.col("id")), spark.range(3).withColumn("n", F.lit(9))
+    for df, batch in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        write(df, batch)
+    log = spark.read.parquet(os.path.join(tmp_dir, "sink"))
+    assert log.count() == 8
+    got = {r.id: r.n for r in ST.latest_state(spark, os.path.join(tmp_dir, "sink"), "id", ["n"]).collect()}
+    assert got == {0: 9, 1: 9, 2: 9, 3: 3, 4: 4}
+
+
+def test_idle_keys_are_forgotten_behind_the_watermark(spark, tmp_dir):
+    """Key 1 falls silent for longer than the idle time, so its average starts anew; key 2 goes on."""
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    hours = [[(1, 0, 10.0), (2, 0, 10.0)], [(2, 1, 10.0)], [(2, 5, 10.0)], [(2, 6, 10.0)], [(1, 7, 50.0), (2, 7, 50.0)]]
+    import pandas as pd
+    for i, rows in enumerate(hours):
+        at = os.path.join(src, f"p{i}.parquet")
+        pd.DataFrame([{"k": k, "ts": pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(hours=h), "v": v} for k, h, v in rows]) \
+            .to_parquet(at, coerce_timestamps="us")
+        os.utime(at, (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))
+    stream = ST.file_stream(spark, src, "k long, ts timestamp, v double", "*.parquet", files_per_trigger=1)
+    sink, ckpt = os.path.join(tmp_dir, "sink"), os.path.join(tmp_dir, "ckpt")
+    ST.stream_ema(stream, "k", ["ts"], "v", sink, ckpt, alpha=0.5, event_time="ts", delay="1 hour", idle_ms=2 * 3_600_000)
+    final = {r.k: (r.ema, r.n) for r in ST.latest_state(spark, sink, "k", ["ema", "n"]).collect()}
+    assert final[1] == (50.0, 1) and final[2][0] == 30.0 and final[2][1] >= 2

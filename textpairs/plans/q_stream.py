@@ -67,7 +67,7 @@ def q_stream_value_counts(spark, sf_dir):
     src = ST.file_stream(spark, sf_dir, EVENTS_SCHEMA, "events.parquet")
     sink, ckpt = ST.fresh_paths(spark, "stream_value_counts")
     ST.stream_value_counts(src, "event_type", sink, ckpt)
-    return spark.read.parquet(sink)
+    return ST.latest_state(spark, sink, "value", ["n"])
 
 
 @register("stream_ema", sql="""

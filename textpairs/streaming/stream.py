@@ -3,11 +3,16 @@
 * ``score_stream`` -- requests arrive as files; the stop word is filtered,
   the prompt built, rows scored (any P1 predictor), appended to a sink.
 * ``stream_value_counts`` -- running counts of one column; every micro-batch
-  rewrites the (small) complete result table with ``foreachBatch``.
+  writes the values that changed (update mode), ``latest_state`` reads the
+  newest count of each.
 * ``stream_ema`` -- running EMA per key with ``applyInPandasWithState``.  Rows
   of a key inside one micro-batch are sorted by the order columns before
-  folding; rows arriving in a later micro-batch fold on arrival (a watermark
-  on the source drops what is too late).
+  folding; rows arriving in a later micro-batch fold on arrival.  With an
+  event-time column, a watermark drops what is too late and a key's state goes
+  once the watermark has passed its last event by the idle time.
+
+Update sinks are keyed by micro-batch: a batch that is replayed overwrites its
+own ``batch_id`` folder.
 
 All sinks and checkpoints live under the session's checkpoint folder.
 ``run_available_now`` drives a query to completion (``trigger(availableNow)``).
@@ -75,22 +80,28 @@ def score_stream(stream: DataFrame, predictor_factory: Callable, sink: str, chec
     return sink
 
 
-def stream_value_counts(stream: DataFrame, col: str, sink: str, checkpoint: str) -> str:
-    """Running counts of ``col``; each micro-batch rewrites the complete table."""
-    counts = stream.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-
+def batch_writer(sink: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: one folder per micro-batch, overwritten when it is replayed."""
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(sink)
+        batch_df.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+    return write
+
 
-    run_available_now(counts.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
+def stream_value_counts(stream: DataFrame, col: str, sink: str, checkpoint: str) -> str:
+    """Running counts of ``col``; each micro-batch writes the values whose count changed."""
+    counts = stream.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    run_available_now(counts.writeStream.outputMode("update").foreachBatch(batch_writer(sink)), checkpoint)
     return sink
 
 
 EMA_STATE = "ema double, n long"
 
 
-def _ema_fold(alpha: float, order: Sequence[str], value: str, key: str):
+def _ema_fold(alpha: float, order: Sequence[str], value: str, key: str, event_time: str | None, idle_ms: int):
     def fold(key_tuple, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="mergesort")
         if state.exists:
             ema, n = state.get
@@ -100,21 +111,29 @@ def _ema_fold(alpha: float, order: Sequence[str], value: str, key: str):
             ema = x if n == 0 else alpha * x + (1.0 - alpha) * ema
             n += 1
         state.update((ema, n))
+        if event_time is not None:
+            last = int(rows[event_time].max().value // 1_000_000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({key: [key_tuple[0]], "ema": [ema], "n": [n]})
     return fold
 
 
 def stream_ema(stream: DataFrame, key: str, order: Sequence[str], value: str, sink: str, checkpoint: str,
-               alpha: float = 0.02, key_type: str = "long") -> str:
-    """Running EMA per key; every micro-batch appends (batch_id, key, ema, n)."""
+               alpha: float = 0.02, key_type: str = "long", event_time: str | None = None,
+               delay: str = "10 minutes", idle_ms: int = 3_600_000) -> str:
+    """Running EMA per key; every micro-batch writes (key, ema, n) of the keys it changed.
+
+    ``event_time`` bounds the state: rows later than ``delay`` are dropped, and
+    a key without an event for ``idle_ms`` of event time is forgotten.  Without
+    it the state grows with the number of keys.
+    """
     out_schema = f"{key} {key_type}, ema double, n long"
+    timeout = GroupStateTimeout.NoTimeout
+    if event_time is not None:
+        stream, timeout = stream.withWatermark(event_time, delay), GroupStateTimeout.EventTimeTimeout
     updates = stream.groupBy(key).applyInPandasWithState(
-        _ema_fold(alpha, order, value, key), out_schema, EMA_STATE, "update", GroupStateTimeout.NoTimeout)
-
-    def write(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
-
-    run_available_now(updates.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+        _ema_fold(alpha, order, value, key, event_time, idle_ms), out_schema, EMA_STATE, "update", timeout)
+    run_available_now(updates.writeStream.outputMode("update").foreachBatch(batch_writer(sink)), checkpoint)
     return sink
 
 
