@@ -189,15 +189,16 @@ def best_by(df: DataFrame, key: str, metric: str, tie: str, cols: Sequence[str],
     return df.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
-def vocab_growth(df: DataFrame, file: str, token: str) -> DataFrame:
+def vocab_growth(df: DataFrame, file: str, token: str, files: DataFrame | None = None) -> DataFrame:
     """A12 progressive: distinct tokens seen after each file (files in name order).
 
     A token counts for the first file it occurs in (a partial min per token);
-    the running sum runs over the per-file table (one row per file).
+    the running sum runs over the per-file table (one row per file).  ``files``
+    gives the list of files where it is known without reading the tokens.
     """
     first = df.groupBy(token).agg(F.min(file).alias(file))
     per = first.groupBy(file).agg(F.count(F.lit(1)).alias("n_new"))
-    files = df.select(file).distinct()
+    files = (df if files is None else files).select(file).distinct()
     per = files.join(per, file, "left").fillna(0, ["n_new"])
     w = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return per.withColumn("n_seen", F.sum("n_new").over(w))

@@ -53,10 +53,12 @@ def vocab_table(words: DataFrame, reserved: int = RESERVED) -> DataFrame:
 
 def prune_vocab(vocab: DataFrame, seen: DataFrame, reserved: int = RESERVED,
                 name: str = "token_id") -> DataFrame:
-    """V1: keep a piece if its id is reserved or seen; order (by id) kept, new id = position."""
-    kept = vocab.join(seen.select(F.col(name).cast("int").alias("id")), "id", "left_semi")
-    kept = kept.unionByName(vocab.filter(F.col("id") < reserved)).distinct()
-    return dense_ids(kept, "id", name="new_id")
+    """V1: keep a piece if its id is reserved or seen; order (by id) kept, new id = position.
+
+    The reserved ids join the seen ones (U5), so one semi-join decides.
+    """
+    wanted = add_meta_ids(seen, reserved, name).withColumnRenamed(name, "id")
+    return dense_ids(vocab.join(wanted, "id", "left_semi"), "id", name="new_id")
 
 
 def kept_ids(seen: DataFrame, reserved: int = RESERVED, name: str = "token_id") -> DataFrame:
@@ -94,12 +96,17 @@ def gather_rows(matrix: DataFrame, mapping: DataFrame, id_col: str = "id") -> Da
 
 def vocab_coverage(corpus_ids: DataFrame, col: str, kept: DataFrame, by: Sequence[str] = (),
                    name: str = "token_id") -> DataFrame:
-    """V5: share of token occurrences in a corpus that a pruned vocabulary keeps."""
+    """V5: share of token occurrences in a corpus that a pruned vocabulary keeps.
+
+    Occurrences are counted per (group, id) first (map-side), so the join and
+    its shuffle are vocabulary-sized.
+    """
     ex = corpus_ids.select(*by, F.explode(F.col(col)).alias(name))
+    n = ex.groupBy(*by, name).agg(F.count(F.lit(1)).alias("_tp_n"))
     k = kept.select(F.col(name).cast("int").alias(name), F.lit(True).alias("_tp_k"))
-    j = ex.join(k, name, "left")
-    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("tokens"), F.count("_tp_k").alias("kept"),
-                              (F.count("_tp_k") / F.count(F.lit(1))).alias("coverage"))
+    j = n.join(k, name, "left")
+    tokens, found = F.sum("_tp_n"), F.coalesce(F.sum(F.when(F.col("_tp_k"), F.col("_tp_n"))), F.lit(0).cast("long"))
+    return j.groupBy(*by).agg(tokens.alias("tokens"), found.alias("kept"), (found / tokens).alias("coverage"))
 
 
 def prune_report(pieces: DataFrame, kept: DataFrame) -> DataFrame:

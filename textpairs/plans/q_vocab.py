@@ -46,23 +46,25 @@ NLI_TOK_CTES = dict(NLI_EXAMPLES_CTE, **{
 })
 
 
-def nli_tok(spark, sf_dir, cache: bool = False):
+def nli_tok(spark, sf_dir, cache: bool = False, vocab=None):
     """NLI examples with vocabulary-table ids (the shared input of Q5-Q12, U4, V*).
 
     ``cache=True`` writes the tokenised corpus once (the reference's cache point
-    after tokenisation) for queries that read it from several branches.
+    after tokenisation) for queries that read it from several branches; a
+    query that needs the vocabulary elsewhere too passes its one ``vocab``.
     """
     ex = nli_examples(spark, sf_dir)
-    tok = TK.tokenise_vocab(ex, ["id"], ["premise", "hypothesis"], B.v_vocab(spark, sf_dir), carry=["label"])
+    tok = TK.tokenise_vocab(ex, ["id"], ["premise", "hypothesis"], vocab if vocab is not None else B.v_vocab(spark, sf_dir),
+                           carry=["label"])
     return materialise(tok) if cache else tok
 
 
-def _seen(spark, sf_dir):
-    return V.seen_ids(nli_tok(spark, sf_dir), ["premise_ids", "hypothesis_ids"])
+def _seen(spark, sf_dir, vocab=None):
+    return V.seen_ids(nli_tok(spark, sf_dir, vocab=vocab), ["premise_ids", "hypothesis_ids"])
 
 
-def _kept(spark, sf_dir):
-    return V.kept_ids(_seen(spark, sf_dir))
+def _kept(spark, sf_dir, vocab=None):
+    return V.kept_ids(_seen(spark, sf_dir, vocab))
 
 
 @register("tokenise_vocab", sql="""
@@ -101,8 +103,8 @@ def q_id_map(spark, sf_dir):
     SELECT id, piece, score, type, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS new_id
     FROM full_vocab WHERE id < 259 OR id IN (SELECT token_id FROM seen)""", ctes=NLI_TOK_CTES)
 def q_prune_vocab(spark, sf_dir):
-    vocab = V.vocab_table(B.v_vocab(spark, sf_dir))
-    return V.prune_vocab(vocab, _seen(spark, sf_dir))
+    words = B.v_vocab(spark, sf_dir)
+    return V.prune_vocab(V.vocab_table(words), _seen(spark, sf_dir, words))
 
 
 @register("prune_report", sql="""
@@ -111,8 +113,9 @@ def q_prune_vocab(spark, sf_dir):
           WHERE id < 259 OR id IN (SELECT token_id FROM seen)) p,
          (SELECT count(*) AS kept_ids FROM kept) k""", ctes=NLI_TOK_CTES)
 def q_prune_report(spark, sf_dir):
-    seen = _seen(spark, sf_dir)
-    pieces = V.prune_vocab(V.vocab_table(B.v_vocab(spark, sf_dir)), seen)
+    words = B.v_vocab(spark, sf_dir)
+    seen = materialise(_seen(spark, sf_dir, words))
+    pieces = V.prune_vocab(V.vocab_table(words), seen)
     return V.prune_report(pieces, V.kept_ids(seen))
 
 
@@ -166,10 +169,10 @@ def q_gather_rows(spark, sf_dir):
     LEFT JOIN kept k ON k.token_id = t.tid GROUP BY d.lang""", ctes=NLI_TOK_CTES)
 def q_vocab_coverage(spark, sf_dir):
     """V5: kept ids from the NLI sentences, coverage measured on every line of every document."""
-    lines = B.v_lines(spark, sf_dir)
-    ids = TK.tokenise_vocab(lines, ["doc_id", "line_no"], ["line"], B.v_vocab(spark, sf_dir))
-    langs = B.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    cov = V.vocab_coverage(ids.join(langs, "doc_id"), "line_ids", _kept(spark, sf_dir), by=["lang"])
+    words = B.v_vocab(spark, sf_dir)
+    lines = B.table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    ids = TK.tokenise_vocab(lines, ["doc_id", "line_no"], ["line"], words, carry=["lang"])
+    cov = V.vocab_coverage(ids, "line_ids", _kept(spark, sf_dir, words), by=["lang"])
     return rounded(cov, ["coverage"])
 
 
@@ -182,5 +185,23 @@ def q_vocab_coverage(spark, sf_dir):
           GROUP BY s.source)""")
 def q_vocab_size(spark, sf_dir):
     """A12 (progressive by file): distinct words seen after each source, sources in name order."""
-    words = B.v_words(spark, sf_dir).join(B.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return M.vocab_growth(words, "source", "word").select("source", "n_new", "n_seen")
+    docs = B.table(spark, sf_dir, "documents")
+    words = docs.select("source", F.explode(F.split("text", "[ \n]")).alias("word"))
+    return M.vocab_growth(words, "source", "word", files=docs.select("source")).select("source", "n_new", "n_seen")
+
+
+@register("prune_pieces_and_rows", sql="""
+    SELECT k.new_id, p.id AS old_id, p.piece, p.type, len(e.embedding) AS dim,
+           round(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS checksum
+    FROM full_vocab p JOIN kept k ON k.token_id = p.id LEFT JOIN embeddings e ON e.vec_id = p.id""", ctes=NLI_TOK_CTES)
+def q_prune_pieces_and_rows(spark, sf_dir):
+    """V4's other half: the pruned piece table beside the gathered rows of the matrix, under the new ids."""
+    words = B.v_vocab(spark, sf_dir)
+    seen = materialise(_seen(spark, sf_dir, words))
+    pieces = V.prune_vocab(V.vocab_table(words), seen)
+    emb = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    rows = V.gather_rows(emb, V.id_map(V.kept_ids(seen)), "id").select("new_id", "embedding")
+    total = F.aggregate(F.col("embedding"), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+    return pieces.join(rows, "new_id", "left").select(
+        "new_id", F.col("id").alias("old_id"), "piece", "type",
+        F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("dim"), M.round_double(total).alias("checksum"))
