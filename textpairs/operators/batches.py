@@ -67,15 +67,16 @@ def sortish_batches(df: DataFrame, key: str, length: str, batch_size: int, seed=
         df = df.withColumn("_tp_len", _sort_key(length, sort_key))
         out = sortish_batches(df, key, "_tp_len", batch_size, seed, chunk)
         return out.drop("_tp_len")
-    r = hash_rank(df, key, seed, name="_tp_rank")
+    # positions need the key and the length only; wide rows join them back once, at the end
+    r = hash_rank(df.select(F.col(key), F.col(length).alias("_tp_by")), key, seed, name="_tp_rank")
     r = r.withColumn("_tp_chunk", F.floor(F.col("_tp_rank") / (chunk * bs)).cast("long"))
-    in_chunk = Window.partitionBy("_tp_chunk").orderBy(F.col(length).desc(), F.col(key).asc())
+    in_chunk = Window.partitionBy("_tp_chunk").orderBy(F.col("_tp_by").desc(), F.col(key).asc())
     r = r.withColumn("_tp_pos", (F.row_number().over(in_chunk) - 1).cast("long"))
     r = r.withColumn("batch", (F.col("_tp_chunk") * chunk + F.floor(F.col("_tp_pos") / bs)).cast("long"))
-    # the positioned rows feed two scalar subqueries, the batch table and the
-    # final join: write them once instead of re-ranking for every consumer
-    r = materialise(r)
-    bt = r.groupBy("batch").agg(F.count(F.lit(1)).alias("_tp_size"), F.max(length).alias("_tp_head"))
+    # the positions feed two scalar subqueries, the batch table and the final
+    # join: write them once instead of re-ranking for every consumer
+    r = materialise(r.select(key, "_tp_by", "_tp_pos", "batch"))
+    bt = r.groupBy("batch").agg(F.count(F.lit(1)).alias("_tp_size"), F.max("_tp_by").alias("_tp_head"))
     top = bt.select(F.max_by("batch", F.struct(F.col("_tp_size") == bs, F.col("_tp_head"), -F.col("batch")))).scalar()
     last_b = bt.select(F.max("batch")).scalar()
     last = F.when(top == last_b, F.lit(0).cast("long")).otherwise(last_b)
@@ -91,7 +92,8 @@ def sortish_batches(df: DataFrame, key: str, length: str, batch_size: int, seed=
     out = r.join(order, "batch")
     in_batch = Window.partitionBy("batch").orderBy(seeded_hash(seed, F.col(key), tag="r"), F.col(key))
     slot = F.when(F.col("_tp_cls") == 1, F.row_number().over(in_batch) - 1).otherwise(F.col("_tp_pos") % bs)
-    return out.withColumn("slot", slot.cast("int")).drop("_tp_rank", "_tp_chunk", "_tp_pos", "_tp_cls")
+    out = out.withColumn("slot", slot.cast("int")).select(key, "batch", "batch_order", "slot")
+    return df.join(out, key)
 
 
 def pad_widths(df: DataFrame, batch: str, ids: str, max_len: int, prefix: str = "") -> DataFrame:

@@ -27,6 +27,9 @@ from textpairs.session import materialise
 
 ColumnLike = Column | str
 
+#: Rows that one task may order and number.
+MAX_TOP_ROWS = 100_000
+
 _PID, _MID, _OFF = "_tp_pid", "_tp_mid", "_tp_off"
 
 
@@ -162,6 +165,8 @@ def top_rows(df: DataFrame, order: Sequence[ColumnLike], k: int, name: str = "po
     ``orderBy().limit(k)`` plans TakeOrderedAndProject (per-partition top-k,
     then a k-row merge); the numbering window then sees at most ``k`` rows.
     """
+    if k > MAX_TOP_ROWS:  # too many for one task: the same positions by the range rank
+        return ordered_rank(df, order, name=name).filter(F.col(name) < k)
     cols = [_col(o) for o in order]
     head = df.orderBy(*cols).limit(k)
     return head.withColumn(name, (F.row_number().over(Window.orderBy(*cols)) - 1).cast("long"))

@@ -24,16 +24,8 @@ from pyspark.sql import functions as F
 UNK_ID, BOS_ID, EOS_ID = 0, 1, 2
 PAD_ID = 0
 
-MODEL_NAME = "piece_bpe_32k.model"
-
-
-def default_model_path() -> str | None:
-    try:
-        import public_tokenizers  # type: ignore
-
-        return public_tokenizers.path(MODEL_NAME)
-    except Exception:  # noqa: BLE001 - optional package
-        return None
+#: Where the public 32k piece model lies; another path is given as ``model_path``.
+MODEL_PATH = os.environ.get("TEXTPAIRS_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 _PROCESSORS: dict[str, object] = {}
@@ -53,18 +45,13 @@ def _processor(ref: str):
 
 def ship_model(spark: SparkSession, path: str) -> str:
     """Distribute the model file to every executor; returns the reference to pass to tasks."""
-    try:
-        spark.sparkContext.addFile(path)
-    except Exception:  # noqa: BLE001 - already added
-        pass
+    spark.sparkContext.addFile(path)
     return os.path.basename(path)
 
 
 def prompt_ids(text: str, model_path: str | None = None, add_eos: bool = True) -> list[int]:
     """Ids of a prompt text (driver side, a few tokens)."""
-    path = model_path or default_model_path()
-    if path is None:
-        raise RuntimeError("no SentencePiece model available")
+    path = model_path or MODEL_PATH
     ids = list(_processor(path).encode(text))
     return ids + [EOS_ID] if add_eos else ids
 
@@ -74,9 +61,7 @@ def tokenise_corpus(df: DataFrame, cols: Sequence[str], model_path: str | None =
     """Q1: ``<col>_ids array<int>`` for each text column, end token appended,
     no truncation.  A null text gives a null array."""
     spark = df.sparkSession
-    path = model_path or default_model_path()
-    if path is None:
-        raise RuntimeError("no SentencePiece model available")
+    path = model_path or MODEL_PATH
     ref = ship_model(spark, path)
     cols = list(cols)
     out_schema = df.schema
@@ -103,9 +88,7 @@ def tokenise_corpus(df: DataFrame, cols: Sequence[str], model_path: str | None =
 def decode_corpus(df: DataFrame, col: str, model_path: str | None = None, out: str | None = None) -> DataFrame:
     """Q3: id arrays back to text; control ids (unk/bos/eos) are skipped."""
     spark = df.sparkSession
-    path = model_path or default_model_path()
-    if path is None:
-        raise RuntimeError("no SentencePiece model available")
+    path = model_path or MODEL_PATH
     ref = ship_model(spark, path)
     out = out or f"{col}_text"
     from pyspark.sql.types import StringType, StructField, StructType

@@ -13,17 +13,11 @@ from textpairs.plans.q_vocab import NLI_TOK_CTES, nli_tok
 from textpairs.plans.registry import register, rounded
 
 
-def _prompt(text: str, eos: bool, fallback: list[int]) -> list[int]:
-    try:
-        return TK.prompt_ids(text, add_eos=eos)
-    except Exception:  # noqa: BLE001 - model package absent
-        return fallback
-
-
-# Prompt ids under the bundled 32k piece model (fallbacks are the same ids).
-PARA_IDS = _prompt("paraphrase: ", True, [940, 377, 2176, 555, 28747, 28705, 2])
-HYP_IDS = _prompt("mnli hypothesis: ", False, [290, 28711, 1144, 23592, 28747, 28705])
-PREM_IDS = _prompt(" premise: ", False, [28705, 5146, 864, 28747, 28705])
+# Ids of the prompts "paraphrase: " (with end), "mnli hypothesis: "
+# and " premise: " under the public 32k piece model.
+PARA_IDS = [940, 377, 2176, 555, 28747, 28705, 2]
+HYP_IDS = [290, 28711, 1144, 23592, 28747, 28705]
+PREM_IDS = [28705, 5146, 864, 28747, 28705]
 NLI_MAX_LEN = 128
 S2S_MAX_LEN = 64
 BATCH = 16
