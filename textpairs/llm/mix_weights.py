@@ -24,12 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpairs.llm.stored import stored
 from textpairs.llm.words import count_words, text_or_empty
 
 #: Fixed values of the contract: weights in source order, and the most repeats.
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
+#: Rows of the source table up to which it is broadcast.
+BROADCAST_SOURCES = 100_000
 _UNIT = float(1 << 52)
 
 
@@ -73,27 +76,37 @@ def _copies(rate: Column, id_col: Column, seed: str) -> Column:
     return (whole + F.when(draw(id_col, seed) < rate - whole, 1).otherwise(0)).cast("long")
 
 
+def _with_rates(docs: DataFrame, source: Column, sizes: DataFrame, weights, max_repeat: int) -> DataFrame:
+    """``docs`` with ``__size``, ``__target`` and ``__rate`` of their source.
+
+    The table of sources is written once and counted: up to
+    ``BROADCAST_SOURCES`` rows it is broadcast, so documents stay where they
+    are; beyond that Spark joins it as it sees fit.
+    """
+    per = stored(source_targets(sizes, weights, max_repeat), "mix-sources")
+    few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    per = per.select(F.col("source").alias("__of"), F.col("source_size").alias("__size"),
+                     F.col("target").alias("__target"), F.col("rate").alias("__rate"))
+    return docs.join(F.broadcast(per) if few else per, source.eqNullSafe(F.col("__of")), "left")
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                         count_words(text_or_empty(text_col)).alias("size"))
-    per = source_targets(sized.select("source", "size"), weights, max_repeat).withColumnRenamed("source", "of")
-    out = sized.join(per, sized["source"].eqNullSafe(per["of"]), "left")
-    out = out.withColumn("copies", _copies(F.col("rate"), F.col("doc_id"), seed))
-    return out.select("doc_id", "size", "source_size", "target", "copies",
-                      (F.col("copies") * F.col("size")).alias("taken"))
+    out = _with_rates(sized, F.col("source"), sized.select("source", "size"), weights, max_repeat)
+    out = out.withColumn("copies", _copies(F.col("__rate"), F.col("doc_id"), seed))
+    return out.select("doc_id", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"),
+                      "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                   weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED,
                   copy_col: str = "copy_no") -> DataFrame:
     """The mix itself: every input row, all columns, once per copy, numbered from 0 in ``copy_col``."""
-    per = source_targets(docs.select(F.col(source_col).alias("source"),
-                                     count_words(text_or_empty(text_col)).alias("size")), weights, max_repeat)
-    per = per.select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
-    out = docs.join(per, docs[source_col].eqNullSafe(per["__of"]), "left")
-    n = _copies(F.col("__rate"), F.col(id_col), seed)
-    out = out.withColumn("__n", n).filter(F.col("__n") > 0)
+    sizes = docs.select(F.col(source_col).alias("source"), count_words(text_or_empty(text_col)).alias("size"))
+    out = _with_rates(docs, F.col(source_col), sizes, weights, max_repeat)
+    out = out.withColumn("__n", _copies(F.col("__rate"), F.col(id_col), seed)).filter(F.col("__n") > 0)
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias(copy_col)
     return out.select(*[docs[c] for c in docs.columns if c != copy_col], numbers)
