@@ -36,23 +36,24 @@ def main(argv):
     from textpairs.session import build_session
 
     spark = build_session("local[8]", partitions=16)
-    import __spark_entry__ as E
+    from textpairs.plans.registry import QUERIES, load_all
+
+    load_all()
 
     print(f"# Executed plans ({sf_dir}, local[8], AQE on)\n")
     print("Counts per query of exchanges (hash / range / single-partition), broadcasts, joins,")
     print("windows, whole-stage-codegen stages and Python nodes; single-partition exchanges only")
     print("ever sit above an aggregate (count tables), see tests/test_plans.py.\n")
     print("How to read it: range exchanges and sorts of the exact rank run in their own")
-    print("checkpoint job, so they do not appear here (the final plan scans the checkpoint).")
+    print("job, so they do not appear here (the final plan scans the written table).")
     print("Broadcasts are the planner's and AQE's runtime choice for small sides; explicit")
     print("`broadcast()` is used only for bounded tables (bucket/partition offsets, quotas,")
     print("recipes). `python` counts MapInPandas/ArrowEvalPython nodes: only the SentencePiece")
-    print("and predictor jobs have them. The one hash exchange of most text queries is the")
-    print("key fan-out of a single-row-group test file (`session.spread`), absent at scale.\n")
+    print("and predictor jobs have them.\n")
     print("| query | hash ex | range ex | single ex | broadcast | BHJ | SMJ | window | codegen | python |")
     print("|---|---|---|---|---|---|---|---|---|---|")
     scans = {}
-    for key, fn in E.queries().items():
+    for key, fn in QUERIES.items():
         if key.startswith("stream_"):
             continue
         df = fn(spark, sf_dir)
