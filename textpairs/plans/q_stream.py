@@ -16,15 +16,32 @@ EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type strin
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-class PromptLengthModel:
-    """A stand-in predictor for the stream demo: class = prompt length mod 3."""
+#: Fixed values of the stream demo: a linear head over (characters, spaces, letters e) of the prompt.
+PROMPT_WEIGHTS = [[1, -6, 0], [0, 1, -2], [-1, 4, 3]]
+
+
+class PromptModel:
+    """Predictor of the stream demo: first argmax of a linear head over counts of the prompt."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.w = np.asarray(PROMPT_WEIGHTS, dtype="int64")
 
     def __call__(self, pdf):
-        return pdf["prompt"].str.len() % 3
+        import numpy as np
+
+        x = np.stack([pdf["prompt"].str.len(), pdf["prompt"].str.count(" "), pdf["prompt"].str.count("e")], 1)
+        return (x.astype("int64") @ self.w.T).argmax(axis=1).astype("int32")
+
+
+def prompt_model():
+    return PromptModel()
 
 
-def prompt_length_model():
-    return PromptLengthModel()
+_PROMPT_LOGITS = ", ".join(
+    f"({a} * length(prompt) + {b} * (length(prompt) - length(replace(prompt, ' ', '')))"
+    f" + {c} * (length(prompt) - length(replace(prompt, 'e', ''))))" for a, b, c in PROMPT_WEIGHTS)
 
 
 class LinearHeadModel:
@@ -46,10 +63,11 @@ def linear_head_model():
     return LinearHeadModel()
 
 
-@register("stream_scoring", sql="""
-    SELECT pairID AS doc_id, length(prompt) % 3 AS prediction FROM (
-        SELECT pairID, 'mnli hypothesis: ' || sentence2 || ' premise: ' || sentence1 AS prompt FROM v_nli
-        WHERE sentence1 <> 'exit' AND sentence2 <> 'exit')""")
+@register("stream_scoring", sql=f"""
+    SELECT doc_id, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS prediction FROM (
+        SELECT pairID AS doc_id, [{_PROMPT_LOGITS}] AS l FROM (
+            SELECT pairID, 'mnli hypothesis: ' || sentence2 || ' premise: ' || sentence1 AS prompt FROM v_nli
+            WHERE sentence1 <> 'exit' AND sentence2 <> 'exit'))""")
 def q_stream_scoring(spark, sf_dir):
     src = ST.file_stream(spark, sf_dir, DOCS_SCHEMA, "documents.parquet")
     lines = src.select("doc_id", F.split("text", "\n").alias("_l"))
@@ -57,7 +75,7 @@ def q_stream_scoring(spark, sf_dir):
                        B.head_lines(F.col("_l")).alias("premise"), B.last_line(F.col("_l")).alias("hypothesis"))
     prompts = ST.requests_to_prompts(req, "premise", "hypothesis")
     sink, ckpt = ST.fresh_paths(spark, "stream_scoring")
-    ST.score_stream(prompts, prompt_length_model, sink, ckpt, keep=["doc_id", "prompt"], out_type="int")
+    ST.score_stream(prompts, prompt_model, sink, ckpt, keep=["doc_id", "prompt"], out_type="int")
     return spark.read.parquet(sink).select("doc_id", F.col("prediction").cast("long").alias("prediction"))
 
 
