@@ -35,7 +35,8 @@ def test_weights_have_their_signs():
 
 
 @pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<main>", "</main>"), ('<div role="main">', "</div>"),
-                                          ("<div class=post-content>", "</div>"), ("", "")])
+                                          ("<div class=post-content>", "</div>"), ("", ""),
+                                          ('<div class="content with-sidebar no-ads">', "</div>")])
 def test_content_between_furniture(open_, close):
     paras = [prose(k, 25) for k in range(4)]
     body = f"<h1>{prose(99, 5)}</h1>" + "".join(f"<p>{p}</p>\n  " for p in paras[:3])

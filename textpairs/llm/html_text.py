@@ -49,7 +49,7 @@ BLOCK = ("address article aside blockquote body br caption center dd details dia
 FURNITURE = "nav aside footer form menu dialog fieldset search"
 MARKS = "article main"
 NAMED = ("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
-         "cookie cookies disqus footer header masthead menu modal navbar navigation nav newsletter notice notices notification "
+         "cookie cookies discussion disqus footer header masthead menu modal navbar navigation nav newsletter notice notices notification "
          "pager pagination popup promo promotion reply replies related respond share sharing sidebar signup social "
          "sponsor sponsored subscribe toolbar widget complementary contentinfo alert")
 OWN = "article entry post story content"
@@ -61,6 +61,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
     |<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""", re.S | re.X)
 _ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PARTS = re.compile(r"[a-z0-9]+")
+_ABOUT = re.compile(r"\b(?:has|with|no|without)[-_]+[a-z0-9]+")
 
 
 def _unwanted(name: str, attrs: str, marked: bool) -> bool:
@@ -70,7 +71,9 @@ def _unwanted(name: str, attrs: str, marked: bool) -> bool:
     if not attrs.strip() or name in ("html", "body", "article", "main") and "comment" not in attrs:
         return False
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-    called = set(_PARTS.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
+    called = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
+    # "has-sidebar" and "no-ads" tell of the page, not of the element
+    called = set(_PARTS.findall(_ABOUT.sub(" ", called)))
     hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or (
         " hidden" in f" {attrs} ".replace("=", " ") and "hidden" in attrs.split())
     named = called & _NAMED
