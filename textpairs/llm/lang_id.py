@@ -43,6 +43,7 @@ UNDETERMINED = "und"
 
 _PAD = b"\n\n\n"
 _SLICE = 1 << 20
+_HELD = 1 << 22
 _SLOT_BITS = 21
 
 
@@ -59,16 +60,27 @@ def _padded(text: bytes) -> np.ndarray:
 def count_runs(docs: DataFrame) -> DataFrame:
     """``docs(lang, text)`` -> (lang, run, n): 4-byte runs, every text behind three line feeds."""
 
+    def counted(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()),
+                                           pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))],
+                                          names=["lang", "run", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[np.ndarray]] = {}
+        held: dict[str, int] = {}
         for b in batches:
-            by_lang: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                by_lang.setdefault(lang, []).append(_runs(_padded(text.as_py() or b"")))
-            for lang, parts in by_lang.items():
-                found, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()),
-                                                  pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))],
-                                                 names=["lang", "run", "n"])
+                data = _padded(text.as_py() or b"")
+                for at in range(0, len(data) - 3, _SLICE):
+                    runs = _runs(data[at:at + _SLICE + 3])
+                    waiting.setdefault(lang, []).append(runs)
+                    held[lang] = held.get(lang, 0) + len(runs)
+                    if held[lang] >= _HELD:  # what waits to be counted stays bounded
+                        yield counted(lang, waiting.pop(lang))
+                        held[lang] = 0
+        for lang, parts in waiting.items():
+            yield counted(lang, parts)
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("t"))
     return rows.mapInArrow(run, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
