@@ -16,6 +16,11 @@ RESERVED = 259
 NEWLINE = "\n"
 
 
+#: Session setting, off unless given: tables of long texts are dealt over so many
+#: tasks by key.  For inputs whose files cannot be split (one row group), as in the bench.
+FAN_OUT = "spark.textpairs.scanFanOut"
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 _TABLES: dict[tuple, DataFrame] = {}
 
 
@@ -25,7 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), spark.sparkContext.applicationId, path)
     df = _TABLES.get(key)
     if df is None:
-        df = _TABLES[key] = spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        tasks = spark.conf.get(FAN_OUT, None)
+        if tasks and name in TEXT_TABLES:
+            df = df.repartition(int(tasks), TEXT_TABLES[name])
+        _TABLES[key] = df
     return df
 
 
