@@ -53,6 +53,41 @@ def test_blocks_references_and_white_space():
     assert extract(short, w) == "Hi."
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>go {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("marked", [True, False])
+@pytest.mark.parametrize("furniture", [f"<nav class=toc>{LINKS}</nav>", f"<div class=share>{LINKS * 3}</div>",
+                                       f"<aside>{LINKS}<p>Read on</p></aside>", "<script>x()</script>" * 20])
+def test_furniture_inside_the_article_does_not_split_it(furniture, marked):
+    title, lead, rest = prose(1, 5), prose(2, 12), [prose(k, 30) for k in range(3, 7)]
+    body = "".join(f"<p>{p}</p>" for p in rest)
+    for inner in (f"<h1>{title}</h1>{furniture}<p>{lead}</p>{body}", f"<h1>{title}</h1><p>{lead}</p>{furniture}{body}",
+                  f"<h1>{title}</h1><p>{lead}</p>{body.replace('</p>', '</p>' + furniture)}"):
+        page = FURNITURE + (f"<article>{inner}</article>" if marked else f"<div>{inner}</div>") + TAIL
+        assert extract(page, score()) == "\n".join([title, lead, *rest])
+
+
+def wrapped_score():
+    """Weights of pages whose article stands in layout elements."""
+    counts = Counter()
+    for k in range(500):
+        count_page(f"{FURNITURE}<div class=page><div class=wrap><div class=column><article><h1>{prose(k, 6)}</h1>"
+                   f"<p>{prose(k + 1, 60)}</p></article></div></div></div>{TAIL}", counts)
+    return weights(counts)
+
+
+def test_divs_are_not_outside_for_the_adverts_and_wrappers():
+    lines = [prose(k, 3 + k % 8) for k in range(20)]
+    lead, rest = prose(50, 6), [prose(60 + k, 30) for k in range(3)]
+    for w in (score(), wrapped_score()):
+        page = FURNITURE + "<div><div>" + "".join(f"<div>{x}</div>\n" for x in lines) + "</div></div>" + TAIL
+        assert extract(page, w) == "\n".join(lines)
+        inner = f"<div class=lead><div>{lead}</div></div>" + "".join(f"<p>{p}</p>" for p in rest)
+        for page in (f"<article>{inner}</article>", f"<div>{inner}</div>"):
+            assert extract(FURNITURE + page + TAIL, w) == "\n".join([lead, *rest])
+
+
 def test_broken_markup():
     w = score()
     text = prose(3, 40)

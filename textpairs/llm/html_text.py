@@ -10,8 +10,11 @@ Weights come from labelled pages: pages that mark their content themselves
 (``article``, ``main`` or ``role=main``) tell content words and tags from the
 others.  A word's weight is the log-ratio of how often words of its element
 lie inside and outside, a tag's the log-ratio the other way round (apart for
-tags of page furniture), each held in a fixed range so that words stay positive
-and tags negative; what no labelled page shows has a small weight.  At most about
+tags of page furniture, and without the elements that hold the content), each
+held in a fixed range so that words stay positive and tags negative; what no
+labelled page shows has a small weight.  Furniture is cut from the region by
+itself, so its tags and words score nothing and cannot split a text around it.
+A closing tag belongs to the element it closes.  At most about
 ``label_pages`` labelled pages are counted, picked by a hash of their id.  On a
 page that marks its content, words outside the mark score nothing.
 
@@ -83,7 +86,10 @@ def _unwanted(name: str, attrs: str, marked: bool) -> bool:
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, bool, bool, str]]:
-    """``(kind, name, wanted, marked, text)``: kind is text or tag; name the element."""
+    """``(kind, name, wanted, marked, text)``: kind is text or tag; name the element.
+
+    The text of a tag is ``open`` or ``close``, or empty where it has no content to read.
+    """
     stack: list[tuple[str, bool, bool]] = [("", True, False)]
     at = 0
     while at < len(html):
@@ -99,18 +105,20 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool, str]]:
         if not name:
             continue
         if m["end"] or m["end2"]:
+            closed = stack[-1]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
+                    closed = stack[k]
                     del stack[k:]
                     break
-            yield "tag", name, stack[-1][1], stack[-1][2], ""
+            yield "tag", name, closed[1], closed[2], "close"
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in _RAW and not attrs.rstrip().endswith("/"):
             # everything up to the end tag is not text; a head also ends where the body begins
             close = re.compile(rf"</{name}\s*>" + ("|(?=<body)" if name == "head" else ""), re.I).search(html, at)
             at = close.end() if close else len(html)
-            yield "tag", name, stack[-1][1], stack[-1][2], ""
+            yield "tag", name, False, stack[-1][2], ""
             continue
         if name in _BLOCK and name != "br":
             # a block ends an open paragraph; an item or cell ends the one before it
@@ -125,22 +133,48 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool, str]]:
         is_mark = name in _MARKS or "main" in attrs and re.search(r"role\s*=\s*[\"']?main", attrs) is not None
         wanted = wanted and not _unwanted(name, attrs, marked)
         marked = marked or is_mark and wanted
-        if name not in _VOID and not attrs.rstrip().endswith("/"):
+        opens = name not in _VOID and not attrs.rstrip().endswith("/")
+        if opens:
             stack.append((name, wanted, marked))
-        yield "tag", name, wanted, marked, ""
+        yield "tag", name, wanted, marked, "open" if opens else ""
 
 
 def _element(name: str) -> str:
     return name if name in _BLOCK or name in ("a", "b", "i", "em", "strong", "span") else "other"
 
 
+def _holders(seen: list[tuple[str, str, bool, bool, str]]) -> set[int]:
+    """Places of the tags of elements that hold marked content: they stand neither inside nor outside."""
+    out: set[int] = set()
+    inner: list[tuple[int, str]] = []
+    for i, (kind, name, wanted, marked, text) in enumerate(seen):
+        if marked:
+            for at, _ in reversed(inner):
+                if at in out:
+                    break
+                out.add(at)
+        elif kind == "tag" and wanted and text == "open":
+            inner.append((i, name))
+        elif kind == "tag" and wanted and text == "close":
+            for k in range(len(inner) - 1, -1, -1):
+                if inner[k][1] == name:
+                    if inner[k][0] in out:
+                        out.add(i)
+                    del inner[k:]
+                    break
+    return out
+
+
 def count_page(html: str, counts: Counter) -> None:
     """Words and tags inside and outside the content of a page that marks it."""
     seen = list(tokens(html))
     if not any(t[3] for t in seen):
         return
-    for kind, name, wanted, marked, text in seen:
+    holders = _holders(seen)
+    for i, (kind, name, wanted, marked, text) in enumerate(seen):
         inside = wanted and marked
+        if i in holders:
+            continue
         if kind == "tag":
             counts["tag" if wanted else "furniture", _element(name), inside] += 1
         elif wanted:
@@ -168,7 +202,8 @@ def extract(html: str | None, score: dict[tuple[str, str], float]) -> str:
     start = first = last = 0
     for i, (kind, name, wanted, marked, text) in enumerate(seen):
         if kind == "tag":
-            total += score.get(("tag" if wanted else "furniture", _element(name)), UNSEEN_TAG)
+            # furniture is cut below, wherever it stands
+            total += score.get(("tag", _element(name)), UNSEEN_TAG) if wanted else 0.0
         elif wanted and (marked or not page_marked):
             total += len(text.split()) * score.get(("word", _element(name)), UNSEEN_WORD)
         if total <= 0:
