@@ -10,6 +10,7 @@ from tests.llm.helpers import documents, odd_rows, prose
 from tests.llm.test_simhash import brute_components, brute_fp
 from tests.llm.test_substring import brute
 from textpairs.llm.quality import quality_scores
+from textpairs.llm.simhash import keep_one
 
 
 def test_stages_on_the_tables(spark):
@@ -61,6 +62,23 @@ def test_run_equals_the_stages_in_a_row(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, docs.select("doc_id", "copy_no", "text").collect()))
 
 
+def test_near_dedup_leaves_one_row_of_each_group(spark):
+    a, b, c, d = (prose(k, 80) for k in (1, 2, 3, 4))
+    rows = [(1, a), (5, a), (5, b), (5, b), (1, a), (None, a), (None, c), (None, c), (None, d), (7, d), (9, c + " w9")]
+    docs = documents(spark, [(i, t, "en", f"s{k}") for k, (i, t) in enumerate(rows)], extra=True).repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert set(brute_components([(i, brute_fp(t)) for i, t in rows]).values()) == {1, 5, 7, 9}
+    # the text b of id 5 is alone in its group, and c has a near copy under an id
+    assert sorted(left) == sorted([(1, a), (5, b), (7, d), (9, c + " w9")])
+    # repeated rows of the kept id stay where they are asked for
+    left = sorted((r["doc_id"], r["text"]) for r in keep_one(docs).collect())
+    assert left == sorted([(1, a), (1, a), (5, b), (5, b), (7, d), (9, c + " w9")])
+    none = documents(spark, [(None, a, "en", "s"), (None, a, "de", "t"), (None, b, "en", "s")])
+    assert sorted(r["text"] for r in keep_one(none).collect()) == sorted([a, b])
+
+
 def write(spark, folder, docs, marks, items):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")

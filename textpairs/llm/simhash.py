@@ -65,16 +65,18 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` per row."""
+                 shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """``(doc_id, fp)`` per row, and the row's key if ``row_col`` names one."""
+    keys = [row_col] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(x.as_py() or b"", shingle) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]],
+                                             names=["doc_id", "fp", *keys])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), *keys)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keys)))
 
 
 def _flip(value: Column, bits: int, radius: int) -> Column:
@@ -158,24 +160,40 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
 
 
+def _least(fps: DataFrame, value: Column, max_bits: int, hot: int) -> DataFrame:
+    """``(fp, least)``: the smallest value of each fingerprint's component, nulls aside."""
+    reps = fps.groupBy("fp").agg(F.min(value).alias("least"))
+    found = components(links(reps.select("fp"), max_bits, hot))
+    per_fp = reps.join(found, reps["fp"] == found["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    # least of the component, then back to the fingerprints
+    least = per_fp.groupBy("root").agg(F.min("least").alias("least"))
+    return per_fp.drop("least").join(least, "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, fp (long), fingerprint (hex), component_id (smallest doc_id reachable)."""
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    found = components(links(reps.select("fp"), max_bits, hot))
-    per_fp = reps.join(found, reps["fp"] == found["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    # smallest id per component, then back to the fingerprints
-    least = per_fp.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = per_fp.join(least, "root").select("fp", "component_id")
+    of = _least(fps, F.col("doc_id"), max_bits, hot).withColumnRenamed("least", "component_id")
     out = fps.join(of, "fp", "left")
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-             max_bits: int = MAX_BITS) -> DataFrame:
-    """The document of the smallest id of each component, all columns kept; rows without an id stay."""
-    out = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    drop = out.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")
+             max_bits: int = MAX_BITS, hot: int = HOT, repeats: bool = True) -> DataFrame:
+    """The row of the smallest id of each component, all columns kept; a row without an id stays only if no
+    row of its component has one.
+
+    With ``repeats``, other rows of the kept id in the component stay too; without, one row is left of each.
+    """
+    # rows are told apart by a key that is written with them: ids may be null or repeat
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-documents")
+    fps = stored(fingerprints(rows, id_col, text_col, shingle, "__row"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    of = _least(fps, first, max_bits, hot)
+    stays = F.col("__row") == F.col("least.__row")
+    if repeats:
+        stays = stays | F.coalesce(F.col("doc_id") == F.col("least.doc_id"), F.lit(False))
+    drop = fps.join(of, "fp").filter(~stays).select(F.col("__row").alias("__drop"))
+    return rows.join(drop, rows["__row"] == F.col("__drop"), "left_anti").drop("__row")
