@@ -195,3 +195,15 @@ def test_judge_urls(spark):
     none = judge_urls(pages(spark, rows), marks.limit(0)).filter("rule is null")
     assert {r["verdict"] for r in none.collect()} == {"allow"}
     assert judge_urls(pages(spark, []), marks).count() == 0
+
+
+def test_a_bad_host_far_below_a_share_of_the_urls_is_blocked(spark):
+    """24 labelled block pages of one host among 6,000 urls of a long tail, and as many decided by written rules."""
+    rows = [(i, f"https://site{i % 1500}.example.org/xx/{i}", "") for i in range(6000)]
+    rows += [(10_000 + i, f"https://spam.tail.example.org/{'ab'[i % 2]}x/{i}", "") for i in range(40)]
+    rows += [(20_000 + i, f"https://w{i % 9}.com/q/{i}", "") for i in range(6000)]
+    marks = [(i, "block" if 10_000 <= i < 20_000 else "allow") for i, _, _ in rows if not 10_024 <= i < 20_000]
+    marks = spark.createDataFrame(marks, "page_id long, label string").withColumn("url", F.lit("x"))
+    for some in (rows, rows[:6040]):
+        verdicts = {r["page_id"]: r["verdict"] for r in judge_urls(pages(spark, some), marks).collect()}
+        assert {i for i, v in verdicts.items() if v == "block"} == set(range(10_000, 10_040))
