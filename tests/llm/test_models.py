@@ -157,6 +157,27 @@ def test_pruning_keeps_the_commonest(spark):
     assert {r["gram"] for r in trees if r["lang"] == "x" and r["order"] == 1} == {ord("a"), ord(" ")}
 
 
+def test_all_counts_are_kept_whatever_the_languages_and_shares(spark):
+    """Rare lang values and small shares change no code length of a language."""
+    rows = [(i, prose(i, 60), "en", "s") for i in range(20)] + [(50 + i, "ä ö ü ß " * 9 + prose(i, 3), "de", "s") for i in range(5)]
+    dirty = [(100 + i, f"x{i}", f"odd{i:03}", "s") for i in range(40)]
+    few = learn(documents(spark, rows).select("lang", "text"))
+    many = learn(documents(spark, rows + dirty).select("lang", "text"), nodes=200)
+    assert few.single and len(many.blocks) == 3 and max(len(x) for _, x in many.blocks) > 2
+    assert many.langs == sorted({"en", "de", *(g for _, _, g, _ in dirty)})
+    texts = {g: [t.encode() for _, t, h, _ in rows if h == g] for g in ("en", "de")}
+    for text in [prose(77, 20), "Ä ö q", "qqq", "漢 w1"]:
+        got = many.bits(text.encode())
+        want = [brute_bits(texts[g], text.encode()) for g in ("en", "de")]
+        assert [got[many.langs.index(g)] for g in ("en", "de")] == pytest.approx(want)
+        assert few.bits(text.encode()) == pytest.approx(want[::-1])  # de, en
+    out = {r["doc_id"]: r for r in identify(documents(spark, rows), many).collect()}
+    for i, text, lang, _ in rows:
+        bits = many.bits(text.encode())
+        assert out[i]["lang_pred"] == many.langs[int(bits.argmin())] == lang
+        assert out[i]["score"] == pytest.approx(1 / np.exp2(np.maximum(bits.min() - bits, -1000)).sum())
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = language_ids(docs)

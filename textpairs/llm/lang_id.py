@@ -10,11 +10,13 @@ A text goes to the language that codes it in the fewest bits; statistics are
 frozen before scoring.
 
 Learning counts 4-byte runs over all learnable documents (Arrow batches, then
-a sum by run that combines map-side); lower orders are marginal sums.  Each
-tree keeps at most ``nodes / languages`` of its commonest entries per order,
-so the shared model is bounded by a parameter.  Code lengths are a function of
-4 bytes, tabled once per language; a document is scored by table look-ups over
-all its bytes, in slices, without a shuffle.
+a sum by run that combines map-side); lower orders are marginal sums.  All
+counts are kept.  The trees are cut into shares of at most about ``4 * nodes``
+entries: by blocks of languages, and within a block by the last context byte,
+as a byte's code length asks only contexts that end in the byte before it.
+Workers hold one share at a time.  Code lengths are a function of 4 bytes,
+tabled once per share; a document is scored by table look-ups over all its
+bytes, in slices, summed over the shares, without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0,
 as is everything when no language could be learnt; ties go to the first
@@ -24,10 +26,12 @@ count and are scored each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,7 @@ from textpairs.llm.stored import stored
 #: Parameters.
 ORDERS = 4
 NODES = 400_000
+WIDE = 16
 FOLDS = 4
 HELD_OUT = 2
 UNDETERMINED = "und"
@@ -86,22 +91,29 @@ def count_runs(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
 
-def grow(runs: DataFrame, nodes: int = NODES) -> pa.Table:
-    """The pruned trees: (lang, order, run, n), order = bytes of context plus one."""
-    langs = max(1, runs.select("lang").distinct().count())
+def entries(runs: DataFrame) -> DataFrame:
+    """The whole trees: (lang, order, gram, n), order = bytes of context plus one."""
     orders = F.array(*[F.struct(F.lit(k).alias("order"), F.col("run").bitwiseAND((1 << (8 * k)) - 1).alias("gram"))
                        for k in range(1, ORDERS + 1)])
-    every = (runs.select("lang", "n", F.explode(orders).alias("o")).groupBy("lang", "o.order", "o.gram")
-             .agg(F.sum("n").alias("n")))
-    first = Window.partitionBy("lang", "order").orderBy(F.col("n").desc(), "gram")
-    kept = every.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= nodes // langs)
-    return kept.select("lang", "order", "gram", "n").toArrow()
+    return (runs.select("lang", "n", F.explode(orders).alias("o")).groupBy("lang", "o.order", "o.gram")
+            .agg(F.sum("n").alias("n")))
+
+
+def grow(runs: DataFrame, nodes: int | None = None) -> pa.Table:
+    """The trees as a table; with ``nodes``, pruned to the commonest ``nodes / languages`` entries an order."""
+    every = entries(runs)
+    if nodes is not None:
+        langs = max(1, runs.select("lang").distinct().count())
+        first = Window.partitionBy("lang", "order").orderBy(F.col("n").desc(), "gram")
+        every = every.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= nodes // langs)
+    return every.select("lang", "order", "gram", "n").toArrow()
 
 
 class Model:
-    """Code-length tables of all languages."""
+    """Code-length tables of the languages of a table, for runs whose third byte lies in ``asked``."""
 
-    def __init__(self, trees: pa.Table):
+    def __init__(self, trees: pa.Table, asked: tuple[int, int] = (0, 256)):
+        self.asked = asked
         langs = trees["lang"].to_pylist()
         self.langs = sorted(set(langs))
         of = {x: i for i, x in enumerate(self.langs)}
@@ -164,6 +176,9 @@ class Model:
         data = _padded(text)
         for at in range(0, len(data) - 3, _SLICE):
             runs = _runs(data[at:at + _SLICE + 3])
+            if self.asked != (0, 256):
+                last = (runs >> np.uint32(8)) & np.uint32(255)
+                runs = runs[(last >= self.asked[0]) & (last < self.asked[1])]
             place = self.slots[self._slot(runs)]
             miss = np.flatnonzero(self.top[place] != runs)
             if len(miss):  # a slot taken by another run, or a run that no tree holds
@@ -177,29 +192,94 @@ class Model:
                 total[i] += costs[place].sum()
         return total
 
-    def predict(self, text: bytes | None) -> tuple[str, float]:
-        if not self.langs or text is None or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
-            return UNDETERMINED, 0.0
-        bits = self.bits(text)
-        best = int(np.argmin(bits))
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
 
+class Trees:
+    """The models of all languages as broadcast shares, by blocks of languages in code-point order."""
 
-def learn(docs: DataFrame, nodes: int = NODES) -> Model | None:
-    """Trees from every row of ``docs(lang, text)`` with both given."""
-    runs = stored(count_runs(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())), "byte-runs")
-    trees = grow(runs, nodes)
-    return Model(trees) if trees.num_rows else None
+    def __init__(self, blocks: list[tuple[list[str], list[Broadcast]]]):
+        self.blocks = blocks
+        self.langs = [x for langs, _ in blocks for x in langs]
+        self.single = sum(len(shares) for _, shares in blocks) == 1
+
+    def _block_bits(self, langs: list[str], shares: list[Broadcast], texts: list[pa.Scalar]) -> np.ndarray:
+        out = np.zeros((len(texts), len(langs)))
+        for share in shares:
+            model = share.value
+            for row, text in zip(out, texts):
+                row += model.bits(text.as_py())
+            if not self.single:
+                share.__dict__.pop("_value", None)  # one share at a time
+        return out
+
+    def bits(self, text: bytes) -> np.ndarray:
+        """Code length of a text under every language."""
+        return np.concatenate([self._block_bits(*x, [pa.scalar(text, pa.binary())])[0] for x in self.blocks])
+
+    def predict(self, texts: list[pa.Scalar]) -> list[tuple[str, float]]:
+        """``(language, score)`` of each text."""
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        told = [i for i, x in enumerate(texts) if x.is_valid and any(map(str.isalpha, x.as_py().decode("utf-8", "replace")))]
+        if not told:
+            return out
+        best, total = np.full(len(told), np.inf), np.zeros(len(told))
+        name = np.zeros(len(told), np.int64)
+        at = 0
+        for langs, shares in self.blocks:
+            bits = self._block_bits(langs, shares, [texts[i] for i in told])
+            least = np.minimum(best, bits.min(axis=1))
+            name = np.where(bits.min(axis=1) < best, at + bits.argmin(axis=1), name)
+            total = total * np.exp2(np.maximum(least - best, -1000.0)) + np.exp2(
+                np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
+            best = least
+            at += len(langs)
+        for i, k, t in zip(told, name, total):
+            out[i] = self.langs[k], float(1 / t)
+        return out
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shares(sizes: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """Ranges of byte values from 0 to 256, of at most ``most`` entries or one value each."""
+    cuts, held = [0], 0
+    for v in range(256):
+        n = sizes.get(v, 0)
+        if held and held + n > most:
+            cuts.append(v)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], 256]))
+
+
+def learn(docs: DataFrame, nodes: int = NODES) -> Trees | None:
+    """Trees from every row of ``docs(lang, text)`` with both given, in shares of about ``4 * nodes`` entries."""
+    runs = stored(count_runs(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())), "byte-runs")
+    last = F.when(F.col("order") > 1, F.shiftright("gram", 8).bitwiseAND(255)).otherwise(-1)
+    trees = stored(entries(runs).withColumn("last", last), "byte-trees")
+    # at most 257 numbers a language
+    sizes: dict[str, dict[int, int]] = {}
+    for r in trees.groupBy("lang", "last").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        sizes.setdefault(r["lang"], {})[r["last"]] = r["n"]
+    langs = sorted(sizes)
+    sc = docs.sparkSession.sparkContext
+    blocks = []
+    for i in range(0, len(langs), WIDE):
+        block = langs[i:i + WIDE]
+        by_last: Counter = Counter()
+        for x in block:
+            by_last.update(sizes[x])
+        shares = []
+        for lo, hi in _shares(by_last, ORDERS * nodes):
+            part = trees.filter(F.col("lang").isin(block) & ((F.col("order") == 1) | (F.col("last") >= lo) & (F.col("last") < hi)))
+            shares.append(sc.broadcast(Model(part.select("lang", "order", "gram", "n").toArrow(), (lo, hi))))
+        blocks.append((block, shares))
+    return Trees(blocks) if blocks else None
+
+
+def identify(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score)`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the nodes parameter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
         for b in batches:
-            found = [trees.predict(x.as_py()) if trees is not None else (UNDETERMINED, 0.0) for x in b.column(1)]
+            found = trees.predict(list(b.column(1))) if trees is not None else [(UNDETERMINED, 0.0)] * b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()),
                                               pa.array([x[1] for x in found], pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
