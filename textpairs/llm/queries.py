@@ -195,3 +195,85 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    F.when(bad, "block").otherwise("allow").alias("label"))
     out = judge_urls(table(spark, sf_dir, "pages"), labels)
     return out.select("page_id", "host", "path", "rule", "mined", "verdict")
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textpairs.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _op12_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds of the clustering as chained queries."""
+    out = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v AS m
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT r, c, list_sum([(v[j] - m[j]) * (v[j] - m[j]) FOR j IN range(1, 65)])::BIGINT AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c0.c, coalesce(n.m, c0.m) AS m FROM c{i} AS c0 LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS m
+    FROM (SELECT a.c, j, sum(v[j])::BIGINT AS s, count(*)::BIGINT AS n
+          FROM v JOIN a{i} AS a USING (r), range(1, 65) AS t(j) GROUP BY a.c, j) GROUP BY c) AS n USING (c))""")
+    return ",\n".join(out) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN v USING (r) JOIN c{rounds} AS c ON a.c = c.c
+"""
+
+
+@query("op12_centroids", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textpairs.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM d),
+x AS MATERIALIZED (
+  SELECT part, [a, b, c, d, e] AS x, count(*)::BIGINT AS n, count(*) FILTER (WHERE good)::BIGINT AS g,
+         count(*) FILTER (WHERE toxic)::BIGINT AS z FROM f GROUP BY ALL),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [p.i, q.i, r.i, s.i, u.i] AS o FROM l AS p, l AS q, l AS r, l AS s, l AS u
+      WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
+k AS (SELECT o, i AS step, o[i] AS own, o[:i - 1] AS before FROM o, l),
+m AS (
+  SELECT part, o, step, own,
+         sum(n) FILTER (WHERE NOT x[own] AND NOT hit) AS kept, sum(n) FILTER (WHERE x[own] AND NOT hit) AS removed,
+         sum(n) FILTER (WHERE x[own] AND hit) AS redundant, sum(n) FILTER (WHERE x[own] AND fails = 1) AS unique_fails,
+         sum(g) FILTER (WHERE x[own] AND NOT hit) AS good_lost, sum(z) FILTER (WHERE x[own] AND NOT hit) AS toxic_lost
+  FROM (SELECT *, len([j FOR j IN before IF x[j]]) > 0 AS hit, len([j FOR j IN x IF j]) AS fails FROM x, k)
+  GROUP BY part, o, step, own)
+SELECT part, array_to_string(['ABCDE'[j] FOR j IN o], '') AS filter_order, step, coalesce(kept, 0)::BIGINT AS kept,
+       coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM m
+"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textpairs.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
