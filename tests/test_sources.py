@@ -19,7 +19,8 @@ def test_pairs_tsv_standard_quotes(spark, tmp_dir):
                'id\tsentence1\tsentence2\tlabel\n'
                '1\tA cat .\t"A ""quoted"" cat ."\t1\n'
                '2\t"two\nlines"\tplain\t0\n')
-    rows = {r.id: r for r in io.read_pairs_tsv(spark, p, multi_line=True).collect()}
+    assert sorted(io.read_pairs_tsv(spark, p).collect()) == sorted(io.read_pairs_tsv(spark, p, multi_line=True).collect())
+    rows = {r.id: r for r in io.read_pairs_tsv(spark, p).collect()}
     assert rows[1].sentence2 == 'A "quoted" cat .'
     assert rows[2].sentence1 == "two\nlines"
     assert rows[2].label == 0
@@ -100,9 +101,10 @@ def test_tokens_cache_round_trip_with_partition_pruning(spark, tmp_dir):
 def test_quoted_line_break_fails_unless_asked_for(spark, tmp_dir):
     p = _write(os.path.join(tmp_dir, "b.tsv"), 'id\tsentence1\tsentence2\tlabel\n1\ta\tb\t1\n2\t"two\nlines"\tplain\t0\n')
     with pytest.raises(Exception, match="multi_line"):
-        io.read_pairs_tsv(spark, p).collect()
+        io.read_pairs_tsv(spark, p, multi_line=False).collect()
     ok = _write(os.path.join(tmp_dir, "ok.tsv"), 'id\tsentence1\tsentence2\tlabel\n1\t"a ""b"" c"\tn/a\t1\n')
-    assert [tuple(r) for r in io.read_pairs_tsv(spark, ok).collect()] == [(1, 'a "b" c', None, 1)]
+    for how in (False, True, "split"):
+        assert [tuple(r) for r in io.read_pairs_tsv(spark, ok, multi_line=how).collect()] == [(1, 'a "b" c', None, 1)]
 
 
 def test_nli_tsv_missing_words_are_null_and_drop(spark, tmp_dir):
@@ -129,7 +131,7 @@ def test_kept_ids_round_trip(spark, tmp_dir):
     kept = spark.createDataFrame([(5, 1), (1, 0), (300, 2)], "token_id int, new_id int")
     out = os.path.join(tmp_dir, "kept")
     io.write_kept_ids(kept, out)
-    assert sorted(map(tuple, io.read_kept_ids(spark, out).collect())) == [(1, 0), (5, 1), (300, 2)]
+    assert sorted(map(tuple, io.read_kept_ids(spark, out, position="new_id").collect())) == [(1, 0), (5, 1), (300, 2)]
 
 
 def test_existing_inputs_takes_names_as_they_are(spark, tmp_dir):

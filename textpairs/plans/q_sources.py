@@ -62,26 +62,40 @@ def q_read_examples_csv(spark, sf_dir):
     return io.read_examples_csv(spark, path)
 
 
-@register("scan_corpus", sql="SELECT id, label FROM nli_examples", ctes=NLI_EXAMPLES_CTE)
+@register("scan_corpus", sql=f"""
+    SELECT id, {_known('premise')} AS premise, {_known('hypothesis')} AS hypothesis, label, true AS is_part
+    FROM nli_examples""", ctes=NLI_EXAMPLES_CTE)
 def q_scan_corpus(spark, sf_dir):
     path = scratch_path(spark, "corpus-csv")
     _quoted(nli_examples(spark, sf_dir).select("id", "premise", "hypothesis", "label"), path, ",")
-    return io.scan_corpus(spark, path).filter(F.col("file_name").endswith(".csv")).select("id", "label")
+    return io.scan_corpus(spark, path).select("id", "premise", "hypothesis", "label",
+                                              F.col("file_name").rlike(r"^part-.*\.csv$").alias("is_part"))
+
+
+@register("read_quoted_breaks", sql=f"""
+    SELECT doc_id, {_known('text')} AS text, {_known('source')} AS source FROM documents""")
+def q_read_quoted_breaks(spark, sf_dir):
+    """Whole texts, line breaks and quotes included, through quoted files that split over tasks."""
+    path = scratch_path(spark, "texts-csv")
+    _quoted(B.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path, ",")
+    return io.read_examples_csv(spark, path, "doc_id long, text string, source string")
 
 
 @register("read_indexed_lines", sql="""
-    SELECT CAST(doc_id AS VARCHAR) AS phrase, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents""")
+    SELECT replace(text, chr(10), ' ') AS phrase, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents""")
 def q_read_indexed_lines(spark, sf_dir):
-    """Files of consecutive ids: a file's lines are numbered on their own, files follow by their first id."""
+    """Files of consecutive documents, one line a document: a file's lines are numbered on their own, files follow by
+    their first id."""
     path = scratch_path(spark, "lines")
-    ids = B.table(spark, sf_dir, "documents").select("doc_id")
-    (ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string"))
-     .write.text(path))
+    docs = B.v_phrases(spark, sf_dir)
+    (docs.repartitionByRange("phrase_index").sortWithinPartitions("phrase_index")
+     .select(F.concat_ws("\t", F.col("phrase_index").cast("string"), "phrase")).write.text(path))
     lines = io.read_indexed_lines(spark, path)
-    per = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("phrase").cast("long")).alias("low"))
+    lines = lines.select("file", "phrase_index", F.split("phrase", "\t", 2).alias("l"))
+    per = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.get("l", F.lit(0)).cast("long")).alias("low"))
     before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     per = per.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    return lines.join(per, "file").select("phrase", (F.col("ahead") + F.col("phrase_index")).alias("line_no"))
+    return lines.join(per, "file").select(F.get("l", F.lit(1)).alias("phrase"), (F.col("ahead") + F.col("phrase_index")).alias("line_no"))
 
 
 _SPLIT_DOCS = SPLIT3_SQL.format(key="doc_id", src="v_corpora")
@@ -114,8 +128,8 @@ def q_kept_ids_file(spark, sf_dir):
     from textpairs.plans.q_vocab import nli_tok
 
     path = scratch_path(spark, "kept")
-    io.write_kept_ids(V.kept_ids(V.seen_ids(nli_tok(spark, sf_dir), ["premise_ids", "hypothesis_ids"])), path)
-    return io.read_kept_ids(spark, path)
+    io.write_kept_ids(V.add_meta_ids(V.seen_ids(nli_tok(spark, sf_dir), ["premise_ids", "hypothesis_ids"])), path)
+    return io.read_kept_ids(spark, path, position="new_id").select("token_id", F.col("new_id").cast("int").alias("new_id"))
 
 
 @register("existing_inputs", sql="""

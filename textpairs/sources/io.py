@@ -1,8 +1,8 @@
 """Sources and sinks.
 
-Readers take explicit schemas (no inference).  Line-oriented formats are read
-as text so that files split across tasks; only quoted CSV with embedded
-newlines needs ``multiLine`` (one task per file).
+Readers take explicit schemas (no inference).  Files split across tasks, quoted
+fields with line breaks included (``quoted.py``); lists of ids are JSON arrays
+that are written and read in parts.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpairs.functions.text import path_parts
-from textpairs.session import materialise
+from textpairs.operators.rank import dense_ids
+from textpairs.sources.quoted import file_name, parse_records, read_records
 
 # Schemas of the reference's corpus files.
 QUORA_SCHEMA = "id long, qid1 long, qid2 long, question1 string, question2 string, is_duplicate int"
@@ -37,27 +38,47 @@ def missing_to_null(df: DataFrame, null_values: Sequence[str] = NA_WORDS) -> Dat
 
 
 _BROKEN = "_tp_broken"
+SPLIT = "split"
 
 
-def _csv(spark: SparkSession, path, sep: str, multi_line: bool, null_values: Sequence[str], schema: str | None) -> DataFrame:
-    """Quoted, delimited files with a header.
+def _csv(spark: SparkSession, path, sep: str, multi_line: bool | str, null_values: Sequence[str], schema: str | None,
+         glob: str | None = None, deny: Sequence[str] = (), with_name: bool = False) -> DataFrame:
+    """Quoted, delimited files with a header; fields by position under ``schema`` (else strings by the header's names).
 
-    Without ``multi_line`` files split over tasks, and a line that ends inside
-    a quoted field (it does not fit the schema, and its quotes do not pair up)
-    fails the job instead of making two wrong rows.  The check needs a schema.
+    ``multi_line``: ``"split"`` reads quoted fields with line breaks over many
+    tasks; ``True`` does so with one task a file; ``False`` takes each line for a
+    record (one scan), and a line that ends inside a quoted field then fails
+    the job instead of making two wrong rows.
     """
     r = (spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"')
-         .option("multiLine", multi_line))
-    if not schema or multi_line:
-        return missing_to_null((r.schema(schema) if schema else r).csv(path), null_values)
-    df = r.schema(f"{schema}, {_BROKEN} string").option("columnNameOfCorruptRecord", _BROKEN).csv(path)
-    quotes = F.length(_BROKEN) - F.length(F.replace(F.col(_BROKEN), F.lit('"'), F.lit("")))
-    fine = F.when(quotes % 2 == 1, F.raise_error(F.lit("a quoted field holds a line break: set multi_line=True"))
-                  .cast("boolean")).otherwise(F.lit(True))
-    return missing_to_null(df.filter(fine).drop(_BROKEN), null_values)
-
-
-def read_pairs_tsv(spark: SparkSession, path, schema: str = PAWS_SCHEMA, multi_line: bool = False,
+         .option("multiLine", bool(multi_line)))
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    if not schema:
+        schema = ", ".join(f"`{c}` string" for c in r.csv(path).columns)
+    if multi_line == SPLIT:
+        records = read_records(spark, path, sep, glob, deny).filter(~F.col("first"))
+        records = records.select("record", *([file_name(F.col("file")).alias("file_name")] if with_name else []))
+        return missing_to_null(parse_records(records, schema, sep), null_values)
+    broken = F.col(_BROKEN)
+    if multi_line:
+        df = r.schema(schema).csv(path)
+    else:
+        df = r.schema(f"{schema}, {_BROKEN} string").option("columnNameOfCorruptRecord", _BROKEN).csv(path)
+    own = file_name(F.col("_metadata.file_path"))
+    if deny:
+        df = df.filter(~own.isin(*deny))
+    if with_name:
+        df = df.withColumn("file_name", own)
+    if not multi_line:
+        quotes = F.length(broken) - F.length(F.replace(broken, F.lit('"'), F.lit("")))
+        fine = F.when(quotes % 2 == 1, F.raise_error(F.lit("a quoted field holds a line break: set multi_line"))
+                      .cast("boolean")).otherwise(F.lit(True))
+        df = df.filter(fine).drop(_BROKEN)
+    return missing_to_null(df, null_values)
+
+
+def read_pairs_tsv(spark: SparkSession, path, schema: str = PAWS_SCHEMA, multi_line: bool | str = SPLIT,
                    null_values: Sequence[str] = NA_WORDS) -> DataFrame:
     """Tab-separated, header, standard double-quote quoting."""
     return _csv(spark, path, "\t", multi_line, null_values, schema)
@@ -94,31 +115,43 @@ def read_nli_tsv(spark: SparkSession, path, on_bad: str = "drop",
     return missing_to_null(out, null_values)
 
 
-def read_examples_csv(spark: SparkSession, path, schema: str | None = NLI_EXAMPLE_SCHEMA, multi_line: bool = False,
+def read_examples_csv(spark: SparkSession, path, schema: str | None = NLI_EXAMPLE_SCHEMA, multi_line: bool | str = SPLIT,
                       null_values: Sequence[str] = NA_WORDS) -> DataFrame:
     """S3: comma CSV with header (pandas dialect: double quotes, missing words null)."""
     return _csv(spark, path, ",", multi_line, null_values, schema)
 
 
+def _numbered(raw: DataFrame, index: str, across: bool = False) -> DataFrame:
+    """``raw`` (a file scan with its ``_metadata``) with each row's 0-based number in its file
+    (``across``: in all files, one after the other by name).
+
+    Rows of one file block arrive in file order.  A first scan counts the rows
+    of each block (one row per block); the second adds the rows of the file's
+    earlier blocks to the place in the own block.  Nothing is written or
+    shuffled but the block counts.  Both scans must cut and pack the files
+    alike (see ``quoted.read_records``); a row out of its block's range fails the job.
+    """
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_tp_blk"))
+    raw = raw.withColumn("_tp_mid", F.monotonically_increasing_id())
+    per_block = raw.groupBy("file", "_tp_blk").agg(F.count(F.lit(1)).alias("_tp_n"), F.min("_tp_mid").alias("_tp_m0"))
+    # over one row per file block
+    before = Window.orderBy("file", "_tp_blk") if across else Window.partitionBy("file").orderBy("_tp_blk")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(F.col("file").alias("_tp_file"), F.col("_tp_blk").alias("_tp_oblk"), "_tp_n", "_tp_m0",
+                               F.coalesce(F.sum("_tp_n").over(before), F.lit(0)).alias("_tp_off"))
+    j = raw.join(offsets, (F.col("file") == F.col("_tp_file")) & (F.col("_tp_blk") == F.col("_tp_oblk")), "left")
+    at = F.col("_tp_mid") - F.col("_tp_m0")
+    lost = F.raise_error(F.lit("files were cut into other blocks by the second scan")).cast("long")
+    number = F.when((at >= 0) & (at < F.col("_tp_n")), F.col("_tp_off") + at).otherwise(lost)
+    return j.withColumn(index, number).drop("_tp_blk", "_tp_mid", "_tp_file", "_tp_oblk", "_tp_n", "_tp_m0", "_tp_off")
+
+
 def read_indexed_lines(spark: SparkSession, path, index: str = "phrase_index", text: str = "phrase") -> DataFrame:
     """A text file whose 0-based line number is the key.
 
-    Rows of one file block arrive in file order; each block's rows are
-    numbered in-partition, written once (checkpoint) so the count and the
-    numbering agree, then offset by the lines of earlier blocks of the same
-    file (a table with one row per block).  Multiple files are numbered
-    independently (``file`` column).
+    Multiple files are numbered independently (``file`` column).
     """
-    raw = spark.read.text(path).select(
-        F.col("value").alias(text), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_tp_blk"), F.monotonically_increasing_id().alias("_tp_mid"))
-    raw = materialise(raw)
-    per_block = raw.groupBy("file", "_tp_blk").agg(F.count(F.lit(1)).alias("_tp_n"), F.min("_tp_mid").alias("_tp_m0"))
-    before = Window.partitionBy("file").orderBy("_tp_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(F.col("file").alias("_tp_file"), F.col("_tp_blk").alias("_tp_oblk"),
-                               (F.coalesce(F.sum("_tp_n").over(before), F.lit(0)) - F.col("_tp_m0")).alias("_tp_off"))
-    j = raw.join(offsets, (F.col("file") == F.col("_tp_file")) & (F.col("_tp_blk") == F.col("_tp_oblk")))
-    return j.select("file", (F.col("_tp_off") + F.col("_tp_mid")).alias(index), text)
+    return _numbered(spark.read.text(path), index).select("file", index, F.col("value").alias(text))
 
 
 def lines_of_column(df: DataFrame, text: str, keep: Sequence[str] = (), index: str = "line_no",
@@ -174,14 +207,46 @@ def load_tokens(spark: SparkSession, directory: str, corpus: str | None = None,
     return df
 
 
-def write_kept_ids(kept: DataFrame, path: str) -> None:
-    """S8 (write): kept ids as rows, one per id, over as many files as there are tasks."""
-    kept.write.mode("overwrite").parquet(path)
+#: Ids on one line of a list file.
+IDS_A_LINE = 1000
 
 
-def read_kept_ids(spark: SparkSession, path: str) -> DataFrame:
-    """S8 (read)."""
-    return spark.read.parquet(path)
+def write_kept_ids(kept: DataFrame, path: str, name: str = "token_id") -> None:
+    """S8 (write): ids as one JSON array in ascending order, over as many part files as there are tasks.
+
+    The parts, one after the other by name, are the array; white space between
+    its entries parts the lines.  A line holds up to ``IDS_A_LINE`` ids, and no
+    task more than its range of them.  Repeated ids are written once.
+    """
+    ranked = dense_ids(kept.select(name).distinct(), name, name="_tp_at")
+    chunk = F.floor(F.col("_tp_at") / IDS_A_LINE).cast("long").alias("_tp_chunk")
+    lines = ranked.groupBy(chunk).agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("_tp_line"))
+    last = ranked.agg(F.max(F.floor(F.col("_tp_at") / IDS_A_LINE).cast("long"))).scalar()
+    value = F.concat(F.when(F.col("_tp_chunk") == 0, "[").otherwise(""), F.col("_tp_line"),
+                     F.when(F.col("_tp_chunk") == last, "]").otherwise(","))
+    lines = lines.withColumn("value", value).repartitionByRange("_tp_chunk").sortWithinPartitions("_tp_chunk")
+    if kept.isEmpty():
+        lines = kept.sparkSession.range(1).select(F.lit("[]").alias("value"))
+    lines.select("value").write.mode("overwrite").text(path)
+
+
+def read_kept_ids(spark: SparkSession, path: str, name: str = "token_id", position: str | None = None) -> DataFrame:
+    """S8 (read): the entries of a JSON array of whole numbers, one row each.
+
+    The file may be one line of any length, as other writers leave it: it is cut
+    at commas and at byte ranges, so no task holds the array or a line of it.
+    ``position`` adds the 0-based place of an entry in the array, which may lie
+    in several files (in order of their names).  Entries that
+    are no whole numbers fail the job.
+    """
+    entry = F.regexp_replace("value", r"^\s*\[?\s*|\s*\]?\s*$", "")
+    raw = spark.read.option("lineSep", ",").text(path).filter(entry != "")
+    if position:
+        raw = _numbered(raw, position, across=True)
+    df = raw.select(entry.alias("_tp_e"), *([position] if position else []))
+    number = F.when(F.col("_tp_e").rlike("^-?[0-9]+$"), F.col("_tp_e").cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("not a list of whole numbers: "), F.left("_tp_e", F.lit(40)))).cast("int"))
+    return df.select(number.alias(name), *([position] if position else []))
 
 
 def existing_inputs(spark: SparkSession, directory: str, names: Sequence[str]) -> list[str]:
@@ -202,15 +267,10 @@ def existing_inputs(spark: SparkSession, directory: str, names: Sequence[str]) -
 
 
 def scan_corpus(spark: SparkSession, directory: str, deny: Sequence[str] = DENY_FILES,
-                schema: str | None = NLI_EXAMPLE_SCHEMA, multi_line: bool = False) -> DataFrame:
-    """Every ``*.csv`` in a directory except a deny-list, with the file name."""
-    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-         .option("pathGlobFilter", "*.csv"))
-    if schema:
-        r = r.schema(schema)
-    df = r.csv(directory)
-    df = df.withColumn("file_name", F.col("_metadata.file_name"))
-    return df.filter(~F.col("file_name").isin(list(deny)))
+                schema: str | None = NLI_EXAMPLE_SCHEMA, multi_line: bool | str = SPLIT,
+                null_values: Sequence[str] = NA_WORDS) -> DataFrame:
+    """Every ``*.csv`` in a directory except a deny-list, with the file name (the dialect is that of S3)."""
+    return _csv(spark, directory, ",", multi_line, null_values, schema, "*.csv", deny, with_name=True)
 
 
 def write_predictions(df: DataFrame, path: str, id_col: str = "id", pred: str = "prediction") -> None:
