@@ -4,8 +4,9 @@
 Grouped work is either partial-aggregated (``min_by``, counts) or keyed by a
 near-unique key (a sentence id, a position), so a hot group never lands in
 one task whole.  Emitting all n(n-1)/2 pairs of a group is deliberately not
-offered (quadratic output); ``group_pair_counts`` reports the count and
-``chain_pairs`` links each member to its successor in list order.
+offered (quadratic output); ``group_pair_counts`` reports the count,
+``sample_pairs`` draws pairs by their number and ``chain_pairs`` links each
+member to its successor in list order.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textpairs.operators.permute import permute
 from textpairs.operators.rank import ordered_rank
 
+DEFAULT_SEED = 738
+
 _GLUED = r"^\(\s*(-?[0-9]+)\s*,\s*(-?[0-9]+)\s*\)$"
 
 
@@ -166,6 +170,52 @@ def group_pair_counts(df: DataFrame, group: str) -> DataFrame:
                             .otherwise(n * F.shiftright(n - 1, 1)))
 
 
+#: Draws of one group that a row expands to at once.
+DRAW_BLOCK = 10_000
+
+
+def sample_pairs(df: DataFrame, group: str, item: str, order: Sequence, k: int, seed=DEFAULT_SEED) -> DataFrame:
+    """``k`` unordered pairs of each group, drawn without repeats (all of them if the group has fewer).
+
+    ``(group, draw, i, j, item_1, item_2)`` with ``i < j`` positions in the group's
+    list order.  Pairs are numbered 0..n(n-1)/2-1 (j's triangular number plus
+    i) and never enumerated: the first k places of a seeded permutation of the
+    numbers are k distinct ones, a number is turned back into its pair by a
+    square root, and the items are looked up on (group, position).  Work is
+    k rows a group whatever its size.
+    """
+    pos = group_positions(df, group, item, order)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_tp_m"))
+    n = F.col("_tp_m")
+    total = F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
+    drawn = sizes.withColumn("_tp_total", total).filter("_tp_total > 0").withColumn("_tp_k", F.least(F.lit(k).cast("long"), "_tp_total"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("_tp_k") - 1, F.lit(DRAW_BLOCK)))
+    drawn = drawn.select(group, "_tp_total", "_tp_k", F.explode(blocks).alias("_tp_b"))
+    if k > DRAW_BLOCK:  # the draws of a large group go to several tasks
+        drawn = drawn.repartition(group, "_tp_b")
+    low = F.col("_tp_b") * DRAW_BLOCK
+    drawn = drawn.select(group, "_tp_total", F.explode(F.sequence(low, F.least(low + DRAW_BLOCK, F.col("_tp_k")) - 1)).alias("draw"))
+    own = F.conv(F.substring(F.md5(F.coalesce(F.col(group).cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long")
+    p = permute(F.col("draw"), F.col("_tp_total"), f"pairs:{seed}", tweak=own)
+    drawn = drawn.withColumn("_tp_p", p)
+    guess = F.floor((F.sqrt((F.col("_tp_p") * 8 + 1).cast("double")) + 1) / 2).cast("long")
+    drawn = drawn.withColumn("_tp_g", guess)
+
+    def below(j: Column) -> Column:
+        return F.call_function("div", j * (j - 1), F.lit(2))
+
+    g, number = F.col("_tp_g"), F.col("_tp_p")
+    # the root of a double may be one off
+    j = g - F.when(below(g) > number, 1).otherwise(0) + F.when(below(g + 1) <= number, 1).otherwise(0)
+    drawn = drawn.withColumn("j", j).withColumn("i", number - below(F.col("j")))
+    sides = [pos.select(F.col(group).alias(f"_tp_g{s}"), F.col("pos").alias(f"_tp_p{s}"), F.col(item).alias(f"item_{s}"))
+             for s in (1, 2)]
+    for side, at in zip(sides, ("i", "j")):
+        s = side.columns[0][-1]
+        drawn = drawn.join(side, F.col(group).eqNullSafe(F.col(f"_tp_g{s}")) & (F.col(at) == F.col(f"_tp_p{s}")))
+    return drawn.select(group, "draw", "i", "j", "item_1", "item_2")
+
+
 def chain_pairs(df: DataFrame, group: str, item: str, order: Sequence) -> DataFrame:
     """Each member paired with its successor in the group's list order.
 

@@ -103,5 +103,11 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
             visit(n)
     if not order:
         return sql
-    ctes = ",\n".join(f"{n} AS ({catalog[n]}\n)" for n in order)
-    return f"WITH {ctes}\n{sql}"
+    bodies = [catalog[n] for n in order]
+
+    def kind(n: str) -> str:
+        # what several others read is computed once
+        return "MATERIALIZED " if sum(bool(re.search(rf"\b{n}\b", b)) for b in [*bodies, sql]) > 1 else ""
+
+    ctes = ",\n".join(f"{n} AS {kind(n)}({catalog[n]}\n)" for n in order)
+    return f"WITH RECURSIVE {ctes}\n{sql}"

@@ -42,4 +42,5 @@ def load_all() -> None:
     """Import every query module (they register on import)."""
     from textpairs.plans import (  # noqa: F401
         q_clean, q_text, q_pairs, q_mix, q_order, q_seq, q_vocab, q_score, q_metrics, q_stream, q_sources, q_chains,
+        q_subword, q_numbers,
     )
