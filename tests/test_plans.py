@@ -87,3 +87,41 @@ def test_results_do_not_depend_on_shuffle_partitions(spark, key):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert len(set(digests)) == 1
+
+
+def _scans(df, table: str) -> int:
+    """File scans of a table in the whole plan, subqueries included."""
+    text = plan_of(df).split("+- == Initial Plan ==")[0]
+    return len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", text))
+
+
+def test_splits_read_the_rows_once(spark):
+    """Thresholds come from the written keys: the table itself is scanned where the rows are decided."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    for df in (S.split_two(docs, "doc_id"), S.split_three(docs, "doc_id"), S.split_stratified(docs, "doc_id", "lang"),
+               S.split_two(docs, "source", by_group=True)):
+        assert _scans(df, "documents") == 1
+
+
+@pytest.mark.parametrize("key", ["rebuild_pairs", "rebuild_sentences"])
+def test_rebuilds_read_references_and_tokens_once(spark, key):
+    assert _scans(QUERIES[key](spark, SF_SMALL), "documents") == 2
+
+
+def test_many_idle_references_spread_over_tasks(spark):
+    """References that ask nothing have no common key: neither join deals them to one task."""
+    from textpairs.operators import pairs as P
+
+    refs = spark.range(20_000).select("id", F.lit(0).alias("part"), F.lit(None).cast("long").alias("qid"),
+                                      F.lit(None).cast("long").alias("idx"), F.lit(True).alias("malformed"))
+    tokens = spark.createDataFrame([(1, ["a"])], "qid long, tokens array<string>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (P.resolve_tokens(refs, tokens), P.lookup_tokens(refs, tokens)):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 20_000 and max(sizes) < 6000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -16,6 +16,15 @@ GOLDEN = {
     "John's $3.88 (or 2,000)": "John 's $ 3.88 ( or 2,000 )",
     "wait... what--now": "wait ... what -- now",
     "It costs 5%, OK": "It costs 5 % , OK",
+    "the dogs' tails": "the dogs ' tails",
+    "all the boys'": "all the boys '",
+    "He said 'yes' twice": "He said 'yes ' twice",
+    "'yes'": "'yes '",
+    "James' car isn't Jess's.": "James ' car is n't Jess 's .",
+    "They left ('late').": "They left ( 'late ' ) .",
+    "He said 'no.'": "He said 'no . '",
+    "rock 'n' roll": "rock 'n ' roll",
+    "the '90s o'clock": "the '90s o'clock",
     "": "",
 }
 
@@ -28,7 +37,9 @@ def test_tokens(spark, text):
 
 
 @pytest.mark.parametrize("text", ["I cannot go.", "We're gonna win, aren't we?", "I wanna and I gotta.",
-                                  "Mr. Smith met Dr. Jones.", "I'd've said so", "Lemme see; gimme that!"])
+                                  "Mr. Smith met Dr. Jones.", "I'd've said so", "Lemme see; gimme that!",
+                                  "the dogs' tails", "all the boys'", "He said 'yes' twice", "James' car isn't Jess's.",
+                                  "the '90s o'clock"])
 def test_round_trip(spark, text):
     df = spark.createDataFrame([(GOLDEN[text],)], "t string")
     assert df.select(treebank_detokenise("t").alias("w")).first().w == text

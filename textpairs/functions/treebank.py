@@ -22,9 +22,9 @@ TOKENISE_RULES: list[tuple[str, str]] = [
     (r"([^.])(\.)([\])}>\"']*)\s*$", "$1 $2$3 "),
     (r"--", " -- "),
     (r'"', " '' "),
-    # clitics, twice over: "I'd've" holds two
-    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]) ", "$1 $2 "),
-    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]) ", "$1 $2 "),
+    # clitics and the apostrophe that ends a possessive or a quotation, twice over: "I'd've" holds two
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]|') ", "$1 $2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]|') ", "$1 $2 "),
     # contractions that are split although they hold no apostrophe
     (r"\b([cC]an)(not)\b", "$1 $2"),
     (r"\b([dD])('ye)\b", "$1 $2"),
@@ -47,8 +47,8 @@ DETOKENISE_RULES: list[tuple[str, str]] = [
     (r"\b([gG]ot) (ta)\b", "$1$2"),
     (r"\b([mM]ore) ('n)\b", "$1$2"),
     (r" ('[tT]) (is|was)\b", " $1$2"),
-    (r" ('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]) ", "$1 "),
-    (r" ('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]) ", "$1 "),
+    (r" ('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]|') ", "$1 "),
+    (r" ('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]|') ", "$1 "),
     (r" ([,.;:?!%)\]}])", "$1"),
     (r"([(\[{$]) ", "$1"),
 ]

@@ -60,32 +60,56 @@ def both_sides(index_df: DataFrame, id_cols: Sequence[str], s1: str = "sentence1
     return parse_index_string(stacked, "_tp_s", "_tp_q", keep=[*ids, "side"])
 
 
+#: Rows that ask nothing of a join are dealt over so many keys.
+_SALTS = 1024
+
+
+def _apart(idle: Column, cols: Sequence[str]) -> Column:
+    """0 for rows that take part in a join, a spread number for idle ones (null keys would meet in one task)."""
+    return F.when(idle, F.pmod(F.xxhash64(*cols), F.lit(_SALTS)) + 1).otherwise(F.lit(0).cast("long"))
+
+
+def resolve_tokens(refs: DataFrame, tokens: DataFrame, qid: str = "qid", idx: str = "idx",
+                   token_col: str = "tokens") -> DataFrame:
+    """J4 without reasons: ``token`` of each ``(qid, idx)``, null when there is none.
+
+    Tokens are exploded to ``(qid, idx, token)`` and joined on both columns in
+    one left join, so no reference row carries a token array and a hot question
+    spreads over its positions; both inputs are read once.
+    """
+    long = tokens.select(F.col(qid).alias("_tp_tq"), F.posexplode(F.col(token_col)).alias("_tp_ti", "_tp_tok"),
+                         F.lit(0).cast("long").alias("_tp_ts"))
+    idle = F.col("malformed")
+    asked = refs.withColumn("_tp_s", _apart(idle, refs.columns))
+    at = (F.when(~idle, F.col(qid)) == F.col("_tp_tq")) & (F.when(~idle, F.col(idx)) == F.col("_tp_ti")) \
+        & (F.col("_tp_s") == F.col("_tp_ts"))
+    return asked.join(long, at, "left").select(*refs.columns, F.col("_tp_tok").alias("token"))
+
+
+def _reasons(resolved: DataFrame, tokens: DataFrame, qid: str, token_col: str) -> DataFrame:
+    """``reason`` beside the tokens; only references without a token ask a narrow ``(qid)`` table why."""
+    lost = F.col("token").isNull() & ~F.col("malformed")
+    known = tokens.filter(F.col(token_col).isNotNull()).select(F.col(qid).alias("_tp_tq"), F.lit(0).cast("long").alias("_tp_ts"))
+    asking = resolved.withColumn("_tp_s", _apart(~lost, resolved.columns))
+    j = asking.join(known, (F.when(lost, F.col(qid)) == F.col("_tp_tq")) & (F.col("_tp_s") == F.col("_tp_ts")), "left")
+    reason = (F.when(F.col("malformed"), "malformed").when(F.col("token") == "", "empty_token")
+              .when(F.col("token").isNotNull(), F.lit(None).cast("string"))
+              .when(F.col("_tp_tq").isNull(), "missing_qid").otherwise("index_out_of_range"))
+    return j.select(*resolved.columns, reason.alias("reason"))
+
+
 def lookup_tokens(refs: DataFrame, tokens: DataFrame, qid: str = "qid", idx: str = "idx",
                   token_col: str = "tokens") -> DataFrame:
     """Resolve ``(qid, idx)`` against ``tokens(qid, tokens)``.
 
     Adds ``token`` (null when unresolved) and ``reason`` (null when resolved):
     malformed, missing_qid, index_out_of_range (negative included), empty_token.
-
-    Tokens are exploded to ``(qid, idx, token)`` and joined on both columns, so
-    no reference row carries a token array and a hot question spreads over its
-    positions.  References without a token ask a narrow ``(qid)`` table why;
-    malformed ones, which have no key, take part in no join.
     """
-    long = tokens.select(F.col(qid).alias("_tp_tq"), F.posexplode(F.col(token_col)).alias("_tp_ti", "_tp_tok"))
-    sound = refs.filter(~F.col("malformed"))
-    at = (F.col(qid) == F.col("_tp_tq")) & (F.col(idx) == F.col("_tp_ti"))
-    none = F.lit(None).cast("string")
-    hits = sound.join(long, at).select(
-        *refs.columns, F.col("_tp_tok").alias("token"),
-        F.when(F.col("_tp_tok") == "", F.lit("empty_token")).alias("reason"))
-    known = tokens.filter(F.col(token_col).isNotNull()).select(F.col(qid).alias("_tp_tq"))
-    lost = sound.join(long, at, "left_anti").join(known, F.col(qid) == F.col("_tp_tq"), "left")
-    lost = lost.select(*refs.columns, none.alias("token"),
-                       F.when(F.col("_tp_tq").isNull(), F.lit("missing_qid"))
-                       .otherwise(F.lit("index_out_of_range")).alias("reason"))
-    broken = refs.filter("malformed").select(*refs.columns, none.alias("token"), F.lit("malformed").alias("reason"))
-    return hits.unionByName(lost).unionByName(broken)
+    return _reasons(resolve_tokens(refs, tokens, qid, idx, token_col), tokens, qid, token_col)
+
+
+def _sound() -> Column:
+    return F.bool_and(F.coalesce(F.col("token") != "", F.lit(False)))
 
 
 def _glue(entries: Column) -> Column:
@@ -95,10 +119,9 @@ def _glue(entries: Column) -> Column:
 
 
 def rebuild_sentences(resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One sentence per ``keys``; any failed reference voids it (null, ok=false)."""
+    """One sentence per ``keys``; any reference without a token (or with an empty one) voids it (null, ok=false)."""
     g = resolved.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("part", "sub", "token"))).alias("_tp_e"),
-        F.bool_and(F.col("reason").isNull()).alias("ok"))
+        F.sort_array(F.collect_list(F.struct("part", "sub", "token"))).alias("_tp_e"), _sound().alias("ok"))
     return g.select(*keys, F.when(F.col("ok"), _glue(F.col("_tp_e"))).alias("sentence"), "ok")
 
 
@@ -106,10 +129,9 @@ def rebuild_pairs(index_df: DataFrame, tokens: DataFrame, id_cols: Sequence[str]
                   s1: str = "sentence1", q1: str = "qid1", s2: str = "sentence2", q2: str = "qid2") -> DataFrame:
     """Rebuild both sentences of each row with one shuffle; ``ok`` when both succeed."""
     ids = list(id_cols)
-    res = lookup_tokens(both_sides(index_df, ids, s1, q1, s2, q2), tokens)
+    res = resolve_tokens(both_sides(index_df, ids, s1, q1, s2, q2), tokens)
     g = res.groupBy(*ids).agg(
-        F.sort_array(F.collect_list(F.struct("side", "part", "sub", "token"))).alias("_tp_e"),
-        F.bool_and(F.col("reason").isNull()).alias("ok"))
+        F.sort_array(F.collect_list(F.struct("side", "part", "sub", "token"))).alias("_tp_e"), _sound().alias("ok"))
 
     def side(k: int) -> Column:
         return _glue(F.filter(F.col("_tp_e"), lambda e: e["side"] == k))
@@ -122,8 +144,8 @@ def missing_refs(index_df: DataFrame, tokens: DataFrame, id_cols: Sequence[str]
                  s1: str = "sentence1", q1: str = "qid1", s2: str = "sentence2", q2: str = "qid2") -> DataFrame:
     """The references that cannot be resolved, with the reason."""
     ids = list(id_cols)
-    return lookup_tokens(both_sides(index_df, ids, s1, q1, s2, q2), tokens).filter(F.col("reason").isNotNull()) \
-        .select(*ids, "side", "part", "sub", "qid", "idx", "reason")
+    bad = resolve_tokens(both_sides(index_df, ids, s1, q1, s2, q2), tokens).filter(F.coalesce(F.col("token") == "", F.lit(True)))
+    return _reasons(bad, tokens, "qid", "tokens").select(*ids, "side", "part", "sub", "qid", "idx", "reason")
 
 
 def build_report(rebuilt: DataFrame, ok: str = "ok") -> DataFrame:

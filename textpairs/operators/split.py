@@ -6,8 +6,9 @@ pair id, a document id): rows that share a key fall on the same side.
 
 A split is a threshold on the seeded hash of the key: counts per hash bucket
 (4 hex digits) tell in which bucket the wanted rank lies, and only the keys of
-that bucket are ranked.  The rows themselves are then decided where they are
-scanned; they are not shuffled.  With ``by_group`` the key is a group column,
+that bucket are ranked.  Keys and hashes are written once, and counts, class
+totals, quotas and thresholds all come from that narrow table.  The rows
+themselves are then decided where they are scanned; they are not shuffled.  With ``by_group`` the key is a group column,
 sizes count groups, and all rows of a group go to one side.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.operators.rank import hash_rank, seeded_hash, top_rows
+from textpairs.session import materialise
 
 DEFAULT_SEED = 738
 STRATIFIED_SEED = 42
@@ -39,33 +41,43 @@ def _ceil_frac(n: Column, f) -> Column:
 
 
 def _keys(df: DataFrame, key: str, seed, part: Sequence[str] = (), by_group: bool = False) -> DataFrame:
-    """``(part..., _tp_k, _tp_h)``: keys (distinct ones with ``by_group``) and their seeded hashes."""
+    """``(part..., _tp_k, _tp_h)``: keys (distinct ones with ``by_group``) and their seeded hashes.
+
+    Written once: whatever the input is, a split evaluates it here and where its
+    rows are decided, and nowhere else.
+    """
     keys = df.select(*part, F.col(key).alias("_tp_k"))
-    return (keys.distinct() if by_group else keys).withColumn("_tp_h", seeded_hash(seed, "_tp_k"))
+    return materialise((keys.distinct() if by_group else keys).withColumn("_tp_h", seeded_hash(seed, "_tp_k")))
+
+
+def _bucket() -> Column:
+    return F.substring("_tp_h", 1, 4)
+
+
+def _bucket_counts(keys: DataFrame, part: Sequence[str] = ()) -> DataFrame:
+    """``(part..., _tp_b, _tp_n)``: at most 16**4 rows per part."""
+    return keys.groupBy(*part, _bucket().alias("_tp_b")).agg(F.count(F.lit(1)).alias("_tp_n"))
 
 
-def _at_rank(keys: DataFrame, ranks: DataFrame, part: Sequence[str] = ()) -> DataFrame:
+def _at_rank(keys: DataFrame, counts: DataFrame, ranks: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     """``(part..., _tp_t, _tp_ht, _tp_kt)``: the hash and key that hold rank ``_tp_t`` of their part.
 
     ``ranks(part..., _tp_t)`` holds a few ranks; one that no row holds gives no row.
     """
-    bucket = F.substring("_tp_h", 1, 4)
-    counts = keys.groupBy(*part, bucket.alias("_tp_b")).agg(F.count(F.lit(1)).alias("_tp_n"))
     before = Window.partitionBy(*part).orderBy("_tp_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_tp_off", F.coalesce(F.sum("_tp_n").over(before), F.lit(0)))
 
-    def same(left: DataFrame, right: DataFrame, extra: Column) -> tuple[DataFrame, Column]:
+    def same(right: DataFrame, extra: Column) -> tuple[DataFrame, Column]:
         right = right.withColumnsRenamed({c: f"_tp_p{i}" for i, c in enumerate(part)})
         on = extra
         for i, c in enumerate(part):
             on = on & F.col(c).eqNullSafe(F.col(f"_tp_p{i}"))
         return right, on
 
-    # at most 16**4 buckets per part meet the few ranks of the part
-    right, on = same(counts, ranks, (F.col("_tp_off") <= F.col("_tp_t"))
-                     & (F.col("_tp_t") < F.col("_tp_off") + F.col("_tp_n")))
+    # the buckets of a part meet the few ranks of the part
+    right, on = same(ranks, (F.col("_tp_off") <= F.col("_tp_t")) & (F.col("_tp_t") < F.col("_tp_off") + F.col("_tp_n")))
     edge = counts.join(right if part else F.broadcast(right), on).select(*part, "_tp_b", "_tp_t", "_tp_off")
-    right, on = same(keys, edge.withColumnRenamed("_tp_b", "_tp_eb"), bucket == F.col("_tp_eb"))
+    right, on = same(edge.withColumnRenamed("_tp_b", "_tp_eb"), _bucket() == F.col("_tp_eb"))
     inside = Window.partitionBy(*part, "_tp_t").orderBy("_tp_h", "_tp_k")
     rows = keys.join(right, on).withColumn("_tp_rn", F.row_number().over(inside) - 1 + F.col("_tp_off"))
     return rows.filter(F.col("_tp_rn") == F.col("_tp_t")).select(
@@ -81,10 +93,11 @@ def _below(df: DataFrame, key: str, seed, ht: Column, kt: Column) -> Column:
 def _thresholds(keys: DataFrame, *ranks: Column) -> list[tuple[Column, Column]]:
     """Scalar (hash, key) thresholds of ranks that are expressions over the total ``_tp_total``."""
     out = []
-    total = keys.agg(F.count(F.lit(1)).alias("_tp_total"))
+    counts = _bucket_counts(keys)
+    total = counts.agg(F.coalesce(F.sum("_tp_n"), F.lit(0)).alias("_tp_total"))
     for rank in ranks:
-        at = _at_rank(keys, total.select(rank.alias("_tp_t")))
-        out.append((at.select("_tp_ht").scalar(), at.select("_tp_kt").scalar()))
+        at = _at_rank(keys, counts, total.select(rank.alias("_tp_t"))).select(F.struct("_tp_ht", "_tp_kt")).scalar()
+        out.append((at["_tp_ht"], at["_tp_kt"]))
     return out
 
 
@@ -133,10 +146,13 @@ def split_stratified(df: DataFrame, key: str, label: str, fraction: float = 0.1,
                      seed=STRATIFIED_SEED, names: tuple[str, str] = ("train", "valid"),
                      out: str = "split") -> DataFrame:
     """Per class, the first ``quota`` rows of a seeded in-class permutation are held out."""
+    keys = _keys(df, key, seed, [label])
+    counts = materialise(_bucket_counts(keys, [label]))
+    per_class = counts.groupBy(label).agg(F.sum("_tp_n").alias("n_label"))
     # one threshold per class: broadcast if the classes are counted to be few, else joined
-    few = df.select(label).distinct().limit(MAX_BROADCAST_CLASSES + 1).count() <= MAX_BROADCAST_CLASSES
-    quotas = stratified_quotas(df, label, fraction).select(label, F.col("quota").alias("_tp_t"))
-    edges = _at_rank(_keys(df, key, seed, [label]), quotas, [label])
+    few = per_class.limit(MAX_BROADCAST_CLASSES + 1).count() <= MAX_BROADCAST_CLASSES
+    quotas = quotas_of_counts(per_class, label, fraction).select(label, F.col("quota").alias("_tp_t"))
+    edges = _at_rank(keys, counts, quotas, [label])
     cuts = quotas.join(edges.withColumnRenamed(label, "_tp_l").drop("_tp_t"),
                        F.col(label).eqNullSafe(F.col("_tp_l")), "left").select(
         F.col(label).alias("_tp_cl"), "_tp_ht", "_tp_kt")

@@ -76,7 +76,7 @@ def q_lookup_tokens(spark, sf_dir):
            bool_and(reason IS NULL) AS ok
     FROM looked GROUP BY id, side""", ctes=REF_CTES)
 def q_rebuild_sentences(spark, sf_dir):
-    return P.rebuild_sentences(_looked(spark, sf_dir), ["id", "side"])
+    return P.rebuild_sentences(P.resolve_tokens(_refs(spark, sf_dir), B.v_qtokens(spark, sf_dir)), ["id", "side"])
 
 
 @register("rebuild_pairs", sql="""
