@@ -11,6 +11,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +32,6 @@ DEFAULT_CONF = {
     # groups per task in the object hash map, then fall back to the spillable
     # sort-based path (the default, 128, falls back almost at once)
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
-    # checkpoints cut lineage for one job chain; drop them once unreferenced
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -100,14 +100,58 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the (shared) checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+#: paths of written tables that were not dropped, per application, in order
+_CUTS: dict[str, list[str]] = {}
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, name: str, folder: str = "tables") -> str:
+    """A fresh path under the (shared) checkpoint folder for a written table.
+
+    The table is deleted by the end of a ``cuts`` block it was made in, by
+    ``drop_cuts``, or when the application ends.
+    """
+    base = os.path.join(ensure_checkpoint_dir(spark), folder)
+    app = spark.sparkContext.applicationId
+    if app not in _CUTS:
+        _CUTS.clear()
+        _CUTS[app] = []
+    if not any(os.path.dirname(p) == base for p in _CUTS[app]):
+        # the folder is this application's own: the JVM removes it when it shuts down
+        at, fs = _file_system(spark, base)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    _CUTS[app].append(path)
+    return path
+
+
+def drop_cuts(spark: SparkSession, paths: Sequence[str] | None = None) -> None:
+    """Delete written tables (all of this application's by default).  DataFrames over them cannot be read any more."""
+    known = _CUTS.get(spark.sparkContext.applicationId, [])
+    for path in list(known if paths is None else paths):
+        at, fs = _file_system(spark, path)
+        fs.delete(at, True)
+        if path in known:
+            known.remove(path)
+
+
+@contextmanager
+def cuts(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside the block are deleted at its end: consume the results in it."""
+    before = set(_CUTS.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_cuts(spark, [p for p in _CUTS.get(spark.sparkContext.applicationId, []) if p not in before])
+
+
+def materialise(df: DataFrame, name: str = "cut", folder: str = "tables") -> DataFrame:
     """Cut lineage with a Parquet table in the shared checkpoint folder (columns prune, filters push)."""
-    path = scratch_path(df.sparkSession, "cut")
+    path = scratch_path(df.sparkSession, name, folder)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
