@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tests.conftest import SF_MID
 from tests.llm.helpers import documents, odd_rows, prose
@@ -122,3 +123,52 @@ def test_case_punctuation_and_line_breaks_do_not_hide_an_item():
     assert [m[:2] for m in index.matches([(9, ("x y z " + shown + "! end").encode())])] == [(9, 1)]
     twice = list(index.matches([(9, f"{item} mid {item}".encode())]))
     assert len(twice) == 2
+
+
+def fresh(rng, n):
+    return [f"v{rng.randrange(20_000)}" for _ in range(n)]
+
+
+def worn(rng, words, kind):
+    """The words at their largest distance, by one kind of edit."""
+    out = list(words)
+    for _ in range(allowed_edits(len(words))):
+        what = rng.choice(["sub", "ins", "del"]) if kind == "mixed" else kind
+        at = 0 if what == "front" else len(out) - 1 if what == "back" else rng.randrange(len(out))
+        if what == "sub":
+            out[at] = fresh(rng, 1)[0]
+        elif what == "ins":
+            out.insert(at, fresh(rng, 1)[0])
+        else:
+            del out[at]
+    return out
+
+
+@pytest.mark.parametrize("n", [10, 16, 50, 100, 200])
+@pytest.mark.parametrize("kind", ["sub", "ins", "del", "mixed", "front", "back"])
+def test_recall_per_kind_of_edit_and_length(n, kind):
+    rng = random.Random(n)
+    items = [(i, fresh(rng, n)) for i in range(100)]
+    index = ItemIndex([(i, " ".join(w).encode()) for i, w in items])
+    docs = [(i, " ".join(fresh(rng, n) + worn(rng, w, kind) + fresh(rng, n)).encode()) for i, w in items]
+    found = {m[:2] for m in index.matches(docs)}
+    assert len(found & {(i, i) for i, _ in items}) >= 95
+
+
+@pytest.mark.parametrize("n", [10, 16, 50, 100, 200])
+def test_unrelated_windows_are_rarely_candidates(n):
+    rng = random.Random(n + 1)
+    index = ItemIndex([(i, " ".join(fresh(rng, n)).encode()) for i in range(20)])
+    windows = [hashed_words(" ".join(fresh(rng, n)).encode()) for _ in range(1500)]
+    named = sum(any((r, key) in index.buckets for r, key in enumerate(keys)) for keys in sampled_walks(windows).tolist())
+    assert named < 15
+    assert all(key for _, key in index.buckets)
+
+
+def test_walks_that_have_passed_the_text_name_nothing():
+    short = np.arange(1, 3, dtype=np.uint64) << np.uint64(40)
+    padded = np.concatenate((short, np.zeros(60, np.uint64)))
+    keys = sampled_walks([padded])[0]
+    assert (keys == 0).mean() > 0.5
+    same = sampled_walks([short, short])
+    assert (same[0] == same[1]).all() and (same[0] != 0).any()

@@ -12,11 +12,13 @@ lower-cased, ASCII punctuation dropped).
    walks: a walk of ``3 n`` steps copies the word it stands on and moves on if a
    random bit of (walk, step, word) says so.  Texts at a small edit distance
    end up at a small Hamming distance.
-3. Bit sampling: ``samples`` positions of each walk's output are hashed; a
-   window is a candidate for the items with an equal hash in some walk.  With
-   ``p`` the chance that one walk agrees at all samples, recall is
-   ``1 - (1 - p) ** repeats``; the defaults are measured in the tests against
-   a target of 0.99 at the largest distance.
+3. Bit sampling: ``samples`` positions of each walk's output, all taken where
+   the walk still stands on words, are hashed; a window is a candidate for the
+   items with an equal hash in some walk, and a walk whose samples carry no word
+   names none.  With ``p`` the chance that one walk agrees at all samples,
+   recall is ``1 - (1 - p) ** repeats``.  At the largest distance the tests ask
+   for a recall of 0.95 per kind of edit and length, and for unrelated windows
+   as candidates in fewer than 1 % of cases.
 4. Candidates are verified by the exact edit distance between the item and the
    best run of words around the window.
 
@@ -43,9 +45,12 @@ from pyspark.sql import functions as F
 from textpairs.llm.words import word_hashes
 
 #: Parameters.
-REPEATS = 24
+REPEATS = 60
 SAMPLES = 3
 STRETCH = 3
+LIVE = 0.6
+EARLY = 30
+GAP = 3
 ITEM_BLOCK = 5000
 
 _DROP = punctuation.encode()
@@ -76,30 +81,48 @@ def _flat(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def _reaches(sizes: np.ndarray, kind: int) -> np.ndarray:
+    """Steps of a walk that its samples are taken from, by window size.
+
+    A walk has passed the whole window after about two thirds of its steps, and
+    texts that differ by many insertions drift apart along it: a third of the
+    walks sample the live part, a third its first quarter, a third its first
+    ``EARLY`` steps.
+    """
+    live = LIVE * STRETCH * sizes
+    return (live, np.minimum(live, np.maximum(live / 2.4, EARLY)), np.minimum(live, EARLY))[kind]
+
+
 def sampled_walks(windows: list[np.ndarray], repeats: int = REPEATS, samples: int = SAMPLES) -> np.ndarray:
-    """(windows, repeats): the hash of the sampled positions of each walk."""
+    """(windows, repeats): the hash of the sampled positions of each walk; 0 where a sample carries no word."""
     words, sizes = _flat(windows)
-    order = np.argsort(-sizes, kind="stable")
-    words, sizes = words[order], sizes[order]
-    steps = STRETCH * sizes
     out = np.zeros((len(words), repeats), np.uint64)
+    every = np.arange(len(words))
     for r in range(repeats):
         rng = np.random.default_rng(1000 + r)
-        at = rng.random(samples)  # the same places of a walk for equal lengths
-        picked = (at[None, :] * steps[:, None]).astype(np.int64)
-        salts = rng.integers(1, 1 << 62, int(steps.max()), np.uint64) | np.uint64(1)
-        last = picked.max(axis=1)
-        seen = np.zeros((int(last.max()) + 1, len(words)), np.uint64)
+        at = np.sort(rng.random(samples))  # the same places of a walk for equal lengths
+        picked = (at[None, :] * _reaches(sizes, r % 3)[:, None]).astype(np.int64)
+        for s in range(1, samples):  # so far apart that they rarely carry one word
+            picked[:, s] = np.maximum(picked[:, s], picked[:, s - 1] + GAP)
+        salts = rng.integers(1, 1 << 62, int(STRETCH * sizes.max()) + samples * GAP + 1, np.uint64) | np.uint64(1)
+        order = np.argsort(-picked[:, -1], kind="stable")  # walks that are sampled to the end come first
+        last = -picked[order, -1]
+        seen = np.zeros((int(-last[0]) + 1, len(words)), np.uint64)
         place = np.zeros(len(words), np.int64)
+        own, ends = words[order], sizes[order]
         for j in range(len(seen)):
-            live = int(np.searchsorted(-last, -j, side="right"))  # longer windows come first
-            word = words[np.arange(live), place[:live]]
+            live = int(np.searchsorted(last, -j, side="right"))
+            word = own[every[:live], place[:live]]
             seen[j, :live] = word
-            place[:live] = np.minimum(place[:live] + ((word * salts[j]) >> np.uint64(63)).astype(np.int64), sizes[:live])
-        key = np.zeros(len(words), np.uint64)
+            place[:live] = np.minimum(place[:live] + ((word * salts[j]) >> np.uint64(63)).astype(np.int64), ends[:live])
+        key, dead = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
         for s in range(samples):
-            key = (key * _PAIR ^ seen[picked[:, s], np.arange(len(words))]) * _MIX + np.uint64(s + 1)
-        out[order, r] = key ^ sizes.astype(np.uint64)
+            word = seen[picked[order, s], every]
+            dead |= word == 0
+            key = (key * _PAIR ^ word) * _MIX + np.uint64(s + 1)
+        key ^= ends.astype(np.uint64)
+        key[dead] = 0
+        out[order, r] = key
     return out
 
 
@@ -146,7 +169,8 @@ class ItemIndex:
         if self.items:
             for k, keys in enumerate(sampled_walks([w for _, w in self.items], repeats, samples).tolist()):
                 for r, key in enumerate(keys):
-                    self.buckets[r, key].append(k)
+                    if key:
+                        self.buckets[r, key].append(k)
         # a window with enough pairs has this many in some run of as many pairs as the shortest item has
         self.step = max(1, min(self.lengths, default=2) - 1)
         self.least = min((-(-c // -(-(n - 1) // self.step)) for n, c in zip(self.lengths, self.needed)), default=0)
