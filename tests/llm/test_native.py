@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, odd_rows, prose
-from textpairs.llm.chat_format import chat_digest, escape, format_chats, parse, unescape
-from textpairs.llm.line_rules import line_quality
+from textpairs.llm import chat_format
+from textpairs.llm.chat_format import chat_digest, escape, format_chats, masked_text, parse, unescape
+from textpairs.llm.line_rules import base_figures, line_quality
 from textpairs.llm.mix_weights import draw, mix_documents, mix_plan, source_targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,6 +115,22 @@ def test_line_rules_equal_brute_force(spark):
     assert line_quality(documents(spark, [])).count() == 0
 
 
+def plain_repeats(text):
+    words = WORD.findall(text or "")
+    tri = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+    n = Counter(tri)
+    return len({k + o for k, g in enumerate(tri) if n[g] > 1 for o in range(3)})
+
+
+@pytest.mark.parametrize("pos_bits", [3, 10, 24, 60, 62])
+def test_repeats_survive_shared_hash_bits_and_long_texts(spark, pos_bits):
+    """With 60 or 62 bits for positions nearly all windows share their high bits; with 3 nearly no text fits."""
+    rows = [(i, prose(i, 40 + 17 * i) + " " + prose(i % 3, 30 * (i % 4)), "en", "s") for i in range(25)] + odd_rows()
+    rows += [(90, "a b c x a b c y a b c", "en", "s"), (91, "a a a a a a", "en", "s"), (92, "a b c d", "en", "s")]
+    got = base_figures(documents(spark, rows), pos_bits=pos_bits).select("doc_id", "n_repeat_words").collect()
+    assert Counter(map(tuple, got)) == Counter((i, plain_repeats(t)) for i, t, _, _ in rows)
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 1, "assistant", "hello"),
     (2, 1, "assistant", None), (2, 0, None, ""), (2, None, "system", "s"),
@@ -150,6 +167,18 @@ def test_chat_round_trip(spark):
     assert format_chats(chats(spark, [])).count() == 0
 
 
+def test_loss_columns_come_from_the_mask(spark, monkeypatch):
+    out = format_chats(chats(spark, CHATS))
+    for size in (1 << 16, 7):
+        monkeypatch.setattr(chat_format, "PIECE", size)
+        rows = out.select("turns", masked_text(F.col("formatted"), F.col("escaped"), F.col("loss_spans")).alias("loss")).collect()
+        assert all(r["loss"] == "".join(t["text"] for t in r["turns"] if t["role"] == "assistant") for r in rows)
+    # a mask that lies one code point off shows in the digest
+    off = out.withColumn("loss_spans", F.transform("loss_spans", lambda s: s.withField("start", s["start"] + 1)))
+    right, wrong = ({r["conv_id"]: r["loss_sha256"] for r in chat_digest(x).collect()} for x in (out, off))
+    assert right[1] != wrong[1] and right[3] != wrong[3]
+
+
 def test_escape_is_reversible(spark):
     texts = ["", "<|", "<\\|", "<\\\\|x", "<<|", "<|<|", "a|<", "\\<|", "<\\", "<\\<|", "|", "<|im_end|>"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -106,10 +106,35 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     return df.select("conv_id", "formatted", "escaped", spans.alias("loss_spans"), exact.alias("turns"))
 
 
+#: Code points of a piece that spans are cut from.
+PIECE = 1 << 16
+
+
+def masked_text(formatted: Column, escaped: Column, spans: Column) -> Column:
+    """The text under the loss mask: the spans cut out of the formatted text, unescaped, one after the other.
+
+    The text is cut into pieces first, so a span costs a piece and not all the text before it.
+    """
+    last = F.call_function("div", F.greatest(F.length(formatted) - 1, F.lit(0)), F.lit(PIECE)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(formatted, k * PIECE + 1, F.lit(PIECE)))
+
+    def cut(p: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.call_function("div", s["start"], F.lit(PIECE)).cast("int")
+            end = F.call_function("div", s["start"] + s["length"], F.lit(PIECE)).cast("int")
+            near = F.array_join(F.slice(p, first + 1, end - first + 1), "")
+            text = F.substring(near, (s["start"] - first * PIECE + 1).cast("int"), s["length"].cast("int"))
+            return F.when(escaped, unescape(text)).otherwise(text)
+
+        return F.array_join(F.transform(spans, one), "")
+
+    return F.get(F.transform(F.array(pieces), cut), F.lit(0))
+
+
 def chat_digest(formatted: DataFrame) -> DataFrame:
-    """Digest columns from the turns that the parser read back."""
+    """Digest columns from the turns that the parser read back and from the text under the loss mask."""
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
+    loss = masked_text(F.col("formatted"), F.col("escaped"), F.col("loss_spans"))
     df = formatted.select("conv_id", "formatted", "turns", loss.alias("loss"))
     return df.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
                      F.sha2(all_turns, 256).alias("turns_sha256"),

@@ -9,6 +9,10 @@ of the host)`` documents are removed, and a document that keeps less than
 ``min_left`` of its word characters is rejected, as is one that fails the base
 rules.  The host is the ``source`` column.
 
+What the limit lets through: a line that at most 0.5 % of a host's distinct
+documents hold stays, however many those are (on a host of 1e9 documents up to
+5 million); of a host of up to 2,000 documents a line in up to 10 stays.
+
 Defined cases: a null text counts as empty (no words: base_failed); a null
 host is a host of its own; repeated rows give repeated results; an empty table
 gives an empty result.  Only the id, text and host columns are read.
@@ -32,18 +36,18 @@ MIN_DOCS = 10
 HOST_SHARE = 0.005
 MIN_LEFT = 0.5
 
-_POS_BITS = 24
+#: Low bits of a packed window that hold its position.
+POS_BITS = 24
 
 
-def _repeat_words(tri: Column, order: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more.
+def _repeats_packed(tri: Column, order: Column, pos_bits: int) -> tuple[Column, Column]:
+    """Positions of the windows that occur twice or more, and whether packing hides any.
 
     ``order`` holds one number per window, (high bits of its hash, position),
-    sorted, so equal windows lie side by side; neighbours are compared by the
-    whole hash.  Covered words are the sum of min(3, distance to the next
-    repeated window) over the repeated windows, 3 for the last.
+    sorted: equal windows lie side by side unless another window shares their
+    high bits, which is told by the second result.
     """
-    mask = F.lit((1 << _POS_BITS) - 1)
+    mask = F.lit((1 << pos_bits) - 1)
 
     def at(x: Column) -> Column:
         return F.get(tri, x.bitwiseAND(mask).cast("int"))
@@ -53,11 +57,34 @@ def _repeat_words(tri: Column, order: Column) -> Column:
         return F.coalesce(here == at(F.get(order, i - 1)), F.lit(False)) | F.coalesce(
             here == at(F.get(order, i + 1)), F.lit(False))
 
-    return F.sort_array(F.transform(F.filter(order, twin), lambda x: x.bitwiseAND(mask)))
+    def clash(x: Column, i: Column) -> Column:
+        after = F.get(order, i + 1)
+        near = F.shiftright(x, pos_bits) == F.shiftright(after, pos_bits)
+        return F.coalesce(near & (at(x) != at(after)), F.lit(False))
+
+    hits = F.sort_array(F.transform(F.filter(order, twin), lambda x: x.bitwiseAND(mask)))
+    return hits, F.exists(F.transform(order, clash), lambda x: x)
+
+
+def _repeats_whole(tri: Column) -> Column:
+    """The same positions from (whole hash, position) pairs: for texts that packing does not fit."""
+    pairs = F.sort_array(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("at"))))
 
+    def hits(p: Column) -> Column:
+        twins = F.filter(p, lambda x, i: F.coalesce(x["h"] == F.get(p, i - 1)["h"], F.lit(False))
+                         | F.coalesce(x["h"] == F.get(p, i + 1)["h"], F.lit(False)))
+        return F.sort_array(F.transform(twins, lambda x: x["at"]))
 
-def base_figures(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id and the base columns of the contract."""
+    return F.get(F.transform(F.array(pairs), hits), F.lit(0))
+
+
+def base_figures(docs: DataFrame, pos_bits: int = POS_BITS) -> DataFrame:
+    """``docs(doc_id, text)`` -> doc_id and the base columns of the contract.
+
+    Repeated windows are found by a sort of packed numbers; texts of more than
+    ``2 ** pos_bits`` windows, and those where two windows share the high bits of
+    their hashes, sort whole hashes instead.
+    """
     df = docs.select("doc_id", text_or_empty("text").alias("t"))
     df = df.select("doc_id", "t", words_of(F.col("t")).alias("w"))
     n = F.size("w")
@@ -66,15 +93,18 @@ def base_figures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD_CLASS))
     df = df.select("doc_id", "t", n.cast("long").alias("n_words"), windows.alias("tri"), lines.alias("lines"))
     repeated = F.size("tri") > F.size(F.array_distinct("tri"))
-    order = F.when(repeated, F.sort_array(F.transform("tri", lambda h, i: F.shiftleft(
-        F.shiftright(h, _POS_BITS), _POS_BITS).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<bigint>"))
+    fits = F.size("tri") <= (1 << pos_bits)
+    order = F.when(repeated & fits, F.sort_array(F.transform("tri", lambda h, i: F.shiftleft(
+        F.shiftright(h, pos_bits), pos_bits).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<bigint>"))
     df = df.select(
-        "doc_id", "n_words", "tri",
+        "doc_id", "n_words", "tri", repeated.alias("repeated"),
         F.length(F.regexp_replace("t", SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         order.alias("order"))
-    df = df.withColumn("hit", F.when(F.size("order") > 0, _repeat_words(F.col("tri"), F.col("order"))))
+    packed, hidden = _repeats_packed(F.col("tri"), F.col("order"), pos_bits)
+    whole = F.col("repeated") & ((F.size("order") == 0) | hidden)
+    df = df.withColumn("hit", F.when(whole, _repeats_whole(F.col("tri"))).when(F.size("order") > 0, packed))
     steps = F.transform("hit", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(
         F.get("hit", i + 1) - p, F.lit(3).cast("long"))))
     covered = F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))

@@ -43,7 +43,7 @@ r AS (SELECT d.doc_id, size, source_size, target,
              CAST('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT)::DOUBLE
                / 4503599627370496.0 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
+SELECT doc_id, size, source_size, target,
        ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM r
 """
@@ -54,7 +54,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textpairs.llm.mix_weights import mix_plan
 
     out = mix_plan(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = r"""
@@ -189,10 +189,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textpairs.llm.url_rules import judge_urls
 
-    # the label of a page is that of its id: low quality or toxic is blocked
+    # the label of a page is that of its id: low quality or toxic is blocked, nothing known is no label
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    told = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"),
-                                                   F.when(bad, "block").otherwise("allow").alias("label"))
+                                                   F.when(bad, "block").when(told, "allow").alias("label"))
     out = judge_urls(table(spark, sf_dir, "pages"), labels)
     return out.select("page_id", "host", "path", "rule", "mined", "verdict")
 

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from textpairs.session import ensure_checkpoint_dir
+from textpairs.session import materialise
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return a scan of it."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared checkpoint folder and return a scan of it (see ``session.cuts`` for its end)."""
+    return materialise(df, name, "llm")
