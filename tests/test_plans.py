@@ -15,7 +15,7 @@ from tools.check_oracle import digest
 
 load_all()
 PYTHON_WORKER_KEYS = {"tokenise_corpus", "decode_corpus", "roundtrip_audit", "score_batches"}
-STREAM_KEYS = {"stream_scoring", "stream_value_counts", "stream_ema"}
+STREAM_KEYS = {"stream_scoring", "stream_value_counts", "stream_ema", "stream_ema_ordered"}
 
 
 def plan_of(df):

@@ -123,6 +123,30 @@ def q_load_tokens(spark, sf_dir):
     return got.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
 
 
+@register("token_cache_refresh", sql="""
+    SELECT c.doc_id AS id, c.corpus, 'train' AS split, len(string_split(t, ' ')) AS n_ids,
+           CAST(CASE WHEN c.doc_id % 10 = 0 THEN 2 ELSE 1 END AS INTEGER) AS generation
+    FROM v_corpora c JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' changed' ELSE text END AS t
+                           FROM documents) d USING (doc_id) WHERE c.doc_id % 13 <> 0""")
+def q_token_cache_refresh(spark, sf_dir):
+    """Two runs of the cache; between them a tenth of the texts change and a thirteenth goes.  ``generation`` tells which
+    run tokenised a row."""
+    from textpairs.sources import token_cache as C
+
+    docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    names = B.v_corpora(spark, sf_dir).select(F.col("doc_id").alias("id"), "corpus", F.lit("train").alias("split"))
+    rows = docs.join(names, "id")
+    changed = F.when(F.col("id") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    path = scratch_path(spark, "token-cache")
+
+    def lengths(df):
+        return df.select("corpus", "split", "id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
+
+    C.refresh_tokens(rows, path, "id", ["text"], lengths)
+    C.refresh_tokens(rows.filter(F.col("id") % 13 != 0).withColumn("text", changed), path, "id", ["text"], lengths)
+    return C.load_cache(spark, path).select("id", "corpus", "split", F.size("ids").cast("long").alias("n_ids"), "generation")
+
+
 @register("kept_ids_file", sql="SELECT token_id, new_id FROM kept", ctes=NLI_TOK_CTES)
 def q_kept_ids_file(spark, sf_dir):
     from textpairs.plans.q_vocab import nli_tok

@@ -4,13 +4,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from textpairs.operators import score as S
 from textpairs.operators import tokens as TK
 from textpairs.plans import bridge as B
 from textpairs.plans.registry import register
+from textpairs.session import scratch_path
 from textpairs.streaming import stream as ST
+from textpairs.streaming.ordered import stream_ema_ordered
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,6 +109,36 @@ def q_stream_ema(spark, sf_dir):
     return final.select("user_id", F.round("ema", 6).alias("ema"), "n")
 
 
+#: Arrival of events in the ordered stream: up to a day late, in files of five days; the delay covers both.
+LATE_DAYS, FILE_DAYS, DELAY_DAYS = 1, 5, 6
+
+
+@register("stream_ema_ordered", sql=f"""
+    SELECT user_id, round(pow(0.98, step + 1) * x0 + 0.02 * pow(0.98, step) * s, 6) AS ema, step + 1 AS n
+    FROM (SELECT user_id, step, first_value(value) OVER w AS x0,
+                 sum(value * pow(0.98, -step)) OVER (w ROWS UNBOUNDED PRECEDING) AS s,
+                 count(*) OVER (PARTITION BY user_id) AS cnt
+          FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events
+                WHERE epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - {DELAY_DAYS} * 86400000000)
+          WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    WHERE step = cnt - 1""")
+def q_stream_ema_ordered(spark, sf_dir):
+    """Events that arrive up to a day late, in files by arrival; the final state is the batch EMA up to the watermark."""
+    events = B.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(LATE_DAYS * 86_400_000_000))
+    span = FILE_DAYS * 86_400_000_000
+    events = events.withColumn("file_no", F.call_function("div", F.unix_micros("ts") + late, F.lit(span)))
+    src = os.path.join(scratch_path(spark, "arrivals"), "in")
+    low, high = events.agg(F.min("file_no"), F.max("file_no")).first()
+    for no in range(low or 0, (high or 0) + 1):  # one write a file span: the file source reads in order of writing
+        events.filter(F.col("file_no") == no).drop("file_no").write.mode("append").parquet(src)
+    stream = ST.file_stream(spark, src, "user_id long, ts timestamp, event_id long, value double", "*.parquet")
+    sink, ckpt = ST.fresh_paths(spark, "stream_ema_ordered")
+    stream_ema_ordered(stream, "user_id", "ts", "event_id", "value", sink, ckpt, alpha=0.02, delay=f"{DELAY_DAYS} days")
+    final = ST.latest_state(spark, sink, "user_id", ["ema", "n"])
+    return final.select("user_id", F.round("ema", 6).alias("ema"), "n")
+
+
 @register("score_batches", sql="""
     SELECT vec_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS prediction FROM v_logits""")
 def q_score_batches(spark, sf_dir):
