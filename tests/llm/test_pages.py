@@ -68,6 +68,65 @@ def test_furniture_inside_the_article_does_not_split_it(furniture, marked):
         assert extract(page, score()) == "\n".join([title, lead, *rest])
 
 
+def link_list_score():
+    """Weights of pages with a plain link list outside their article."""
+    counts = Counter()
+    links = "".join(f"<li><a href=/{i}>w{i}</a></li>" for i in range(12))
+    for k in range(300):
+        body = "".join(f"<p>{prose(k * 50 + j, 30)}</p>" for j in range(4))
+        count_page(f"{FURNITURE}<div class=links><ul>{links}</ul></div><article><h1>{prose(k, 6)}</h1>{body}</article>{TAIL}", counts)
+    return weights(counts)
+
+
+ITEMS = [f"w{i}" for i in range(40)]
+WANTED = {
+    "links": ("<ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in ITEMS) + "</ul>", ITEMS),
+    "contents": ("<ol>" + "".join(f"<li><a href=#{i}>{prose(i, 3)}</a>" for i in range(15)) + "</ol>", [prose(i, 3) for i in range(15)]),
+    "references": ("<ol>" + "".join(f"<li>{prose(i, 9)} <a href=#r>up</a></li>" for i in range(30)) + "</ol>", [f"{prose(i, 9)} up" for i in range(30)]),
+    "table": ("<table>" + "".join("<tr>" + "".join(f"<td>{i}{j}</td>" for j in range(9)) + "</tr>" for i in range(9)) + "</table>",
+              [f"{i}{j}" for i in range(9) for j in range(9)]),
+    "nested": ("<ul>" + "".join(f"<li>{x}<ul><li>sub {x}</li></ul></li>" for x in ITEMS) + "</ul>", [y for x in ITEMS for y in (x, f"sub {x}")]),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(WANTED))
+@pytest.mark.parametrize("open_,close", [("<article>", "</article>"), ("<div>", "</div>")])
+def test_wanted_lists_and_tables_do_not_split_the_text(kind, open_, close):
+    html, lines = WANTED[kind]
+    title, lead, rest = prose(1, 5), prose(2, 12), [prose(k, 30) for k in range(3, 7)]
+    body = "".join(f"<p>{p}</p>" for p in rest)
+    for w in (score(), link_list_score()):
+        page = FURNITURE + f"{open_}<h1>{title}</h1><p>{lead}</p>{html}{body}{close}" + TAIL
+        assert extract(page, w) == "\n".join([title, lead, *lines, *rest])
+        page = FURNITURE + f"{open_}<h1>{title}</h1>{html}<p>{lead}</p>{body}{close}" + TAIL
+        assert extract(page, w) == "\n".join([title, *lines, lead, *rest])
+
+
+def test_a_stray_menu_does_not_join_the_name_of_the_site():
+    menu = "<ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in ITEMS) + "</ul>"
+    rest = [prose(k, 30) for k in range(3, 7)]
+    page = f"<div>My site</div><div class=links>{menu}</div><div>" + "".join(f"<p>{p}</p>" for p in rest) + f"</div><div>{menu}</div>"
+    assert extract(page, link_list_score()) == "\n".join(rest)
+
+
+@pytest.mark.parametrize("name", ["social-studies", "alert-note", "related-work", "menu-of-the-day", "share-price", "notice-period",
+                                  "comment-of-the-judge", "has-sidebar", "no-ads", "story", "post-header", "adverbs"])
+def test_names_that_only_hold_a_furniture_word_stay(name):
+    text = [prose(k, 50) for k in range(3)]
+    for open_, close in (("<article>", "</article>"), ("<div>", "</div>")):
+        page = FURNITURE + f'{open_}<p>{text[0]}</p><div class="{name}"><p>{text[1]}</p></div><p id="{name}">{text[2]}</p>{close}' + TAIL
+        assert extract(page, score()) == "\n".join(text)
+
+
+@pytest.mark.parametrize("name", ["related-posts", "social share-buttons", "comment-list", "siteFooter", "ad", "ad-slot-3", "cookie_notice",
+                                  "newsletter-signup box", "sidebar", "main-nav", "post-comments"])
+def test_names_made_of_furniture_words_go(name):
+    text = [prose(k, 50) for k in range(2)]
+    for open_, close in (("<article>", "</article>"), ("<div>", "</div>")):
+        page = FURNITURE + f'{open_}<p>{text[0]}</p><div class="{name}"><p>{prose(9, 40)}</p></div><p>{text[1]}</p>{close}' + TAIL
+        assert extract(page, score()) == "\n".join(text)
+
+
 def wrapped_score():
     """Weights of pages whose article stands in layout elements."""
     counts = Counter()
