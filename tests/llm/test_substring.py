@@ -5,10 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import WORDS, documents, odd_rows, prose
-from textpairs.llm.substring import _rolling, _sliding, factors, remove_repeats
+from textpairs.llm.substring import _rolling, _sliding, remove_repeats, runs
 
 
 def brute(rows, window=35):
@@ -86,7 +87,65 @@ def test_sliding_and_rolling(length):
     assert len(np.unique(h[:300])) == 300 and (h[:300 - length] == h[300:600 - length]).all()
 
 
-def test_factors():
-    assert factors(np.array([0, 1, 1, 0, 0, 1], bool), 3) == [(1, 5), (5, 8)]
-    assert factors(np.zeros(4, bool), 3) == []
+def test_runs():
+    assert runs(np.array([0, 1, 1, 0, 0, 1], bool)) == [(1, 3), (5, 6)]
+    assert runs(np.zeros(4, bool)) == []
     assert WORDS
+
+
+def few_bits(x):
+    """All hashes in eight values: nearly every window is proposed for nearly every other."""
+    return x & np.uint64(7 << 40)
+
+
+def test_no_word_goes_unless_words_were_compared(spark):
+    """With window hashes that collide all over, factors do not agree with their references and nothing clean is cut."""
+    import textpairs.llm.substring as S
+
+    shared = prose(77, 60)
+    rows = [prose(i, 120) for i in range(20)] + [f"{prose(100 + i, 20)} {shared}" for i in range(3)] + [prose(5, 120)]
+    whole, clean = S._rolling, set(range(20)) - {5}
+
+    def clash(words, length, base):
+        h = whole(words, length, base)
+        return few_bits(h) if length == 35 else h
+
+    # anchors are proper, so only windows under equal anchors are asked for
+    texts = [pa.chunked_array([pa.array([t.encode() for t in rows])])]
+    S._rolling = clash
+    try:
+        c = S._Chunk(texts[0], 35, 8)
+    finally:
+        S._rolling = whole
+    places = np.flatnonzero(c.inside)
+    told, refs = np.unique(c.hashes), np.full(len(np.unique(c.hashes)), -1, S._REF)
+    found = S._Factors(c, places, c.hashes[places], told, refs)
+    cut = found.covered(c.n)
+    for i in clean:
+        assert not cut[c.starts[i]:c.starts[i + 1]].any()
+
+
+def test_factors_that_do_not_agree_are_left_out(spark, monkeypatch):
+    """A reference to other words (here: every reference one word off) is answered, and its factor dropped everywhere."""
+    import textpairs.llm.substring as S
+
+    rows = [prose(9, 80)] * 2 + [prose(i, 80) for i in range(6)]
+    df = documents(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])
+    assert sorted(r["__n_removed"] for r in remove_repeats(df).collect()) == [0] * 6 + [80] * 2
+    plain = S._send
+
+    def shifted(kind, chunk, values, blocks, places=None):
+        return plain(kind, chunk, values, blocks, None if places is None else places + 1)
+
+    monkeypatch.setattr(S, "_send", shifted)
+    c = [r["__n_removed"] for r in remove_repeats(df, chunk_bytes=1).collect()]
+    assert c == [0] * 8 or sorted(c) == [0] * 6 + [80] * 2  # both copies in one chunk need no reference
+
+
+def test_null_ids_spread_over_chunks(spark):
+    from pyspark.sql import functions as F
+
+    df = documents(spark, [(None, prose(i, 40), "en", "s") for i in range(400)])
+    parts = df.withColumn("c", F.pmod(F.xxhash64("doc_id", "text"), F.lit(64))).groupBy("c").count().collect()
+    assert max(r["count"] for r in parts) < 30
+    assert remove_repeats(df).filter("__n_removed > 0").count() == 0
