@@ -201,3 +201,25 @@ def test_language_odd_rows(spark):
     assert language_ids(documents(spark, [])).count() == 0
     tie = learn(documents(spark, [(1, "same text", "b", "s"), (2, "same text", "a", "s")]).select("lang", "text"))
     assert identify(nothing, tie).collect()[0]["lang_pred"] == "a"
+
+
+def test_sample_is_bounded_in_rows_and_indicators(spark, monkeypatch):
+    """A labelled id with thousands of rows, and texts that hold every indicator."""
+    from textpairs.llm import quality as Q
+
+    size = 1 << 10
+    rows = [(str(i), i % 2, bytes(4 * (10 + i)), 10 + i) for i in range(60)]
+    rows += [("7", 1, (f"{j:04d}" * 10).encode(), 10) for j in range(3000)]  # one id, many texts
+    rows += [("8", 0, b"same" * 5, 5)] * 3000  # one id, one text
+    rows += [(f"long{i}", i % 2, bytes([i]) * 4 * size, size) for i in range(40)]
+    df = spark.createDataFrame([(k, y, bytearray(x), n) for k, y, x, n in rows], "k string, label int, x binary, n long")
+    kept = Q.bounded_rows(df, per_class=50).collect()
+    assert Counter(r["label"] for r in kept) == {0: 50, 1: 50}
+    assert sum(r["k"] == "8" for r in kept) <= 2  # its own text and the repeated one
+    tight = Q.bounded_rows(df, per_class=2000, most=8 * size).collect()
+    assert 0 < sum(len(r["x"]) // 4 for r in tight) <= 8 * size and {r["label"] for r in tight} == {0, 1}
+    again = Q.bounded_rows(df.repartition(7), per_class=50).collect()
+    key = lambda r: (r["k"], r["label"], bytes(r["x"]))
+    assert sorted(map(key, again)) == sorted(map(key, kept))
+    one = Q.bounded_rows(df.filter("k = 'long0'"), most=4)  # a first row that is too large by itself still counts
+    assert one.count() == 1

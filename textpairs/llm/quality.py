@@ -7,8 +7,10 @@ hinge loss is fitted by dual coordinate descent (the two classes weigh alike).
 The score is a logistic function of the margin, fitted on rows of the sample
 that were set aside, weighted to the class counts of all learnable labels.
 
-The model is fitted on a bounded sample of labelled rows, at most ``per_class``
-of each class in the order of a hash of their ids; rows whose crc32 of the id
+The model is fitted on a bounded sample of labelled rows: at most ``per_class``
+of each class in the order of a hash of their ids, equal rows once, and at most
+``MAX_INDICATORS`` indicators in all, whatever the number of rows of an id and
+the length of its texts; rows whose crc32 of the id
 modulo ``folds`` is ``held_out`` are never learnt from.  Every document is
 scored on its whole text in Arrow batches, without a shuffle; the model is two
 arrays of ``2**bits`` numbers, whatever the corpus.
@@ -30,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from textpairs.llm.stored import stored
 from textpairs.llm.words import word_hashes
 
 #: Parameters.
 BITS = 18
 PER_CLASS = 4000
+MAX_INDICATORS = 48_000_000  # of the sample: 12 bytes each in the task that fits
 EPOCHS = 10
 COST = 10.0
 CALIBRATE = 5  # every fifth row of the sample calibrates the score and is not fitted on
@@ -144,12 +148,34 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, known: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """``(doc_id, text, label)`` of at most ``per_class`` labelled documents of each class."""
+    """``(doc_id, text, label)`` of the documents of at most ``per_class`` labelled ids of each class."""
     picked = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids: small by its parameter, so the documents are not shuffled
     return docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "label")
 
 
+def bounded_rows(rows: DataFrame, per_class: int = PER_CLASS, most: int = MAX_INDICATORS) -> DataFrame:
+    """At most ``per_class`` rows of each class of ``rows(k, label, x, n)``, with at most ``most`` indicators in all.
+
+    An id may have any number of rows: equal ones count once, and of the rest
+    the first by hash are taken, a row that would pass half of ``most`` in its
+    class ending it.  What decides is a table of keys and sizes.
+    """
+    one = stored(rows.groupBy("k", "label", F.xxhash64("x").alias("h")).agg(F.any_value("x").alias("x"), F.any_value("n").alias("n")),
+                 "quality-rows")
+    taken = []
+    for y in (0, 1):
+        keys = one.filter(F.col("label") == y).select("k", "h", "n").orderBy(F.xxhash64("k"), "k", "h").limit(per_class).collect()
+        room = most // 2
+        for r in keys:  # per_class keys at most
+            if r["n"] > room and taken and taken[-1][1] == y:
+                break
+            taken.append((r["k"], y, r["h"]))
+            room -= r["n"]
+    chosen = rows.sparkSession.createDataFrame(taken, "k string, label int, h long")
+    return one.join(F.broadcast(chosen), ["k", "label", "h"]).select("k", "label", "x")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS):
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, label)``; the model, or None without both classes."""
     present = learnable(labels).join(docs.select("doc_id").distinct(), "doc_id")
@@ -165,8 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits:
         scratch = np.empty(1 << bits, np.int64)
         for b in batches:
             found = [np.sort(indicators(x.as_py() or b"", bits, scratch)).astype(np.int32).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())],
-                                             names=["k", "label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary()),
+                                              pa.array([len(x) // 4 for x in found], pa.int64())], names=["k", "label", "x", "n"])
 
     def learn(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("k", "ascending"), ("x", "ascending")])
@@ -185,8 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits:
         return pa.table({"ratio": [ratio.astype(np.float32).tobytes()], "w": [w.astype(np.float32).tobytes()],
                          "bias": [float(bias)], "a": [a], "b": [b]})
 
-    # one task fits the model: 2 * per_class rows at most
-    fitted = (sample.mapInArrow(read, "k string, label int, x binary").withColumn("one", F.lit(1)).groupBy("one")
+    # one task fits the model: 2 * per_class rows and MAX_INDICATORS numbers at most
+    used = bounded_rows(sample.mapInArrow(read, "k string, label int, x binary, n long"), per_class)
+    fitted = (used.withColumn("one", F.lit(1)).groupBy("one")
               .applyInArrow(lambda rows: learn(rows.select(["k", "label", "x"])),
                             "ratio binary, w binary, bias double, a double, b double"))
     model = fitted.first()
