@@ -20,9 +20,8 @@ from textpairs.llm.decontaminate import drop_contaminated
 from textpairs.llm.mix_weights import mix_documents
 from textpairs.llm.quality import keep_good
 from textpairs.llm.simhash import keep_one
-from textpairs.llm.stored import stored
 from textpairs.llm.substring import remove_repeats
-from textpairs.session import ship_package
+from textpairs.session import cuts, drop_cuts, scratch_path, ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; what a stage wrote on its way, and its input, go when it is done."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}", "llm")
+        with cuts(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            drop_cuts(spark, [before])
+        before = path
     return docs
