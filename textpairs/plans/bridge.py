@@ -27,11 +27,11 @@ _TABLES: dict[tuple, DataFrame] = {}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table (one plan per session and path: the schema is read once)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
+    tasks = spark.conf.get(FAN_OUT, None)
+    key = (id(spark), spark.sparkContext.applicationId, path, tasks)
     df = _TABLES.get(key)
     if df is None:
         df = spark.read.parquet(path)
-        tasks = spark.conf.get(FAN_OUT, None)
         if tasks and name in TEXT_TABLES:
             df = df.repartition(int(tasks), TEXT_TABLES[name])
         _TABLES[key] = df
