@@ -266,3 +266,20 @@ def test_a_bad_host_far_below_a_share_of_the_urls_is_blocked(spark):
     for some in (rows, rows[:6040]):
         verdicts = {r["page_id"]: r["verdict"] for r in judge_urls(pages(spark, some), marks).collect()}
         assert {i for i, v in verdicts.items() if v == "block"} == set(range(10_000, 10_040))
+
+
+def test_unlabelled_rows_are_not_learnt_from(spark, monkeypatch):
+    """A page whose quality and toxicity are both unknown is no example of an allowed one."""
+    from textpairs.llm import queries as Q
+    from textpairs.llm import url_rules
+
+    seen = []
+    monkeypatch.setattr(url_rules, "judge_urls", lambda pages, labels: seen.append(labels) or pages.withColumns(
+        {"host": F.lit(1), "path": F.lit(1), "rule": F.lit(1), "mined": F.lit(1), "verdict": F.lit(1)}))
+    rows = spark.createDataFrame([(1, None, None), (2, 1, None), (3, None, 0), (4, None, 1), (5, 0, 0), (6, 1, 1), (7, 1, 0)],
+                                 "doc_id long, quality int, toxic int")
+    table = Q.table
+    monkeypatch.setattr(Q, "table", lambda s, d, name: rows if name == "labels" else table(s, d, name))
+    QUERIES["op3_url_rules"](spark, SF_MID)
+    got = {r["page_id"]: r["label"] for r in seen[0].collect()}
+    assert got == {1: None, 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow"}

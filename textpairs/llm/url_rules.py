@@ -10,7 +10,10 @@ kept set of its tokens says the same at least as surely.
 
 Each distinct set of tokens, rarest first, goes to every one of its tokens with
 the commoner ones behind it; a token's sets are grown there by further tokens.
-A token that all sets at hand hold, or any token where all labels agree, could
+Spark ML's own FPGrowth is not used: it collects every frequent token on the
+driver and broadcasts their ranks, a table that grows with the corpus when the
+support is a count, and it emits each subset of tokens that always come
+together.  A token that all sets at hand hold, or any token where all labels agree, could
 only give rules that a smaller set makes needless, and is left out: a site
 costs as many sets as it has sections that differ, not one per subset.
 
@@ -190,7 +193,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
         return df.select("page_id", "host", "path", "rule", F.lit(None).cast("string").alias("mined"),
                          F.coalesce("told", F.lit(default)).alias("verdict"))
     sets = df.filter("told is null and size(tokens) > 0").select("tokens").distinct()
-    mined = match(sets, mine(examples, min_support, min_confidence, min_count)).withColumnRenamed("tokens", "set")
+    # written, so that the join is between two plain tables and a set that many pages share can be split
+    mined = stored(match(sets, mine(examples, min_support, min_confidence, min_count)), "url-verdicts").withColumnRenamed("tokens", "set")
     out = df.join(mined, (df["tokens"] == mined["set"]) & df["told"].isNull(), "left")
     return out.select("page_id", "host", "path", "rule", "mined",
                       F.coalesce("told", "mined", F.lit(default)).alias("verdict"))
