@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, odd_rows, prose
-from textpairs.llm.lang_id import count_runs, grow, identify, language_ids, learn
+from textpairs.llm.lang_id import identify, language_ids, learn
 from textpairs.llm.quality import calibrate, fit, indicators, keep_good, margin, quality_scores
 
 SF = "/root/testdata/sf0.1"
@@ -150,13 +150,6 @@ def test_slices_of_a_long_text_add_up(spark, monkeypatch):
     assert model.bits(text) == pytest.approx(whole)
 
 
-def test_pruning_keeps_the_commonest(spark):
-    docs = documents(spark, [(1, "aaaa aaaa aaaa bcd", "x", "s"), (2, "zq", "y", "s")]).select("lang", "text")
-    trees = grow(count_runs(docs), nodes=4).to_pylist()
-    assert max(Counter((r["lang"], r["order"]) for r in trees).values()) <= 2
-    assert {r["gram"] for r in trees if r["lang"] == "x" and r["order"] == 1} == {ord("a"), ord(" ")}
-
-
 def test_all_counts_are_kept_whatever_the_languages_and_shares(spark):
     """Rare lang values and small shares change no code length of a language."""
     rows = [(i, prose(i, 60), "en", "s") for i in range(20)] + [(50 + i, "ä ö ü ß " * 9 + prose(i, 3), "de", "s") for i in range(5)]
