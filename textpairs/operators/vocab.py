@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.operators.rank import dense_ids
+from textpairs.operators.tokens import EOS_ID, tokenise_vocab
+from textpairs.session import materialise
 
 RESERVED = 259
 
@@ -94,6 +96,37 @@ def gather_rows(matrix: DataFrame, mapping: DataFrame, id_col: str = "id") -> Da
     return matrix.join(m, id_col)
 
 
+def seen_words(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct words of text columns (partial distinct before the shuffle)."""
+    words = [F.coalesce(F.split(F.col(c), " "), F.array().cast("array<string>")) for c in cols]
+    return df.select(F.explode(F.flatten(F.array(*words))).alias("word")).distinct()
+
+
+def prune_words(df: DataFrame, cols: Sequence[str], vocab: DataFrame, reserved: int = RESERVED) -> DataFrame:
+    """V4 on the vocabulary: ``(word, id, new_id)`` of the words that a corpus uses, ids pruned and re-numbered.
+
+    Which ids are seen follows from the distinct words alone, so no id array is
+    built to find out; ids below ``reserved`` are kept and keep their number.
+    """
+    used = vocab.join(seen_words(df, cols), "word", "left_semi").select("word", F.col("id").cast("int").alias("id"))
+    kept = kept_ids(used.select(F.col("id").alias("token_id")), reserved)
+    return used.join(kept.select(F.col("token_id").alias("id"), "new_id"), "id").select("word", "id", "new_id")
+
+
+def prune_tokenise(df: DataFrame, keys: Sequence[str], cols: Sequence[str], vocab: DataFrame, reserved: int = RESERVED,
+                   suffix: str = "_new") -> DataFrame:
+    """V4: the corpus tokenised under its own pruned vocabulary, ``keys, <col>_new``.
+
+    Words go to old ids and to new ids in joins of vocabulary size; the corpus
+    is exploded and put together once, under the new ids.  The unknown and end
+    ids are reserved and stay.
+    """
+    if reserved <= EOS_ID:
+        raise ValueError("the unknown and end ids must be reserved")
+    pruned = prune_words(df, cols, vocab, reserved).select("word", F.col("new_id").alias("id"))
+    return tokenise_vocab(df, keys, cols, materialise(pruned, "pruned"), suffix=suffix)
+
+
 def vocab_coverage(corpus_ids: DataFrame, col: str, kept: DataFrame, by: Sequence[str] = (),
                    name: str = "token_id") -> DataFrame:
     """V5: share of token occurrences in a corpus that a pruned vocabulary keeps.

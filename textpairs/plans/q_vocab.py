@@ -140,7 +140,21 @@ def q_remap_ids(spark, sf_dir):
           SELECT id, 1 AS side, unnest(hypothesis_ids) AS old, unnest(range(len(hypothesis_ids))) AS p FROM nli_tok) t
     LEFT JOIN kept k ON k.token_id = t.old GROUP BY t.id, t.side""", ctes=NLI_TOK_CTES)
 def q_prune_end_to_end(spark, sf_dir):
-    """V4: corpus -> seen -> kept ids -> both id columns remapped to the pruned vocabulary."""
+    """V4: corpus -> seen -> kept ids -> both text columns under the pruned vocabulary, in one pass over the words."""
+    r = V.prune_tokenise(nli_examples(spark, sf_dir), ["id"], ["premise", "hypothesis"], B.v_vocab(spark, sf_dir), B.RESERVED)
+    sides = F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.array_join(f"{c}_new", ",").alias("ids_new"))
+                               for k, c in enumerate(("premise", "hypothesis"))]))
+    return r.select("id", sides)
+
+
+@register("prune_steps", sql="""
+    SELECT t.id, t.side, array_to_string(list(coalesce(k.new_id, 0) ORDER BY t.p), ',') AS ids_new
+    FROM (SELECT id, 0 AS side, unnest(premise_ids) AS old, unnest(range(len(premise_ids))) AS p FROM nli_tok
+          UNION ALL
+          SELECT id, 1 AS side, unnest(hypothesis_ids) AS old, unnest(range(len(hypothesis_ids))) AS p FROM nli_tok) t
+    LEFT JOIN kept k ON k.token_id = t.old GROUP BY t.id, t.side""", ctes=NLI_TOK_CTES)
+def q_prune_steps(spark, sf_dir):
+    """V4 step by step: tokenised corpus -> seen -> kept ids -> both id columns remapped."""
     tok = nli_tok(spark, sf_dir, cache=True)
     m = V.id_map(V.kept_ids(V.seen_ids(tok, ["premise_ids", "hypothesis_ids"])))
     sides = tok.select("id", F.lit(0).alias("side"), F.col("premise_ids").alias("ids")).unionByName(
