@@ -12,7 +12,8 @@ The reference index is cut into blocks by hash range and nobody holds more
 than one block of it:
 
 1. Documents are dealt into chunks by a hash (the one shuffle of text; chunks
-   hold about ``chunk_bytes``).
+   hold about ``chunk_bytes``) and stand there in the order of another, so that
+   positions mean the same in every pass.
 2. Each chunk names its anchors: the smallest ``gram``-word hash inside each
    window.  Equal windows have equal anchors, and there is about one anchor
    position per 14 words.  A chunk sends each index block its sorted distinct
@@ -219,6 +220,11 @@ def _told(values: np.ndarray, answers: pa.Table, kind: int, blocks: int) -> tupl
     return found[yes], refs[yes]
 
 
+def in_order(rows: pa.Table) -> pa.Table:
+    """A chunk's rows in one order for all passes (rows arrive in any): positions count words in it."""
+    return rows.sort_by("__order")
+
+
 def _isin(values: np.ndarray, those: np.ndarray) -> np.ndarray:
     if not len(those):
         return np.zeros(len(values), bool)
@@ -302,10 +308,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = max(LEAST_CHUNKS, -(-n_bytes // chunk_bytes))
     blocks = 1 << (max(LEAST_CHUNKS, -(-n_bytes // BLOCK_BYTES)) - 1).bit_length()
     # all passes read the same shuffled rows, so Spark reuses one exchange of the text
-    base = docs.withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)))
+    base = docs.withColumns({"__chunk": F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)),
+                             "__order": F.xxhash64(F.col(text_col))})
+
+    def chunk_of(rows: pa.Table) -> _Chunk:
+        return _Chunk(rows[text_col], window, gram)
 
     def anchors(key: tuple, rows: pa.Table) -> pa.Table:
-        return _send(1, key[0].as_py(), _Chunk(rows[text_col], window, gram).anchors, blocks)
+        return _send(1, key[0].as_py(), chunk_of(rows).anchors, blocks)
 
     def wanted(c: _Chunk, answers: pa.Table) -> np.ndarray:
         """Places of the windows whose anchor is held elsewhere."""
@@ -314,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.flatnonzero(c.inside & _isin(c.anchor, _told(c.anchors, answers, 1, blocks)[0]))
 
     def windows(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(rows[text_col], window, gram)
+        c = chunk_of(in_order(rows))
         ask = wanted(c, answers)
         return _send(2, key[0].as_py(), c.hashes[ask], blocks, ask)
 
@@ -325,14 +335,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _Factors(c, places, c.hashes[places], told, refs)
 
     def requests(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        asks = sorted(factored(_Chunk(rows[text_col], window, gram), answers).asks())
+        asks = sorted(factored(chunk_of(in_order(rows)), answers).asks())
         columns = zip(*asks) if asks else ([], [], [], [])
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], names=["chunk", "at", "n", "words"])
 
     def compare(key: tuple, rows: pa.Table, asks: pa.Table) -> pa.Table:
         """The requests whose words are not those of this chunk at their place."""
-        flat = [w for t in rows[text_col].cast(pa.binary()) for w in (t.as_py() or b"").split()] if asks.num_rows else []
+        texts = in_order(rows)[text_col].cast(pa.binary()) if asks.num_rows else []
+        flat = [w for t in texts for w in (t.as_py() or b"").split()]
         wrong = [(k, a, sha256(w).digest()) for k, a, n, w in zip(*(asks[x].to_pylist() for x in ("chunk", "at", "n", "words")))
                  if flat[a:a + n] != w.split(b" ")]
         columns = zip(*wrong) if wrong else ([], [], [])
@@ -340,7 +351,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         names=["ref_chunk", "at", "digest"])
 
     def parse(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(rows[text_col], window, gram)
+        rows = in_order(rows)
+        c = chunk_of(rows)
         found = factored(c, answers)
         found.leave_out({(int.from_bytes(b[:8], "big"), int.from_bytes(b[8:16], "big"), b[16:]) for k, b in zip(
             answers["kind"].to_pylist(), answers["refs"].to_pylist()) if k == 3})
