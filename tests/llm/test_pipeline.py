@@ -118,3 +118,18 @@ def test_odd_rows_pass_through(spark, tmp_path):
     empty = str(tmp_path / "empty")
     write(spark, empty, documents(spark, []), [], [])
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Names that the operators use for themselves come through unchanged."""
+    from textpairs.llm.mix_weights import mix_documents
+    from textpairs.llm.simhash import keep_one
+    from textpairs.llm.substring import remove_repeats
+
+    docs = documents(spark, odd_rows())
+    names = ["__row", "__ROW_", "__drop", "__chunk", "__order", "__n", "__mix", "__of", "least", "of"]
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for out in (keep_one(docs), keep_one(docs, repeats=False), remove_repeats(docs), mix_documents(docs)):
+        rows = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(f"own {n}" for n in names)]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.llm.stored import stored
-from textpairs.llm.words import count_words, text_or_empty
+from textpairs.llm.words import count_words, text_or_empty, unused
 
 #: Fixed values of the contract: weights in source order, and the most repeats.
 WEIGHTS = (5, 2, 1)
@@ -76,8 +76,8 @@ def _copies(rate: Column, id_col: Column, seed: str) -> Column:
     return (whole + F.when(draw(id_col, seed) < rate - whole, 1).otherwise(0)).cast("long")
 
 
-def _with_rates(docs: DataFrame, source: Column, sizes: DataFrame, weights, max_repeat: int) -> DataFrame:
-    """``docs`` with ``__size``, ``__target`` and ``__rate`` of their source.
+def _with_rates(docs: DataFrame, source: Column, sizes: DataFrame, weights, max_repeat: int, name: str) -> DataFrame:
+    """``docs`` with source_size, target and rate of their source in a column ``name``.
 
     The table of sources is written once and counted: up to
     ``BROADCAST_SOURCES`` rows it is broadcast, so documents stay where they
@@ -85,9 +85,9 @@ def _with_rates(docs: DataFrame, source: Column, sizes: DataFrame, weights, max_
     """
     per = stored(source_targets(sizes, weights, max_repeat), "mix-sources")
     few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    per = per.select(F.col("source").alias("__of"), F.col("source_size").alias("__size"),
-                     F.col("target").alias("__target"), F.col("rate").alias("__rate"))
-    return docs.join(F.broadcast(per) if few else per, source.eqNullSafe(F.col("__of")), "left")
+    of = unused(docs.columns, "__of")
+    per = per.select(F.col("source").alias(of), F.struct("source_size", "target", "rate").alias(name))
+    return docs.join(F.broadcast(per) if few else per, source.eqNullSafe(F.col(of)), "left").drop(of)
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -95,9 +95,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """One row per document: doc_id, size, source_size, target, copies, taken."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                         count_words(text_or_empty(text_col)).alias("size"))
-    out = _with_rates(sized, F.col("source"), sized.select("source", "size"), weights, max_repeat)
-    out = out.withColumn("copies", _copies(F.col("__rate"), F.col("doc_id"), seed))
-    return out.select("doc_id", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"),
+    out = _with_rates(sized, F.col("source"), sized.select("source", "size"), weights, max_repeat, "of")
+    out = out.withColumn("copies", _copies(F.col("of.rate"), F.col("doc_id"), seed))
+    return out.select("doc_id", "size", F.col("of.source_size").alias("source_size"), F.col("of.target").alias("target"),
                       "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -106,7 +106,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   copy_col: str = "copy_no") -> DataFrame:
     """The mix itself: every input row, all columns, once per copy, numbered from 0 in ``copy_col``."""
     sizes = docs.select(F.col(source_col).alias("source"), count_words(text_or_empty(text_col)).alias("size"))
-    out = _with_rates(docs, F.col(source_col), sizes, weights, max_repeat)
-    out = out.withColumn("__n", _copies(F.col("__rate"), F.col(id_col), seed)).filter(F.col("__n") > 0)
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias(copy_col)
+    of, n = unused(docs.columns, "__mix"), unused(docs.columns, "__n")
+    out = _with_rates(docs, F.col(source_col), sizes, weights, max_repeat, of)
+    out = out.withColumn(n, _copies(F.col(f"{of}.rate"), F.col(id_col), seed)).filter(F.col(n) > 0)
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(copy_col)
     return out.select(*[docs[c] for c in docs.columns if c != copy_col], numbers)

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.llm.stored import stored
+from textpairs.llm.words import unused
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -188,12 +189,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     With ``repeats``, other rows of the kept id in the component stay too; without, one row is left of each.
     """
     # rows are told apart by a key that is written with them: ids may be null or repeat
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-documents")
-    fps = stored(fingerprints(rows, id_col, text_col, shingle, "__row"), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    row, drop_col = unused(docs.columns, "__row"), unused(docs.columns, "__drop")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents")
+    fps = stored(fingerprints(rows, id_col, text_col, shingle, row), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)
     of = _least(fps, first, max_bits, hot)
-    stays = F.col("__row") == F.col("least.__row")
+    stays = F.col(row) == F.col(f"least.{row}")
     if repeats:
         stays = stays | F.coalesce(F.col("doc_id") == F.col("least.doc_id"), F.lit(False))
-    drop = fps.join(of, "fp").filter(~stays).select(F.col("__row").alias("__drop"))
-    return rows.join(drop, rows["__row"] == F.col("__drop"), "left_anti").drop("__row")
+    drop = fps.join(of, "fp").filter(~stays).select(F.col(row).alias(drop_col))
+    return rows.join(drop, rows[row] == F.col(drop_col), "left_anti").drop(row)

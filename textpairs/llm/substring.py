@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textpairs.llm.words import word_hashes
+from textpairs.llm.words import unused, word_hashes
 
 #: Parameters.
 WINDOW = 35
@@ -220,9 +220,9 @@ def _told(values: np.ndarray, answers: pa.Table, kind: int, blocks: int) -> tupl
     return found[yes], refs[yes]
 
 
-def in_order(rows: pa.Table) -> pa.Table:
+def in_order(rows: pa.Table, order: str) -> pa.Table:
     """A chunk's rows in one order for all passes (rows arrive in any): positions count words in it."""
-    return rows.sort_by("__order")
+    return rows.sort_by(order)
 
 
 def _isin(values: np.ndarray, those: np.ndarray) -> np.ndarray:
@@ -308,8 +308,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = max(LEAST_CHUNKS, -(-n_bytes // chunk_bytes))
     blocks = 1 << (max(LEAST_CHUNKS, -(-n_bytes // BLOCK_BYTES)) - 1).bit_length()
     # all passes read the same shuffled rows, so Spark reuses one exchange of the text
-    base = docs.withColumns({"__chunk": F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)),
-                             "__order": F.xxhash64(F.col(text_col))})
+    chunk, order = unused(columns, "__chunk"), unused(columns, "__order")
+    base = docs.withColumns({chunk: F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)),
+                             order: F.xxhash64(F.col(text_col))})
 
     def chunk_of(rows: pa.Table) -> _Chunk:
         return _Chunk(rows[text_col], window, gram)
@@ -324,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.flatnonzero(c.inside & _isin(c.anchor, _told(c.anchors, answers, 1, blocks)[0]))
 
     def windows(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        c = chunk_of(in_order(rows))
+        c = chunk_of(in_order(rows, order))
         ask = wanted(c, answers)
         return _send(2, key[0].as_py(), c.hashes[ask], blocks, ask)
 
@@ -335,14 +336,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _Factors(c, places, c.hashes[places], told, refs)
 
     def requests(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        asks = sorted(factored(chunk_of(in_order(rows)), answers).asks())
+        asks = sorted(factored(chunk_of(in_order(rows, order)), answers).asks())
         columns = zip(*asks) if asks else ([], [], [], [])
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], names=["chunk", "at", "n", "words"])
 
     def compare(key: tuple, rows: pa.Table, asks: pa.Table) -> pa.Table:
         """The requests whose words are not those of this chunk at their place."""
-        texts = in_order(rows)[text_col].cast(pa.binary()) if asks.num_rows else []
+        texts = in_order(rows, order)[text_col].cast(pa.binary()) if asks.num_rows else []
         flat = [w for t in texts for w in (t.as_py() or b"").split()]
         wrong = [(k, a, sha256(w).digest()) for k, a, n, w in zip(*(asks[x].to_pylist() for x in ("chunk", "at", "n", "words")))
                  if flat[a:a + n] != w.split(b" ")]
@@ -351,7 +352,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         names=["ref_chunk", "at", "digest"])
 
     def parse(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = in_order(rows)
+        rows = in_order(rows, order)
         c = chunk_of(rows)
         found = factored(c, answers)
         found.leave_out({(int.from_bytes(b[:8], "big"), int.from_bytes(b[8:16], "big"), b[16:]) for k, b in zip(
@@ -375,7 +376,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 .append_column("__n_removed", pa.array(removed, pa.int64()))
                 .append_column("__spans", pa.array(spans, span)))
 
-    by_chunk = base.groupBy("__chunk")
+    by_chunk = base.groupBy(chunk)
     told = by_chunk.applyInArrow(anchors, _SENT).groupBy("block").applyInArrow(_answer, _ANSWER)
     more = (by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(windows, _SENT)
             .groupBy("block").applyInArrow(_answer, _ANSWER))

@@ -29,3 +29,11 @@ def words_of(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_CLASS + "+")).cast("long")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so (Spark compares names without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
