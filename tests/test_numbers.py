@@ -176,3 +176,21 @@ def test_sketches_merge_and_only_new_groups_are_scanned(spark):
     for p, v in zip((0.1, 0.5, 0.9), q.q):
         below, upto = sum(x < v for x in values) / len(values), sum(x <= v for x in values) / len(values)
         assert below <= p + 0.02 and upto >= p - 0.02
+
+
+def test_batches_of_an_epoch_are_drawn_anew_from_one_numbering(spark):
+    from textpairs.operators.batches import sortish_batches
+
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(5, 90)) for i in range(423)]
+    df = spark.createDataFrame(rows, "row_no long, n int").withColumn("id", F.col("row_no") + 7)
+    seen = []
+    for e in range(3):
+        out = sortish_batches(df, "id", "n", 8, row="row_no", epoch=e, chunk=5).collect()
+        assert sorted(r.id for r in out) == [i + 7 for i, _ in rows]
+        places = sorted((r.batch_order, r.slot) for r in out)
+        assert places == [(k // 8, k % 8) for k in range(len(rows))]  # full batches, the partial one last
+        first = [r.n for r in out if r.batch_order == 0]
+        assert max(first) == max(n for _, n in rows) and first == sorted(first, reverse=True) or len(first) == 8
+        seen.append({r.id: (r.batch_order, r.slot) for r in out})
+    assert sum(seen[0][i] == seen[1][i] for i in seen[0]) < 30 and seen[1] != seen[2]

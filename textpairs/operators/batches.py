@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.functions import arrays as A
+from textpairs.operators.permute import permute
 from textpairs.operators.rank import hash_rank, ordered_rank, seeded_hash
 from textpairs.session import materialise
 
@@ -53,7 +54,7 @@ def fixed_batches(df: DataFrame, order, batch_size: int, drop_last: bool = False
 
 
 def sortish_batches(df: DataFrame, key: str, length: str, batch_size: int, seed=738,
-                    chunk: int = CHUNK, sort_key=None) -> DataFrame:
+                    chunk: int = CHUNK, sort_key=None, row: str | None = None, epoch: int = 0) -> DataFrame:
     """Length-bucketed shuffle into batches.
 
     rank (seeded) -> chunk of chunk*bs rows -> position in chunk by (length
@@ -61,14 +62,23 @@ def sortish_batches(df: DataFrame, key: str, length: str, batch_size: int, seed=
     last batch stays last, the others are permuted by a seeded hash, and rows
     inside a middle batch are permuted too.  Output adds ``batch``,
     ``batch_order`` (position of the batch) and ``slot`` (position inside it).
+
+    With ``row``, a column of dense row numbers from 0, the rank of an ``epoch`` is
+    arithmetic on it (``permute``): every epoch is batched anew without ranking
+    the rows by an exchange.
     """
     bs = batch_size
     if sort_key is not None:
         df = df.withColumn("_tp_len", _sort_key(length, sort_key))
-        out = sortish_batches(df, key, "_tp_len", batch_size, seed, chunk)
+        out = sortish_batches(df, key, "_tp_len", batch_size, seed, chunk, row=row, epoch=epoch)
         return out.drop("_tp_len")
     # positions need the key and the length only; wide rows join them back once, at the end
-    r = hash_rank(df.select(F.col(key), F.col(length).alias("_tp_by")), key, seed, name="_tp_rank")
+    narrow = df.select(F.col(key), F.col(length).alias("_tp_by"), *([F.col(row).alias("_tp_row")] if row else []))
+    if row:
+        seed = f"{seed}:{epoch}"
+        r = narrow.withColumn("_tp_rank", permute(F.col("_tp_row"), df.count(), seed))
+    else:
+        r = hash_rank(narrow, key, seed, name="_tp_rank")
     r = r.withColumn("_tp_chunk", F.floor(F.col("_tp_rank") / (chunk * bs)).cast("long"))
     in_chunk = Window.partitionBy("_tp_chunk").orderBy(F.col("_tp_by").desc(), F.col(key).asc())
     r = r.withColumn("_tp_pos", (F.row_number().over(in_chunk) - 1).cast("long"))

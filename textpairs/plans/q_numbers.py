@@ -9,9 +9,11 @@ from textpairs.operators import id_words as W
 from textpairs.operators import metrics as M
 from textpairs.operators import pairs as P
 from textpairs.operators import sketches as K
+from textpairs.operators.batches import sortish_batches
 from textpairs.operators.permute import permute, permute_sql, row_at
 from textpairs.operators.rank import ordered_rank
 from textpairs.plans import bridge as B
+from textpairs.plans.q_order import SORTISH_BS, SORTISH_CTES
 from textpairs.plans.q_vocab import NLI_TOK_CTES, nli_tok
 from textpairs.plans.registry import register
 from textpairs.session import materialise
@@ -46,6 +48,31 @@ def q_epoch_order(spark, sf_dir):
     return out
 
 
+BATCH_EPOCH = 1
+
+
+def _epoch_batches_ctes() -> dict[str, str]:
+    """The batch CTEs with the rank of an epoch in place of the hash rank."""
+    out = dict(SORTISH_CTES, **_epoch_ctes())
+    out["sb_r"] = f"SELECT w.doc_id AS key, n_chars AS len, x AS rnk FROM walk_{BATCH_EPOCH} w JOIN documents USING (doc_id) WHERE x < n"
+    out["sb_ord"] = out["sb_ord"].replace("'738:b:'", f"'{SEED}:{BATCH_EPOCH}:b:'")
+    return out
+
+
+@register("sortish_epoch", sql=f"""
+    SELECT b.key AS doc_id, b.batch, o.batch_order,
+           CAST(CASE WHEN o.cls = 1
+                     THEN row_number() OVER (PARTITION BY b.batch
+                                             ORDER BY md5('{SEED}:{BATCH_EPOCH}:r:' || CAST(b.key AS VARCHAR)), b.key) - 1
+                     ELSE b.pos % {SORTISH_BS} END AS INTEGER) AS slot
+    FROM sb_b b JOIN sb_ord o ON b.batch = o.batch""", ctes=_epoch_batches_ctes())
+def q_sortish_epoch(spark, sf_dir):
+    """W8 for one epoch: the rank is arithmetic on a dense numbering that all epochs share."""
+    docs = ordered_rank(B.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"], name="row_no")
+    out = sortish_batches(docs, "doc_id", "n_chars", SORTISH_BS, seed=SEED, row="row_no", epoch=BATCH_EPOCH)
+    return out.select("doc_id", "batch", "batch_order", "slot")
+
+
 PAIRS_A_GROUP = 200
 
 PAIR_CTES = {
