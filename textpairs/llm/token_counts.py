@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 #: Parameters.
 MAX_TOKENS = 512
-MEMO_PIECES = 200_000
+MEMO_PIECES = 1_000_000  # about 120 MB a worker
 MEMO_CHARS = 32
 LISTED_CHARS = 1_000_000
 
