@@ -53,6 +53,17 @@ def last_line(lines: Column) -> Column:
     return F.when(F.size(lines) >= 2, F.element_at(lines, -1))
 
 
+def head_of(text: Column) -> Column:
+    """``head_lines`` of a text, without an array of its lines."""
+    before = F.left(text, F.length(text) - F.length(F.substring_index(text, NEWLINE, -1)) - 1)
+    return F.when(F.contains(text, F.lit(NEWLINE)), F.replace(before, F.lit(NEWLINE), F.lit(" "))).otherwise(text)
+
+
+def last_of(text: Column) -> Column:
+    """``last_line`` of a text, without an array of its lines."""
+    return F.when(F.contains(text, F.lit(NEWLINE)), F.substring_index(text, NEWLINE, -1))
+
+
 def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> (doc_id, line_no, line), one row per line (S4 over a text column)."""
     docs = table(spark, sf_dir, "documents")
@@ -66,15 +77,15 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw NLI rows over whole texts: pairID, sentence1 = all lines but the last,
     sentence2 = the last line (null for a one-line text), gold_label from labels."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", _lines_of(F.col("text")).alias("_l"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     j = docs.join(_labels(spark, sf_dir), "doc_id", "left")
     gold = (F.when(F.col("_has_label").isNull(), F.lit("-"))
              .when(F.col("toxic") == 1, F.lit("contradiction"))
              .when(F.col("quality") == 1, F.lit("entailment"))
              .otherwise(F.lit("neutral")))
     return j.select(F.col("doc_id").cast("string").alias("pairID"),
-                    head_lines(F.col("_l")).alias("sentence1"),
-                    last_line(F.col("_l")).alias("sentence2"),
+                    head_of(F.col("text")).alias("sentence1"),
+                    last_of(F.col("text")).alias("sentence2"),
                     gold.alias("gold_label"),
                     "source")
 
@@ -82,14 +93,14 @@ def v_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_qqp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw question pairs over whole texts (split as in ``v_nli``); every document is a row,
     ``is_duplicate`` null where it has no label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", _lines_of(F.col("text")).alias("_l"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         (F.col("doc_id") * 2).alias("qid1"),
         (F.col("doc_id") * 2 + 1).alias("qid2"),
-        head_lines(F.col("_l")).alias("question1"),
-        last_line(F.col("_l")).alias("question2"),
+        head_of(F.col("text")).alias("question1"),
+        last_of(F.col("text")).alias("question2"),
         F.col("quality").alias("is_duplicate"))
 
 
