@@ -108,6 +108,7 @@ def test_line_rules_equal_brute_force(spark):
     rows += [(200 + i, shared.upper() + prose(300 + i, 90), "en", "hot") for i in range(5)]
     rows += [(300 + i, "same copy line\n" + prose(1, 70), "en", "copies") for i in range(40)]
     rows += [(400, "a b c a b c a b c # % <x> | &", "en", "s1"), (401, "x " * 200, "en", "s1")]
+    rows += [(450, shared * 2 + prose(0, 55), "en", "hot")] * 2 + [(None, shared * 2 + prose(0, 55), "en", "hot")] * 2  # repeated rows
     got = line_quality(documents(spark, rows, extra=True))
     assert Counter(map(tuple, got.collect())) == Counter(brute_lines(rows))
     kept = {r["doc_id"]: r["kept"] for r in got.collect()}
