@@ -57,9 +57,10 @@ from textpairs.llm.words import unused, word_hashes
 #: Parameters.
 WINDOW = 35
 GRAM = 8
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
-LEAST_CHUNKS = 64
+LEAST_CHUNKS = 256
+LEAST_BLOCKS = 64
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -306,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = docs.columns
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(LEAST_CHUNKS, -(-n_bytes // chunk_bytes))
-    blocks = 1 << (max(LEAST_CHUNKS, -(-n_bytes // BLOCK_BYTES)) - 1).bit_length()
+    blocks = 1 << (max(LEAST_BLOCKS, -(-n_bytes // BLOCK_BYTES)) - 1).bit_length()
     # all passes read the same shuffled rows, so Spark reuses one exchange of the text
     chunk, order = unused(columns, "__chunk"), unused(columns, "__order")
     base = docs.withColumns({chunk: F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)),
