@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -195,9 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits:
                                               pa.array([len(x) // 4 for x in found], pa.int64())], names=["k", "label", "x", "n"])
 
     def learn(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("k", "ascending"), ("x", "ascending")])
-        y = rows["label"].to_numpy()
-        x = [np.frombuffer(v.as_py(), np.int32) for v in rows["x"]]
+        # in the order of the ids, without a copy of the indicators
+        order = pc.sort_indices(rows, sort_keys=[("k", "ascending"), ("x", "ascending")]).to_numpy()
+        y = rows["label"].to_numpy()[order]
+        x = [np.frombuffer(rows["x"][i].as_buffer(), np.int32) for i in order.tolist()]
         aside = np.zeros(len(y), bool)
         for c in (0, 1):
             aside[np.flatnonzero(y == c)[::CALIBRATE]] = (y == c).sum() >= 2 * CALIBRATE
