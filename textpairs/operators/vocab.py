@@ -108,7 +108,9 @@ def prune_words(df: DataFrame, cols: Sequence[str], vocab: DataFrame, reserved:
     Which ids are seen follows from the distinct words alone, so no id array is
     built to find out; ids below ``reserved`` are kept and keep their number.
     """
-    used = vocab.join(seen_words(df, cols), "word", "left_semi").select("word", F.col("id").cast("int").alias("id"))
+    # written once: ranks and the map read it several times, the corpus is read for it once
+    used = materialise(vocab.join(seen_words(df, cols), "word", "left_semi").select("word", F.col("id").cast("int").alias("id")),
+                       "used-words")
     kept = kept_ids(used.select(F.col("id").alias("token_id")), reserved)
     return used.join(kept.select(F.col("token_id").alias("id"), "new_id"), "id").select("word", "id", "new_id")
 
