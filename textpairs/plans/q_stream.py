@@ -19,6 +19,9 @@ from textpairs.streaming.ordered import stream_ema_ordered
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 DOCS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
+#: Part files of a table that a micro-batch reads.
+FILES_A_BATCH, EVERY_FILE = 64, 1 << 30
+
 
 #: Fixed values of the stream demo: a linear head over (characters, spaces, letters e) of the prompt.
 PROMPT_WEIGHTS = [[1, -6, 0], [0, 1, -2], [-1, 4, 3]]
@@ -73,7 +76,7 @@ def linear_head_model():
             SELECT pairID, 'mnli hypothesis: ' || sentence2 || ' premise: ' || sentence1 AS prompt FROM v_nli
             WHERE sentence1 <> 'exit' AND sentence2 <> 'exit'))""")
 def q_stream_scoring(spark, sf_dir):
-    src = ST.file_stream(spark, sf_dir, DOCS_SCHEMA, "documents.parquet")
+    src = ST.table_stream(spark, sf_dir, "documents", DOCS_SCHEMA, FILES_A_BATCH)
     lines = src.select("doc_id", F.split("text", "\n").alias("_l"))
     req = lines.select(F.col("doc_id").cast("string").alias("doc_id"),
                        B.head_lines(F.col("_l")).alias("premise"), B.last_line(F.col("_l")).alias("hypothesis"))
@@ -86,7 +89,7 @@ def q_stream_scoring(spark, sf_dir):
 @register("stream_value_counts", sql="""
     SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type""")
 def q_stream_value_counts(spark, sf_dir):
-    src = ST.file_stream(spark, sf_dir, EVENTS_SCHEMA, "events.parquet")
+    src = ST.table_stream(spark, sf_dir, "events", EVENTS_SCHEMA, FILES_A_BATCH)
     sink, ckpt = ST.fresh_paths(spark, "stream_value_counts")
     ST.stream_value_counts(src, "event_type", sink, ckpt)
     return ST.latest_state(spark, sink, "value", ["n"])
@@ -101,7 +104,8 @@ def q_stream_value_counts(spark, sf_dir):
           WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     WHERE step = cnt - 1""")
 def q_stream_ema(spark, sf_dir):
-    src = ST.file_stream(spark, sf_dir, EVENTS_SCHEMA, "events.parquet")
+    # rows are in order within a micro-batch only, and part files of a table are in no order
+    src = ST.table_stream(spark, sf_dir, "events", EVENTS_SCHEMA, EVERY_FILE)
     sink, ckpt = ST.fresh_paths(spark, "stream_ema")
     ST.stream_ema(src.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value",
                   sink, ckpt, alpha=0.02)

@@ -21,6 +21,7 @@ All sinks and checkpoints live under the session's checkpoint folder.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -45,6 +46,16 @@ def file_stream(spark: SparkSession, directory: str, schema: StructType, file_gl
             .load(directory))
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:
+    """A file source over one Parquet table, which is a single file or a folder of part files.
+
+    The last letter stands in brackets: a path with a pattern takes a file as well as a folder.
+    """
+    folder = re.sub(r"([\\\[\]{}*?^])", r"\\\1", sf_dir.rstrip("/"))
+    return (spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+            .load(f"{folder}/{name}.parque[t]"))
+
+
 def run_available_now(writer, checkpoint: str):
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
