@@ -35,6 +35,9 @@ from textpairs.session import materialise
 #: Block tables of up to this many rows (of a path and a few numbers) are broadcast.
 MAX_BROADCAST_BLOCKS = 500_000
 
+#: Lines that a worker holds as Python strings at once, and characters of records that it gathers.
+RUN_LINES, FOUND_CHARS = 256, 1 << 20
+
 _OUTSIDE, _INSIDE, _CLOSING = 0, 1, 2
 
 
@@ -77,7 +80,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list, l
         for k in range(1, b.num_rows + 1):
             if k == b.num_rows or (files[k], blks[k]) != (files[at], blks[at]):
                 rest = [b.column(c)[at].as_py() for c in range(3, b.num_columns)]
-                yield files[at], blks[at], rest, b.column(2).slice(at, k - at).to_pylist()
+                for part in range(at, k, RUN_LINES):
+                    yield files[at], blks[at], rest, b.column(2).slice(part, min(RUN_LINES, k - part)).to_pylist()
                 at = k
 
 
@@ -139,10 +143,12 @@ def _cut(known: DataFrame, sep: str, whole: bool) -> DataFrame:
     """``(file, owner, blk, first, record)``: records that lie whole in a block, or the pieces of those that do not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, open_, found = None, [], []
+        here, open_, found, chars = None, [], [], 0
 
         def piece(owner: int) -> None:
+            nonlocal chars
             found.append((here[0], owner, here[1], here[1] == 0 and not begun, "\n".join(open_)))
+            chars += len(found[-1][-1])
 
         for file, blk, (inside, opener), text in _runs(batches):
             if here != (file, blk):
@@ -159,9 +165,9 @@ def _cut(known: DataFrame, sep: str, whole: bool) -> DataFrame:
                 if headless == (not whole):
                     piece(owner)
                 begun, open_, headless, owner = True, [], False, blk
-            if len(found) >= 1000:
-                yield _records(found)
-                found = []
+                if len(found) >= 1000 or chars >= FOUND_CHARS:
+                    yield _records(found)
+                    found, chars = [], 0
         if here and open_ and not whole:
             piece(owner)
         yield _records(found)
