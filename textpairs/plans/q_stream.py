@@ -116,6 +116,9 @@ def q_stream_ema(spark, sf_dir):
 #: Arrival of events in the ordered stream: up to a day late, in files of five days; the delay covers both.
 LATE_DAYS, FILE_DAYS, DELAY_DAYS = 1, 5, 6
 
+#: Events that a file of the ordered stream holds.
+FILE_ROWS = 1_000_000
+
 
 @register("stream_ema_ordered", sql=f"""
     SELECT user_id, round(pow(0.98, step + 1) * x0 + 0.02 * pow(0.98, step) * s, 6) AS ema, step + 1 AS n
@@ -132,11 +135,18 @@ def q_stream_ema_ordered(spark, sf_dir):
     late = F.pmod(F.xxhash64("event_id"), F.lit(LATE_DAYS * 86_400_000_000))
     span = FILE_DAYS * 86_400_000_000
     events = events.withColumn("file_no", F.call_function("div", F.unix_micros("ts") + late, F.lit(span)))
-    src = os.path.join(scratch_path(spark, "arrivals"), "in")
-    low, high = events.agg(F.min("file_no"), F.max("file_no")).first()
-    for no in range(low or 0, (high or 0) + 1):  # one write a file span: the file source reads in order of writing
-        events.filter(F.col("file_no") == no).drop("file_no").write.mode("append").parquet(src)
-    stream = ST.file_stream(spark, src, "user_id long, ts timestamp, event_id long, value double", "*.parquet")
+    base = scratch_path(spark, "arrivals")
+    src, dealt, rows = os.path.join(base, "in"), os.path.join(base, "dealt"), events.drop("file_no").schema
+    # the table is read once and dealt by span; a span is read from its own folder and is one micro-batch
+    events.filter("file_no is not null").write.partitionBy("file_no").parquet(dealt)
+    spans = {r.file_no: r.n for r in events.groupBy("file_no").agg(F.count(F.lit(1)).alias("n")).collect() if r.file_no is not None}
+    files = max(-(-max(spans.values(), default=1) // FILE_ROWS), 1)
+    for no in sorted(spans):  # one write a file span: the file source reads in order of writing
+        span = spark.read.schema(rows).parquet(os.path.join(dealt, f"file_no={no}"))
+        span.repartition(files).write.mode("append").parquet(src)
+    if not spans:
+        spark.createDataFrame([], rows).write.parquet(src)
+    stream = ST.file_stream(spark, src, "user_id long, ts timestamp, event_id long, value double", "*.parquet", files_per_trigger=files)
     sink, ckpt = ST.fresh_paths(spark, "stream_ema_ordered")
     stream_ema_ordered(stream, "user_id", "ts", "event_id", "value", sink, ckpt, alpha=0.02, delay=f"{DELAY_DAYS} days")
     final = ST.latest_state(spark, sink, "user_id", ["ema", "n"])
