@@ -61,5 +61,5 @@ def q_tokenise_subword(spark, sf_dir):
 def q_decode_subword(spark, sf_dir):
     """The round trip: what is decoded from the ids is the text."""
     vocab = _vocabulary(spark, sf_dir)
-    t = S.tokenise_subword(B.v_lines(spark, sf_dir), ["doc_id", "line_no"], "line", vocab)
+    t = materialise(S.tokenise_subword(B.v_lines(spark, sf_dir), ["doc_id", "line_no"], "line", vocab))
     return S.decode_pieces(t, ["doc_id", "line_no"], "line_ids", vocab, out="decoded")
